@@ -657,6 +657,91 @@ def periodic_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.sweeps(rows).select(F.unix_micros("start").alias("start"), "n", "paths")
 
 
+# Literal fixtures: shapes that the tables lack
+
+
+@query("""SELECT * FROM (VALUES ('n1', 'symbol', 'parseQuery', 'src/q.ts', 2.1::DOUBLE), ('n1', 'file', NULL, 'lib/src/util.ts', 0.5), ('n2', 'symbol', 'walkRepo', 'src/w.ts', 1.08)) t(note, kind, symbol, path, rank)""")
+def code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = spark.createDataFrame([("n1", "parseQuery calls parseQuery, see src/util.ts"), ("n2", "walkRepo with this"), ("n3", "nothing here")], "path string, text string")
+    inventory = spark.createDataFrame([("parseQuery", "src/q.ts", 1, 4, "function parseQuery() {"), ("walkRepo", "src/w.ts", 2, 9, "function walkRepo() {"), ("other", "src/o.ts", 1, 1, "")], "name string, path string, line_start int, line_end int, text string")
+    listing = spark.createDataFrame([("lib/src/util.ts", "x"), ("lib/util.ts", "y")], "path string, text string")
+    return crosslinks.code_links(notes, inventory, listing).select("note", "kind", "symbol", "path", "rank")
+
+
+@query("""
+WITH s(path, sr) AS (VALUES ('a', 1), ('b', 2)), l(path, lr) AS (VALUES ('b', 1), ('c', 2)), p(path, prox) AS (VALUES ('c', 1.0::DOUBLE), ('a', 0.5))
+SELECT coalesce(s.path, l.path) AS path, floor((coalesce(1.0::DOUBLE / (60 + sr), 0) + coalesce(1.0::DOUBLE / (60 + lr), 0)) * (1 + 0.25 * coalesce(prox, 0)) * 10000.0 + 0.5) / 10000.0 AS score
+FROM s FULL JOIN l ON s.path = l.path LEFT JOIN p ON p.path = coalesce(s.path, l.path)""")
+def note_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    semantic = spark.createDataFrame([("a", 0.9), ("a", 0.2), ("b", 0.8)], "path string, similarity double")
+    lexical = spark.createDataFrame([("b", 3.0), ("c", 2.0)], "path string, bm25 double")
+    proximity = spark.createDataFrame([("c", 1, 0, 1.0), ("a", 2, 1, 0.5)], "path string, hop int, cocited int, proximity double")
+    return crosslinks.connections(semantic, lexical, proximity).select("path", "score")
+
+
+@query("""SELECT * FROM (VALUES ('a.ts', 'f', 'calls', 'b.ts', 'correct'), ('a.ts', 'g', 'calls', 'c.ts', 'wrong'), ('a.ts', 'h', 'calls', NULL, 'correct'), ('z.ts', 'q', 'imports', 'y', 'missing')) t("from", symbol, kind, "to", verdict)""")
+def edge_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    golden = spark.createDataFrame([("a.ts", "f", "calls", "b.ts"), ("a.ts", "g", "calls", "c.ts"), ("a.ts", "h", "calls", None), ("z.ts", "q", "imports", "y")], "from string, symbol string, kind string, to string")
+    made = spark.createDataFrame([("a.ts", "f", "calls", None, "dispatch", ["b.ts"]), ("a.ts", "g", "calls", "d.ts", "resolved", []), ("a.ts", "h", "calls", None, "external", [])], "from_path string, ref_name string, kind string, to_path string, conf string, candidates array<string>")
+    return evaluate.edge_tally(golden, made)
+
+
+@query("""SELECT 1::BIGINT AS correct, 1::BIGINT AS false_dead, 0::BIGINT AS false_entrypoint, 1::BIGINT AS missing, 0.3333::DOUBLE AS accuracy""")
+def orphan_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    golden = spark.createDataFrame([("a", "f", "likely_dead"), ("a", "g", "possible_entrypoint"), ("b", "h", "likely_dead")], "path string, symbol string, expect string")
+    found = spark.createDataFrame([("a", "f", "likely_dead"), ("a", "g", "likely_dead")], "path string, name string, class string")
+    return evaluate.orphan_metrics(golden, found)
+
+
+@query("""SELECT * FROM (VALUES ('all', 'recall_1', 0.93::DOUBLE, 0.9::DOUBLE, true), ('all', 'mrr', 0.8, 0.79, false)) t(tier, metric, was, now, regressed)""")
+def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = spark.createDataFrame([("all", 0.90, 0.79), ("hard", 0.1, 0.1)], "tier string, recall_1 double, mrr double")
+    was = spark.createDataFrame([("all", 0.93, 0.8), ("hard", 0.9, 0.9)], "tier string, recall_1 double, mrr double")
+    return evaluate.compare_baseline(now, was)
+
+
+@query("""SELECT 1::BIGINT AS correct, 1::BIGINT AS wrong, 1::BIGINT AS external, 1::BIGINT AS unaligned, 2::BIGINT AS refs, 0.5::DOUBLE AS precision, 0.5::DOUBLE AS recall""")
+def index_cross_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = spark.createDataFrame(
+        [(1, "src/a.ts", 5, "run", "resolved", "src/b.ts", "1-9", []), (2, "src/a.ts", 8, "go", "resolved", "src/z.ts", "1-9", []), (3, "src/a.ts", 11, "ext", "resolved", "src/b.ts", "1-9", []), (4, "src/a.ts", 40, "run", "resolved", "src/b.ts", "1-9", [])],
+        "edge_id int, from_path string, line int, ref_name string, conf string, to_path string, to_lines string, candidates array<string>")
+    references = spark.createDataFrame([("a.ts", 6, "S#run().", "run"), ("a.ts", 8, "S#go().", "go"), ("a.ts", 11, "X#ext().", "ext")], "path string, line int, symbol string, method string")
+    definitions = spark.createDataFrame([("S#run().", "b.ts", 3), ("S#go().", "b.ts", 4)], "symbol string, path string, line int")
+    return evaluate.oracle_check(edges, references, definitions)["metrics"]
+
+
+@query("""SELECT * FROM (VALUES ('d', 'links', 'resolved', 2::BIGINT), ('e', 'calls', 'external', 1)) t(target, kind, conf, n)""")
+def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("links", "resolved", "a.md", None, "d", None, "d"), ("links", "resolved", "b.md", None, "d", None, "d"), ("calls", "external", "x/a.ts", "f", None, None, "e")]
+    edges = spark.createDataFrame(rows, "kind string, conf string, from_path string, from_symbol string, to_path string, to_symbol string, ref_name string")
+    _, merged = graph.visual_graph(edges)
+    return merged.groupBy(F.regexp_replace("target", "^(note|ext):", "").alias("target"), "kind", "conf").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT * FROM (VALUES ('b', 'g'), ('a', 'f')) t(path, symbol)""")
+def stem_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = spark.createDataFrame([("f", "src/a", "imports", "resolved"), ("g", "src/b", "imports", "resolved"), ("h", "src/c", "imports", "resolved")], "src string, dst string, kind string, conf string")
+    paths = spark.createDataFrame([("src/a.ts",), ("src/b.py",), ("src/c.h",), ("src/c.cpp",)], "path string")
+    rows = graph.resolve_stems(links, paths).filter("dst LIKE '%.%'")
+    return rows.select(F.regexp_extract("dst", "/([a-z])[.]", 1).alias("path"), F.col("src").alias("symbol"))
+
+
+@query("""SELECT * FROM (VALUES ('file.h', 'run', 'Base'), ('own.h', 'run', 'Own')) t(from_path, ref_name, receiver_type)""")
+def field_receivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = spark.createDataFrame([("file.h", "run", "p", None, "Kid"), ("own.h", "run", "q", None, "Kid")], "from_path string, ref_name string, receiver string, receiver_type string, enclosing_class string")
+    fields = spark.createDataFrame([("Parent", "p", "Base"), ("Kid", "q", "Own"), ("Parent", "q", "Far")], "class string, field string, type string")
+    ancestors = spark.createDataFrame([("Kid", "Parent", 1)], "name string, base string, depth int")
+    return resolve.field_receivers(calls, fields, ancestors).select("from_path", "ref_name", "receiver_type")
+
+
+@query("""
+WITH m AS (SELECT doc_id, text, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS w FROM documents)
+SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CAST(w AS BIGINT) AS words FROM m""")
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.estimate_tokens("text").alias("tokens"), F.regexp_count("text", F.lit("[A-Za-z0-9_]+")).cast("long").alias("words"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

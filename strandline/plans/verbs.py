@@ -169,3 +169,56 @@ def connections(index: Index, path: str, limit: int = 12, params: Params = DEFAU
 
 def rank_rows(df: DataFrame, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def read_span(sources: DataFrame, path: str, first: int, last: int, context_lines: int = 0) -> DataFrame:
+    from strandline.sources.files import read_span as read
+
+    return read(sources, path, first, last, context_lines)
+
+
+def note_refs(notes: Index, code: Index) -> DataFrame:
+    """(note, kind, symbol, path, lines, text): what notes refer to, with the text it has now."""
+    found = code_links(notes, code).select("note", "kind", "symbol", "path", "lines")
+    bodies = extract.inventory(code.chunks).select(F.col("name").alias("symbol"), "path", "text")
+    files = code.chunks.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_start", "text"))), lambda c: c["text"]), "\n").alias("text"))
+    by_symbol = found.filter("kind = 'symbol'").join(bodies, ["symbol", "path"])
+    by_file = found.filter("kind = 'file'").join(files, "path")
+    return by_symbol.select("note", "kind", "symbol", "path", "lines", "text").unionByName(by_file.select("note", "kind", "symbol", "path", "lines", "text"))
+
+
+def drift_baseline(notes: Index, code: Index) -> DataFrame:
+    return crosslinks.snapshot(note_refs(notes, code))
+
+
+def drift_check(baseline: DataFrame, notes: Index, code: Index, muted: DataFrame | None = None, note: str | None = None) -> DataFrame:
+    found = crosslinks.drift(baseline, drift_baseline(notes, code), muted)
+    return found if note is None else found.filter(F.col("note") == note)
+
+
+def drift_ack(baseline: DataFrame, notes: Index, code: Index, note: str, symbol: str | None = None) -> DataFrame:
+    return crosslinks.acknowledge(baseline, drift_baseline(notes, code), note, symbol)
+
+
+def drift_mute(muted: DataFrame, note: str, symbol: str = "*") -> DataFrame:
+    new = muted.sparkSession.createDataFrame([(note, symbol)], "note string, symbol string")
+    return muted.unionByName(new).distinct()
+
+
+def drift_sync(baseline: DataFrame, notes: Index, code: Index, muted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    return crosslinks.sync(baseline, drift_baseline(notes, code), muted)
+
+
+def neighbourhood(index: Index, path: str, k: int = 12, most: int = 40) -> tuple[DataFrame, DataFrame]:
+    steps = graph.build_links(index.edges).filter(F.col("kind").isin("links", "embeds"))
+    return crosslinks.neighbourhood(path, connections(index, path, k), steps, k, most)
+
+
+def token_savings(index: Index, sources: DataFrame, asked: list[str], k: int = 5) -> DataFrame:
+    from strandline.operators.evaluate import token_savings as savings
+
+    hits = None
+    for q in asked:
+        found = search(index, q, k, centrality=False).select(F.lit(q).alias("query"), "snippet")
+        hits = found if hits is None else hits.unionByName(found)
+    return savings(sources, hits)
