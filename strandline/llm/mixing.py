@@ -6,16 +6,16 @@ words.  Capped water-filling: every source gets its weight's part of the mix, ta
 others, until no target is above its cap.  That fixed point is one water level: target = min(cap,
 weight * level), found by ordering sources by cap / weight and one pass of prefix sums.
 
-A source takes floor(target / size) whole repetitions of every text and, in an order seeded by the
-id, one more of each text until the rest of its target is used; the text at the cut gives its first
+A source takes floor(target / size) whole repetitions of every text and, in an order seeded by id and
+text, one more of each text until the rest of its target is used; the text at the cut gives its first
 words only (a fractional repetition), so a source's words equal its target rounded down, within 1.
 
-DataFrame operations only.  The order inside a source is cut into ``PARTS`` ranges of the seeded
-hash, so a source with a third of all rows stays spread; equal rows are counted first.  The table of
+DataFrame operations only.  The order inside a source is cut into 256 ranges of the seeded hash, so
+a source, or an id, with a third of all rows stays spread; equal rows are counted first.  The table of
 sources has one row a source and is windowed in one task.
 
 Defined results.  Null or empty text: size 0, nothing taken.  Null source: a source, ordered last.
-Repeated rows share the words taken evenly by their order.  Empty table: no rows.
+Repeated rows stand one after another in the order.  Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MAX_EPOCHS = 2
 SEED = "strandline-mix"
-PARTS = 256
 
 
 def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT,
@@ -63,16 +62,18 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_perce
     )
 
 
-def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(doc_id, source, text_hash, size, copies): distinct rows with how often each occurs."""
+def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
+    """(doc_id, source, text_hash, seeded, size, copies): distinct rows with how often each occurs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("null"))
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).alias("source"),
         F.xxhash64(text).alias("text_hash"),
+        F.md5(F.concat(F.lit(seed + ":"), own, F.lit(":"), F.md5(text))).alias("seeded"),
         F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
     )
-    return rows.groupBy("doc_id", "source", "text_hash", "size").agg(F.count("*").alias("copies"))
+    return rows.groupBy("doc_id", "source", "text_hash", "seeded", "size").agg(F.count("*").alias("copies"))
 
 
 def mix(
@@ -84,19 +85,13 @@ def mix(
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = scratch.save(_measured(docs, id_col, text_col, source_col), "rows")
+    rows = scratch.save(_measured(docs, id_col, text_col, source_col, seed), "rows")
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
     targets = scratch.save(water_fill(sizes), "targets")
-    order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    seeded = rows.withColumn("seeded", order).withColumn("total", F.col("size") * F.col("copies"))
-    # The range: the first two hex digits of the seeded hash; null ids all share one hash, so the text's splits them.
-    spread = F.when(F.col("doc_id").isNull(), F.hex(F.col("text_hash"))).otherwise(F.lit("0"))
-    seeded = seeded.withColumn("part", F.substring("seeded", 1, 2)).withColumn(
-        "sub_part", F.substring(F.lpad(spread, 16, "0"), 1, 2)
-    )
-    placed = with_prefix_sums(
-        seeded, ["source"], ["part", "sub_part"], ["seeded", "size", "text_hash"], {"before": "total"}
-    )
+    seeded = rows.withColumn("total", F.col("size") * F.col("copies"))
+    # The first two hex digits of the seeded hash cut a source's order into ranges.
+    seeded = seeded.withColumn("part", F.substring("seeded", 1, 2))
+    placed = with_prefix_sums(seeded, ["source"], ["part"], ["seeded", "size", "text_hash"], {"before": "total"})
     named = targets.withColumnRenamed("source", "__source")
     joined = placed.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
     each = joined.select("*", F.explode(F.expr("sequence(1L, copies)")).alias("nth"))
@@ -147,7 +142,7 @@ ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, source, text,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^ \t-\r]+')) AS BIGINT) AS size,
-    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS seeded
+    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS seeded
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM s),

@@ -73,12 +73,15 @@ def _bag_batches(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << bits
         for batch in batches:
-            for part in _text.chunks(batch.column("text"), 1):  # a document at a time
+            offsets, data = _text.string_buffers(batch.column("text"))
+            for k in range(batch.num_rows):
+                text = data[offsets[k] : offsets[k + 1]]
+                part = _text.Chunk(k, k + 1, text, np.array([0, len(text)]))
                 parts = [b[ok] for b, ok in ngram_buckets(part, bits)]
                 single, pair, _ = word_buckets(part, bits)
                 seen = np.bincount(np.concatenate([*parts, single, pair[pair >= 0]]).astype(np.int64), minlength=size)
                 at = np.flatnonzero(seen)
-                rows = slice(part.first, part.last)
+                rows = slice(k, k + 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id")[rows],
