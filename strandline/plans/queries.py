@@ -53,11 +53,11 @@ WITH f AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS f FROM lineitem),
 u AS (SELECT f.* FROM f JOIN (SELECT k FROM f GROUP BY k HAVING count(*) <= 25) g USING (k)),
 n AS (SELECT f, count(*) AS n FROM u GROUP BY f),
 p AS (SELECT a.f AS a, b.f AS b, count(*) AS c FROM u a JOIN u b ON a.k = b.k AND a.f < b.f GROUP BY 1, 2 HAVING count(*) >= 3)
-SELECT p.a, p.b, p.c AS count, floor(p.c / least(x.n, y.n) * 100.0 + 0.5) / 100.0 AS confidence, CAST(NULL AS BOOLEAN) AS call_edge
+SELECT p.a, p.b, p.c AS count, floor(p.c / least(x.n, y.n) * 100.0 + 0.5) / 100.0 AS confidence
 FROM p JOIN n x ON p.a = x.f JOIN n y ON p.b = y.f""")
 def cochange(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hash"), F.col("l_suppkey").alias("file"))
-    return gitmetrics.cochange(items)
+    return gitmetrics.cochange(items).drop("call_edge")
 
 
 @query("""
