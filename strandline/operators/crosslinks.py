@@ -9,16 +9,16 @@ from strandline.functions import text
 from strandline.params import DEFAULTS, Params
 from strandline.sources.tables import first_by
 
-#: Identifiers too plain to be mentions.
-STOP_NAMES = ("this", "that", "with", "from", "true", "false", "null", "none", "self", "main", "test", "data", "name", "type", "value", "index", "note", "file", "line", "code")
-_PATH = r"(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+\.[A-Za-z0-9]+"
+#: Identifiers too plain to be mentions, and where mentioned code files live.
+STOP_NAMES = ("this", "true", "false", "null", "function", "return", "const", "async", "await", "import", "export", "class", "interface", "type", "value", "string", "number", "object")
+_PATH = r"(?:packages|apps|src|lib|tools|scripts)/[A-Za-z0-9_\-./]+\.(?:ts|tsx|js|jsx|mjs|cjs|py|rs|go|c|cc|cpp|h|hpp|cs|java|kt|rb|swift)"
 
 
 def mentions(notes: DataFrame) -> DataFrame:
     """(note, name, count): identifiers of four letters or more in (path, text)."""
     names = F.regexp_extract_all("text", F.lit(r"[A-Za-z_$][A-Za-z0-9_$]{3,}"), F.lit(0))
     each = notes.select(F.col("path").alias("note"), F.explode(names).alias("name"))
-    return each.filter(~F.lower("name").isin(*STOP_NAMES)).groupBy("note", "name").agg(F.count("*").alias("count"))
+    return each.filter(~F.col("name").isin(*STOP_NAMES)).groupBy("note", "name").agg(F.count("*").alias("count"))
 
 
 def mentioned_paths(notes: DataFrame) -> DataFrame:

@@ -146,9 +146,12 @@ def covering_chunk(calls: DataFrame, chunks: DataFrame) -> DataFrame:
 
 #: Method names too common to tell files apart.
 COMMON_METHODS = (
-    "get", "set", "add", "push", "pop", "map", "filter", "reduce", "forEach", "find", "has", "delete", "clear", "keys",
-    "values", "entries", "then", "catch", "join", "split", "slice", "replace", "test", "match", "toString", "size",
-    "length", "begin", "end", "append", "insert", "remove", "close", "open", "read", "write", "next", "update",
+    "get", "set", "has", "delete", "add", "clear", "find", "findIndex", "findLast", "filter", "map", "flatMap", "forEach",
+    "reduce", "reduceRight", "some", "every", "includes", "indexOf", "lastIndexOf", "push", "pop", "shift", "unshift", "slice",
+    "splice", "concat", "join", "split", "sort", "reverse", "fill", "keys", "values", "entries", "next", "then", "catch",
+    "finally", "on", "off", "emit", "once", "addListener", "removeListener", "addEventListener", "removeEventListener",
+    "dispatchEvent", "toString", "valueOf", "hasOwnProperty", "call", "apply", "bind", "mock", "spy", "fn", "mockReturnValue",
+    "mockResolvedValue", "mockImplementation",
 )
 
 

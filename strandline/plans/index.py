@@ -33,12 +33,10 @@ class Index:
 
 def _features(chunks: DataFrame, params: Params) -> DataFrame:
     rows = chunks.withColumn("prefix", text.synthetic_prefix("path", "scope", "text"))
-    names = F.transform("symbols", lambda s: s["name"])
-    names = F.when(F.size(names) > 0, names).otherwise(text.declared_symbols("text"))
     return (
         rows.withColumn("embed_text", text.embed_text("prefix", "text"))
         .withColumn("content_hash", text.content_hash("embed_text"))
-        .withColumn("fts_text", text.fts_text("path", names, "text", params.bm25_boost))
+        .withColumn("fts_text", text.fts_text("path", "scope", "text", params.bm25_boost))
     )
 
 

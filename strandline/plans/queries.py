@@ -162,7 +162,7 @@ def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT p_partkey, upper(p_name) AS shouted, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug,
   trim(regexp_replace(lower(p_type), '[^a-z0-9_]+', '_', 'g'), '_') AS label,
-  CAST((length(p_name) - length(replace(p_name, 'a', ''))) AS BIGINT) AS n_a,
+  CAST((length(p_name) - length(replace(lower(p_name), 'a', ''))) AS BIGINT) AS n_a,
   substr(p_name, 1, 5) AS head FROM part""")
 def label_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "part").select(
@@ -172,8 +172,8 @@ def label_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH n AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '/\*(?s:.*?)\*/', '', 'g'),
-    '(^|[^:])//[^\n]*', '\1', 'g'), '(?m)^[ \t]*#[^\n]*', '', 'g'), '[ \t\n\r\f\v]+', '', 'g') AS body FROM documents)
+WITH n AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '/\*(?s:.*?)\*/', ' ', 'g'),
+    '(^|[^:])//[^\n]*', '\1', 'g'), '(^|[ \t\n\r\f\v])#[^\n]*', '\1', 'g'), '[ \t\n\r\f\v]+', '', 'g') AS body FROM documents)
 SELECT doc_id, sha1(body) AS body_hash FROM n""")
 def drift_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", text.body_hash("text").alias("body_hash"))
@@ -182,10 +182,8 @@ def drift_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 SELECT conv_id, turn, regexp_matches(trim(text, E' \n\t\r\f\v'), '^[A-Za-z_$][A-Za-z0-9_$]*$') AS is_symbol,
   regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(tests?|specs?|mocks?|fixtures?)([^A-Za-z0-9_]|$)') AS seeks_tests,
-  len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN ('this', 'that', 'with',
-  'from', 'have', 'will', 'your', 'what', 'when', 'where', 'which', 'about', 'into', 'then', 'than', 'they', 'them', 'there', 'their',
-  'these', 'those', 'would', 'could', 'should', 'been', 'being', 'also', 'note', 'notes', 'todo', 'section', 'overview', 'summary')))) AS n_terms
-FROM conversations""")
+  len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN (STRUCTURAL)))) AS n_terms
+FROM conversations""".replace("STRUCTURAL", ", ".join(f"'{w}'" for w in text.STRUCTURAL_WORDS)))
 def query_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "conversations").select(
         "conv_id", "turn", predicates.is_symbol_query(F.col("text")).alias("is_symbol"), predicates.seeks_tests(F.col("text")).alias("seeks_tests"),

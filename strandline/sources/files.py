@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from strandline.functions import predicates
 from strandline.functions.text import slice_lines
 
-#: Indexable extensions and their language; a language without grammar is its extension.
+#: Indexable extensions and their language; those without a grammar stand for themselves.
 LANGUAGES = {
-    "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript",
-    "tsx": "tsx", "py": "python", "rs": "rust", "go": "go", "c": "c", "h": "cpp", "cc": "cpp", "cpp": "cpp",
-    "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "java": "java", "cs": "csharp", "rb": "ruby", "php": "php",
-    "hlsl": "hlsl", "glsl": "glsl", "md": "markdown", "markdown": "markdown", "json": "json", "yaml": "yaml",
-    "yml": "yaml", "toml": "toml", "sh": "sh", "sql": "sql", "html": "html", "css": "css", "txt": "txt",
+    "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "py": "python", "rs": "rust", "go": "go", "sh": "bash", "c": "c", "h": "cpp", "cpp": "cpp", "cc": "cpp", "cxx": "cpp",
+    "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "m": "objc", "mm": "objc", "metal": "cpp", "hlsl": "hlsl", "hlsli": "hlsl",
+    "fx": "hlsl", "fxh": "hlsl", "glsl": "glsl", "vert": "glsl", "frag": "glsl", "comp": "glsl", "geom": "glsl", "tesc": "glsl",
+    "tese": "glsl", "wgsl": "wgsl", "slang": "hlsl", "json": "json", "toml": "toml", "yml": "yaml", "yaml": "yaml", "css": "css",
+    "html": "html", "md": "markdown", "mdx": "markdown",
 }
 
 

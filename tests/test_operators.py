@@ -64,7 +64,7 @@ def test_entrypoints(spark):
     data = [("bin/x.js", "f", ""), ("a.js", "handler", ""), ("a.js", "onClick", ""), ("a.js", "g", "export function g() {"), ("a.go", "Public", ""), ("a.js", "h", "function h() {"), ("tests/a.js", "h", "")]
     df = spark.createDataFrame(data, "path string, name string, text string")
     got = [r[0] for r in df.select(entrypoint_reason(F.col("path"), F.col("name"), F.col("text"))).collect()]
-    assert got == ["entry-file", "entry-name", "entry-name", "exported", "go-exported", None, "test"]
+    assert got == ["entry file", "entry/handler name", "entry/handler name", "exported", "go exported", None, "test path"]
 
 
 def test_bfs_against_python(spark):
