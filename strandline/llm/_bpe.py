@@ -19,7 +19,7 @@ from strandline.llm._text import mix64
 
 _U64 = np.uint64
 _SPACE, _LETTER, _DIGIT, _OTHER, _HARD = range(5)
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 _LOADED: dict[str, WordBpe] = {}
 
 

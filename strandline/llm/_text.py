@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
+SLICE_ROWS = 1000
 
 _U64 = np.uint64
 _GOLDEN = _U64(0x9E3779B97F4A7C15)
@@ -60,6 +61,25 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ends - ends[0], raw[ends[0] : ends[-1]]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in runs of few rows, so that derived columns stay small; freed memory goes back between batches."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+        release()
+
+
+def release() -> None:
+    """Give freed pages back to the system: workers live as long as their executor and share its memory."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Cut a column into runs of whole documents of about ``size`` bytes."""
     offsets, data = string_buffers(column)

@@ -224,7 +224,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             [("start_byte", pa.int64()), ("end_byte", pa.int64()), ("label", pa.string()), ("confidence", pa.float64())]
         )
     )
-    for batch in batches:
+    for batch in _text.slices(batches):
         for part in _text.chunks(batch.column("text")):
             lowered = _text.LOWER[part.data]
             found = _text.words(_text.Chunk(part.first, part.last, lowered, part.offsets), _text.ALNUM, hashed=False)

@@ -39,7 +39,7 @@ _U64 = np.uint64
 
 
 def _lowered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, _text.Chunk, _text.Words]]:
-    for batch in batches:
+    for batch in _text.slices(batches):
         text = pc.utf8_lower(pc.fill_null(batch.column("text"), ""))
         for part in _text.chunks(text):
             yield batch, part, _text.words(part, _text.ALNUM)

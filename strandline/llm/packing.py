@@ -48,7 +48,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 def _piece_batches(vocabulary: str, window: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe.load(vocabulary)
-        for batch in batches:
+        for batch in _text.slices(batches):
             ids = batch.column("doc_id").to_pylist()
             for part in _text.chunks(batch.column("text"), _CHUNK):
                 out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "crc", "tokens")}
@@ -70,7 +70,7 @@ def _piece_batches(vocabulary: str, window: int, end_id: int):
     return run
 
 
-_CHUNK = 4_000_000
+_CHUNK = 1_000_000
 
 
 def combinations(bins: int, depth: int) -> list[tuple[int, ...]]:

@@ -72,7 +72,7 @@ def word_buckets(part: _text.Chunk, bits: int) -> tuple[np.ndarray, np.ndarray,
 def _bag_batches(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << bits
-        for batch in batches:
+        for batch in _text.slices(batches):
             offsets, data = _text.string_buffers(batch.column("text"))
             for k in range(batch.num_rows):
                 text = data[offsets[k] : offsets[k + 1]]

@@ -76,7 +76,7 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _text.slices(batches):
         for part in _text.chunks(batch.column("text")):
             counted = count_features(part)
             rows = slice(part.first, part.last)

@@ -76,7 +76,7 @@ def features(part: _text.Chunk, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _feature_batches(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.slices(batches):
             for part in _text.chunks(pc.utf8_lower(batch.column("text"))):
                 doc, index = features(part, bits)
                 pairs = np.unique((doc << bits) | index)
@@ -192,7 +192,7 @@ def scorer(model, lower: bool = True):
     """A ``mapInArrow`` function that replaces the column text by the model's score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.slices(batches):
             text = pc.fill_null(batch.column("text"), "")
             text = pc.utf8_lower(text) if lower else text
             for part in _text.chunks(text):
@@ -220,7 +220,7 @@ def filtering(model, lower: bool, text_col: str, keep_high: bool):
     """A ``mapInArrow`` function that keeps the whole rows whose label-1 score is on the wanted side of 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _text.slices(batches):
             text = pc.fill_null(batch.column(text_col), "")
             text = pc.utf8_lower(text) if lower else text
             high = [model.score(part) >= 0.5 for part in _text.chunks(text)]
