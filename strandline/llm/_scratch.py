@@ -24,8 +24,10 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.dir = spark, f"{root(spark)}/strandline-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, parts: int | None = None) -> DataFrame:
+        """Write and read again; ``parts`` bounds the files of a table whose size is known to be small."""
         path = f"{self.dir}/{name}"
+        df = df if parts is None else df.coalesce(parts)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

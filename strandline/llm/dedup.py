@@ -12,9 +12,10 @@ are read, so further columns of any name do no harm.
 
 Scale.  Copies collapse on a 64-bit fingerprint of the multiset before any candidate search, with
 map-side partial aggregation, so a group of a third of all rows is one row afterwards.  A bucket
-never meets in one task: its members are compared with one centre per round (linear in the bucket),
-and only pairs that are still in different components after ``star_rounds`` are compared directly.
-No bucket is capped.
+never meets in one task: its members are compared with one centre per round (linear in the bucket).
+After ``STAR_ROUNDS`` rounds, members of buckets that still hold several components are compared by
+an exact prefix filter: a link to another component needs a common token among the rarest of both
+multisets, so texts with too much of their own are out without a comparison.  No bucket is capped.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import _text
@@ -34,9 +35,10 @@ from strandline.llm._scratch import Scratch
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+HOT = 8
 _U64 = np.uint64
-_CHUNK = 4_000_000
+_CHUNK = 1_000_000
 
 
 def shingle_bags(chunk: _text.Chunk, n: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,7 +121,7 @@ def _fingerprints(doc: np.ndarray, key: np.ndarray, weight: np.ndarray, docs: in
 def _signature_batches(slots_bands: int, slots_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = slots_bands * slots_rows
-        for batch in batches:
+        for batch in _text.slices(batches):
             lowered = pc.utf8_lower(pc.fill_null(batch.column("text"), ""))
             for part in _text.chunks(lowered, _CHUNK):
                 doc, key, weight = shingle_bags(part)
@@ -153,7 +155,7 @@ def _signature_batches(slots_bands: int, slots_rows: int):
 
 def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fp, bag): each text's multiset as distinct hashes of (shingle, which occurrence)."""
-    for batch in batches:
+    for batch in _text.slices(batches):
         lowered = pc.utf8_lower(pc.fill_null(batch.column("text"), ""))
         for part in _text.chunks(lowered, _CHUNK):
             doc, key, weight = shingle_bags(part)
@@ -168,19 +170,21 @@ def _bag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(fp), bags], ["fp", "bag"])
 
 
-def components(spark: SparkSession, scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, known: DataFrame | None, name: str) -> DataFrame:
     """(fp, root): the least node of each node's connected component.
 
-    Minimum labels spread over edges and along pointers until none changes; each round is written
-    to the shared folder, so lineage stays short and a lost executor costs one round at most.
+    Minimum labels spread over edges and along pointers until none changes, from the labels already
+    ``known``; each round is written to the shared folder, so lineage stays short and a lost executor
+    costs one round at most.  Files are as many as the number of edges asks for.
     """
-    both = scratch.save(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), f"{name}-edges"
-    )
-    labels = scratch.save(
-        both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("m")).select("fp", F.least("fp", "m").alias("root")),
-        f"{name}-0",
-    )
+    parts = 1 + edges.count() // 500_000
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy(F.col("a").alias("fp")).agg(F.min("b").alias("m"))
+    if known is None:
+        first = first.select("fp", F.least("fp", "m").alias("root"))
+    else:
+        first = first.join(known, "fp", "full").select("fp", F.least("fp", "m", "root").alias("root"))
+    labels = scratch.save(first, f"{name}-0", parts)
     step = 0
     while True:
         step += 1
@@ -191,19 +195,41 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame, name: st
         )
         jump = labels.select(F.col("fp").alias("root"), F.col("root").alias("far"))
         stepped = (
-            labels.join(spread, "fp")
+            labels.join(spread, "fp", "left")
             .join(jump, "root")
             .select("fp", F.least("root", "near", "far").alias("root"), F.col("root").alias("was"))
         )
-        now = scratch.save(stepped, f"{name}-{step}")
+        now = scratch.save(stepped, f"{name}-{step}", parts)
         changed = now.filter("root <> was").limit(1).count()
-        if step > 1:
-            scratch.drop(f"{name}-{step - 1}")
         labels = now.drop("was")
         if not changed:
             return labels
 
 
+def rare_prefixes(bags: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
+    """(token, fp, n, root, hot, core): the tokens by which a link to another component must be found.
+
+    Two sets of at least ``threshold`` Jaccard similarity share a token among the n - ceil(threshold
+    * n) + 1 rarest of each, whatever order of tokens is common to both; here the order is by how many
+    of the sets hold a token.  Tokens that a single component holds find no new link and go.
+
+    ``hot`` tokens, held by more than ``HOT`` sets, are last in the order: a set with one among its
+    rarest has all its other tokens there too.  So two sets that meet by hot tokens alone share nothing
+    else, and the lesser of their numbers of hot tokens (``core``) bounds what they have in common.
+    """
+    each = placed.join(bags, "fp").select("fp", "n", "root", F.explode("bag").alias("token"))
+    held = each.groupBy("token").agg(
+        F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
+    order = Window.partitionBy("fp").orderBy("held", "token")
+    ranked = each.join(held, "token").withColumn("place", F.row_number().over(order)).withColumn("hot", F.col("held") > HOT)
+    ranked = ranked.withColumn("core", F.sum(F.col("hot").cast("int")).over(Window.partitionBy("fp")))
+    room = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
+    return ranked.filter((F.col("place") <= room) & (F.col("low") != F.col("high"))).select(
+        "token", "fp", "n", "root", "hot", "core"
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -211,7 +237,6 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     bands: int = BANDS,
     rows: int = ROWS,
-    star_rounds: int = STAR_ROUNDS,
 ) -> DataFrame:
     """One row per input row: (doc_id, text_hash, class_id, class_size, kept).
 
@@ -238,18 +263,13 @@ def near_duplicates(
     )
     keyed = distinct.select("fp", "n", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
-    members = scratch.save(
-        keyed.join(scratch.save(shared, "shared"), "bucket").select("bucket", "fp", "n"), "members"
-    )
-    involved = members.select("fp").distinct()
-    wanted = scratch.save(
-        distinct.join(involved, "fp", "left_semi").select(
-            "doc_id", F.coalesce("text_hash", "any_hash").alias("text_hash")
-        ),
-        "wanted",
+    members = scratch.save(keyed.join(shared, "bucket").select("bucket", "fp", "n"), "members")
+    parts = 1 + members.count() // 100_000
+    wanted = distinct.join(members.select("fp").distinct(), "fp", "left_semi").select(
+        F.col("doc_id").alias("w_id"), F.coalesce("text_hash", "any_hash").alias("w_hash")
     )
     texts = source.join(
-        wanted.withColumnsRenamed({"doc_id": "w_id", "text_hash": "w_hash"}),
+        wanted,
         F.col("text_hash").eqNullSafe(F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")),
         "left_semi",
     ).select("text")
@@ -258,65 +278,59 @@ def near_duplicates(
         "bags",
     )
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Of the pairs (a, b), those whose multisets reach the threshold."""
+        pairs = scratch.save(pairs, f"{name}-pairs", parts)
         left = bags.select(F.col("fp").alias("a"), F.col("bag").alias("bag_a"))
         right = bags.select(F.col("fp").alias("b"), F.col("bag").alias("bag_b"))
         both = F.size(F.array_intersect("bag_a", "bag_b"))
-        return (
+        found = (
             pairs.join(right, "b")
             .join(left, "a")
             .withColumn("common", both)
             .filter(F.col("common") >= threshold * (F.size("bag_a") + F.size("bag_b") - F.col("common")))
             .select("a", "b")
         )
+        return scratch.save(found, f"{name}-links", parts)
 
     close = F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")
+    apart = F.col("a_root") != F.col("b_root")
     edges: DataFrame | None = None
     roots: DataFrame | None = None
-    step, last = 0, False
-    while True:
-        last = last or step >= star_rounds
-        placed = (
-            members.withColumn("root", F.col("fp"))
-            if roots is None
-            else members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        )
-        placed = scratch.save(placed.select("bucket", "fp", "n", "root"), f"placed-{step}")
-        mixed = (
-            placed.groupBy("bucket")
-            .agg(
-                F.min("root").alias("low"),
-                F.max("root").alias("high"),
-                F.min_by("fp", F.xxhash64("fp", "bucket", F.lit(step))).alias("a"),
-                F.min_by("n", F.xxhash64("fp", "bucket", F.lit(step))).alias("a_n"),
-                F.min_by("root", F.xxhash64("fp", "bucket", F.lit(step))).alias("a_root"),
-            )
-            .filter("low <> high")
-            .drop("low", "high")
-        )
-        mixed = scratch.save(mixed, f"mixed-{step}")
-        if not mixed.limit(1).count():
+    for step in range(STAR_ROUNDS + 1):
+        placed = members.withColumn("root", F.col("fp"))
+        if roots is not None:
+            placed = members.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        mixed = mixed.filter("low <> high").select("bucket")
+        placed = scratch.save(placed.join(mixed, "bucket").select("bucket", "fp", "n", "root"), f"placed-{step}", parts)
+        if not placed.limit(1).count():
             break
         right = placed.withColumnsRenamed({"fp": "b", "n": "b_n", "root": "b_root"})
-        if not last:
-            pairs = right.join(mixed, "bucket").filter((F.col("a_root") != F.col("b_root")) & close)
+        if step < STAR_ROUNDS:
+            # Centres: by a hash that few buckets share, and then the members with the most links so far.
+            order = F.xxhash64("fp", F.pmod("bucket", F.lit(4)), F.lit(step))
+            graded = placed
+            if edges is not None:
+                ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("degree"))
+                graded = placed.join(ends, "fp", "left")
+                order = F.struct(-F.coalesce("degree", F.lit(0)), F.xxhash64("fp"))
+            centre = graded.groupBy("bucket").agg(F.min_by(F.struct("fp", "n", "root"), order).alias("c"))
+            centre = centre.select("bucket", F.col("c.fp").alias("a"), F.col("c.n").alias("a_n"), F.col("c.root").alias("a_root"))
+            pairs = right.join(centre, "bucket").filter(apart & close)
         else:
-            rest = scratch.save(placed.join(mixed.select("bucket"), "bucket"), "rest")
-            left = rest.withColumnsRenamed({"fp": "a", "n": "a_n", "root": "a_root"})
-            right = rest.withColumnsRenamed({"fp": "b", "n": "b_n", "root": "b_root"})
-            pairs = left.join(right, "bucket").filter(
-                (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & close
-            )
+            lonely = placed.select("fp", "n", "root").distinct()
+            tokens = scratch.save(rare_prefixes(bags, lonely, threshold), "tokens")
+            left = tokens.withColumnsRenamed({"fp": "a", "n": "a_n", "root": "a_root", "core": "a_core"})
+            right = tokens.drop("hot").withColumnsRenamed({"fp": "b", "n": "b_n", "root": "b_root", "core": "b_core"})
+            most = F.least("a_core", "b_core")
+            may = ~F.col("hot") | (most >= threshold * (F.col("a_n") + F.col("b_n") - most))
+            pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & apart & close & may)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = scratch.save(linked(scratch.save(pairs, f"pairs-{step}")), f"links-{step}")
-        new = found.limit(1).count()
-        if new:
+        found = linked(pairs, f"round-{step}")
+        if found.limit(1).count():
             edges = found if edges is None else edges.union(found)
-            roots = components(spark, scratch, edges, f"components-{step}")
-        if last:
-            break
-        step, last = step + 1, not new
+            roots = components(scratch, edges, roots, f"components-{step}")
 
     classes = distinct.select("fp", "doc_id", "text_hash", "any_hash")
     classes = (
@@ -324,7 +338,7 @@ def near_duplicates(
         if roots is None
         else classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     )
-    classes = scratch.save(classes.select("fp", "root"), "classes")
+    classes = scratch.save(classes.select("fp", "root"), "classes", parts)
     placed = signed.select("doc_id", "text_hash", "fp").join(classes, "fp")
     least = placed.groupBy("root").agg(
         F.min("doc_id").alias("class_id"),
@@ -335,7 +349,7 @@ def near_duplicates(
         ).alias("first"),
     )
     verdict = scratch.save(
-        classes.join(scratch.save(least, "least"), "root").select("fp", "class_id", "class_size", "first"), "verdict"
+        classes.join(least, "root").select("fp", "class_id", "class_size", "first"), "verdict"
     )
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     whole = signed.select("doc_id", "text_hash", "fp").join(verdict, "fp")
