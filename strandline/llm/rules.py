@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import _text
+from strandline.llm._scratch import Scratch
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -125,7 +126,8 @@ def apply_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT
 ) -> DataFrame:
     """The counts of each row with its host's shrunk rate and the verdict ``kept``."""
-    counted = document_counts(docs, id_col, text_col, host_col)
+    # Texts are read once: hosts and verdicts both come from the written counts.
+    counted = Scratch(docs.sparkSession).save(document_counts(docs, id_col, text_col, host_col), "counts")
     hosts = host_verdicts(counted, limit).select(F.col("host").alias("__host"), "shrunk_rate", "host_failed")
     joined = counted.join(hosts, F.col("host").eqNullSafe(F.col("__host")), "left").drop("__host")
     return joined.withColumn("kept", ~(F.col("base_failed") | F.coalesce("host_failed", F.lit(False))))
