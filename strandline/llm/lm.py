@@ -1,14 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every token from both sides.
 
-Tokens are classes of lower-cased words: an edge mark, the most frequent word buckets of the corpus,
-and hashed classes for the rest, ``CLASSES`` in all.  The network predicts a masked token from the
-token on its left and the token on its right: embeddings of both, a hidden tanh layer, a softmax
-over the classes.  A document's score is the sum of the conditional log-probabilities of its tokens.
-
-Word counts and counts of (left, token, right) are taken over all tokens of all documents, so they
-grow with the input; they are the sufficient statistics of the training objective, and the network
-is trained on them in numpy (Adam on mini-batches of contexts weighted by their counts).  The number
-of distinct contexts is at most ``CLASSES`` squared, whatever the corpus.
+The network's tokens are classes of lower-cased words: an edge mark, the most frequent word buckets of
+the corpus, and hashed classes for the rest, ``CLASSES`` in all.  It predicts the class of a masked
+token from the classes on its left and on its right: embeddings of both, a hidden tanh layer, a
+softmax.  ``score`` is the sum of these conditional log-probabilities over a document's tokens;
+``score_words`` adds log P(word | class) of every token, so it is a probability of words, not classes.
+
+P(word | class) = (n(word) + 1) / (n(class) + distinct words of the class + 1), the last one for a word
+that the corpus lacks.  Counts of all distinct words (64-bit hashes) are written to a table that grows
+with the vocabulary; the ``HEAD`` most frequent ones go to the tasks, all others are joined.  Counts of
+(left, token, right) are taken over all tokens, but of classes: at most ``CLASSES`` cubed rows, whatever
+the corpus.  They are the sufficient statistics of the network's objective; it is trained on them in
+numpy (Adam on mini-batches of contexts weighted by their counts).
 
 Defined results.  Null or empty text, or one without words: 0 tokens, score 0, mean null.  Repeated
 rows each count and each get their score.  Empty table: no rows.  Only id and text are read.
@@ -30,6 +33,8 @@ from strandline.llm._scratch import Scratch
 CLASSES = 128
 RARE_CLASSES = 32
 WORD_BITS = 18
+HEAD = 65_536
+HELD_WORDS = 1_000_000
 HIDDEN = 32
 EPOCHS = 30
 BATCH = 256
@@ -49,15 +54,27 @@ def _bucket(found: _text.Words, bits: int) -> np.ndarray:
     return (found.hash >> _U64(64 - bits)).astype(np.int64)
 
 
-def _count_words(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, np.int64)
-        for _, _, found in _lowered(batches):
-            total += np.bincount(_bucket(found, bits), minlength=1 << bits)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    return distinct, np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)
 
-    return run
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) over all tokens; a word comes again when a task has seen ``HELD_WORDS`` others."""
+    hashes, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for _, _, found in _lowered(batches):
+        distinct, n = np.unique(found.hash.view(np.int64), return_counts=True)
+        hashes.append(distinct)
+        counts.append(n)
+        held += len(distinct)
+        if held > 2 * HELD_WORDS:
+            distinct, n = _summed(hashes, counts)
+            hashes, counts, held = [distinct], [n], len(distinct)
+            if held > HELD_WORDS:
+                yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], ["word", "n"])
+                hashes, counts, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    distinct, n = _summed(hashes, counts)
+    yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], ["word", "n"])
 
 
 def class_table(frequent: list[int], bits: int, classes: int, rare: int) -> np.ndarray:
@@ -186,28 +203,53 @@ def _train(classes: int, hidden: int):
 
 
 class Model:
-    def __init__(self, network: Network, words: np.ndarray, bits: int):
+    """The network, the class of each bucket, and what P(word | class) is made of.
+
+    ``counts`` is the written table (word, n) of all words, ``head`` and ``head_n`` its most frequent
+    ones in order of the hash, ``class_log`` the log of each class's denominator.
+    """
+
+    def __init__(
+        self, network: Network, words: np.ndarray, bits: int, counts: DataFrame, head: np.ndarray, head_n: np.ndarray,
+        class_log: np.ndarray,
+    ):
         self.network, self.words, self.bits = network, words, bits
+        self.counts, self.head, self.head_n, self.class_log = counts, head, head_n, class_log
 
 
 def fit(
     docs: DataFrame, text_col: str = "text", classes: int = CLASSES, rare: int = RARE_CLASSES, hidden: int = HIDDEN,
-    bits: int = WORD_BITS,
+    bits: int = WORD_BITS, head: int = HEAD,
 ) -> Model:
     """Count over all documents, then train in one task on the bounded table of counts."""
+    scratch = Scratch(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = source.mapInArrow(_count_words(bits), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    top = words.orderBy(F.desc("n"), "bucket").limit(classes - rare - 1).collect()  # fewer than ``classes`` rows
+    words = source.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = scratch.save(words, "words")
+    bucket = F.shiftrightunsigned("word", 64 - bits).alias("bucket")
+    buckets = words.groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
+    top = buckets.orderBy(F.desc("n"), "bucket").limit(classes - rare - 1).collect()  # fewer than ``classes`` rows
     table = class_table([r.bucket for r in top], bits, classes, rare)
+    rest = words.select(bucket, "n").filter(~F.col("bucket").isin([r.bucket for r in top]))
+    rest = rest.groupBy((F.col("bucket") % rare).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    mass = np.zeros(classes)
+    mass[1 : len(top) + 1] = [r.n + r.v + 1 for r in top]
+    for r in rest:  # at most ``rare`` rows
+        mass[classes - rare + r.k] = r.n + r.v + 1
+    first = words.orderBy(F.desc("n"), "word").limit(head).toArrow()  # at most ``head`` rows
+    order = np.argsort(first["word"].to_numpy())
     counts = source.mapInArrow(_count_triples(table, bits, classes), "code long, n long")
-    counts = Scratch(docs.sparkSession).save(counts.groupBy("code").agg(F.sum("n").alias("n")), "counts")
+    counts = scratch.save(counts.groupBy("code").agg(F.sum("n").alias("n")), "counts")
     kinds = ", ".join(f"{n} binary" for n in Network.NAMES)
     rows = counts.repartition(1).mapInArrow(_train(classes, hidden), kinds).collect()  # one row
     network = Network(classes, hidden)
     for name in Network.NAMES if rows else ():
         value = np.frombuffer(bytes(rows[0][name]), np.float32).reshape(getattr(network, name).shape)
         setattr(network, name, value)
-    return Model(network, table, bits)
+    return Model(
+        network, table, bits, words, first["word"].to_numpy()[order], first["n"].to_numpy()[order],
+        np.log(np.maximum(mass, 1)),
+    )
 
 
 _TABLES: dict[bytes, np.ndarray] = {}
@@ -222,11 +264,11 @@ def _log_table(network: Network) -> np.ndarray:
     return _TABLES[key]
 
 
-def _score_batches(model: Model):
+def _score_batches(network: Network, table: np.ndarray, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = _log_table(model.network)
+        log_p = _log_table(network)
         for batch, part, found in _lowered(batches):
-            codes = triples(found, model.words, model.bits, model.network.classes)
+            codes = triples(found, table, bits, network.classes)
             total = _text.sum_by_doc(log_p[codes].astype(np.float64), found.doc_first)
             rows = slice(part.first, part.last)
             yield pa.RecordBatch.from_arrays(
@@ -238,7 +280,50 @@ def _score_batches(model: Model):
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, score, mean_score) of each row."""
+    """(doc_id, n_tokens, score, mean_score) of each row, by classes alone."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = source.mapInArrow(_score_batches(model), "doc_id long, n_tokens long, score double")
+    scored = source.mapInArrow(_score_batches(model.network, model.words, model.bits), "doc_id long, n_tokens long, score double")
+    return _with_mean(scored)
+
+
+def _with_mean(scored: DataFrame) -> DataFrame:
     return scored.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
+
+
+def _word_batches(network: Network, table: np.ndarray, bits: int, head: np.ndarray, head_n: np.ndarray, class_log: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log_p, head_log = _log_table(network), np.log(head_n + 1.0)
+        for batch, part, found in _lowered(batches):
+            codes = triples(found, table, bits, network.classes)
+            value = log_p[codes].astype(np.float64) - class_log[codes % network.classes]
+            word = found.hash.view(np.int64)
+            at = np.minimum(np.searchsorted(head, word), max(len(head) - 1, 0))
+            known = head[at] == word if len(head) else np.zeros(len(word), bool)
+            value[known] += head_log[at[known]]
+            before = np.concatenate([[0], np.cumsum(~known)])[found.doc_first]
+            others = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(word[~known]))
+            rows = slice(part.first, part.last)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("row")[rows], batch.column("doc_id")[rows], pa.array(found.count.astype(np.int64)),
+                    pa.array(_text.sum_by_doc(value, found.doc_first)), others,
+                ],
+                ["row", "doc_id", "n_tokens", "part", "others"],
+            )
+
+    return run
+
+
+def score_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, score, mean_score) of each row: log P(class | sides) + log P(word | class) of its tokens."""
+    source = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+    )
+    run = _word_batches(model.network, model.words, model.bits, model.head, model.head_n, model.class_log)
+    # Written, so that rows keep their numbers and texts are read once.
+    parts = source.mapInArrow(run, "row long, doc_id long, n_tokens long, part double, others array<long>")
+    parts = Scratch(docs.sparkSession).save(parts, "parts")
+    others = parts.select("row", F.explode("others").alias("word")).join(model.counts, "word", "left")
+    rest = others.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + 1.0)).alias("rest"))
+    total = parts.drop("others").join(rest, "row", "left").withColumn("score", F.col("part") + F.coalesce("rest", F.lit(0.0)))
+    return _with_mean(total.select("doc_id", "n_tokens", "score"))

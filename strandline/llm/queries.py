@@ -49,7 +49,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.fit(docs))
+    return lm.score_words(docs, lm.fit(docs))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,41 @@
+"""The word factor of the language model against brute force, with words in and outside the head."""
+
+import math
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from strandline.llm import _text, lm
+
+
+def _class(model, word):
+    found = _text.words(next(_text.chunks(pa.array([word]))), _text.ALNUM)
+    return int(model.words[int(found.hash[0] >> np.uint64(64 - model.bits))])
+
+
+@pytest.mark.parametrize("head", [0, 4, 1000])
+def test_words_of_a_class_are_told_apart(spark, head):
+    texts = [f"a common text of word{k} and word{k // 2} with rare{k % 7}" for k in range(60)]
+    texts += [texts[0], texts[0], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.fit(docs, classes=12, rare=3, head=head)
+    counts = Counter(w for t in texts for w in re.findall(r"[a-z0-9]+", t or ""))
+    assert model.counts.count() == len(counts)
+    named = {w: _class(model, w) for w in [*counts, "unseen"]}
+    n, v = Counter(), Counter()
+    for w, k in counts.items():
+        n[named[w]] += k
+        v[named[w]] += 1
+    asked = docs.union(spark.createDataFrame([(0, texts[0]), (900, "unseen"), (901, "rare1"), (None, "word3")], docs.schema))
+    by_class = {(r.doc_id, r.n_tokens): r.score for r in lm.score(asked, model).collect()}
+    got = lm.score_words(asked, model).collect()
+    assert sorted(r.doc_id for r in got if r.doc_id is not None) == sorted([*range(len(texts)), 0, 900, 901])
+    given = {**dict(enumerate(texts)), 900: "unseen", 901: "rare1", None: "word3"}
+    for r in got:
+        words = re.findall(r"[a-z0-9]+", given[r.doc_id] or "")
+        factor = sum(math.log((counts[w] + 1) / (n[named[w]] + v[named[w]] + 1)) for w in words)
+        assert r.score == pytest.approx(by_class[r.doc_id, r.n_tokens] + factor, rel=1e-9, abs=1e-9)
+        assert r.mean_score == (pytest.approx(r.score / len(words)) if words else None)
