@@ -1,8 +1,8 @@
 """Communities of a weighted undirected graph: Leiden, refinement, modularity, report.
 
 Leiden moves nodes one at a time and each move sees the ones before, so it runs in one task over the
-graph of *files or symbols* (aggregated by Spark first).  ``propagate`` is the distributed form for
-graphs beyond ``MAX_LOCAL_EDGES``; which one runs is chosen by the measured number of edges.
+graph of *files or symbols* (aggregated by Spark first), at every size.  ``propagate`` is another
+method, for a caller that asks for it; nothing chooses it by size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from strandline.functions.text import floor_to
 from strandline.operators.graph import file_of
 from strandline.sources.tables import cut
 
-MAX_LOCAL_EDGES = 2_000_000
 MAX_LEVELS = 20
 _EPS = 1e-12
 
@@ -141,8 +140,6 @@ def leiden(edges: list[tuple[str, str, float]]) -> dict[str, int]:
 
 def detect(adj: DataFrame) -> DataFrame:
     """(node, community)."""
-    if adj.count() > MAX_LOCAL_EDGES:
-        return propagate(adj)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = leiden(list(zip(pdf["a"].astype(str), pdf["b"].astype(str), pdf["w"], strict=True)))

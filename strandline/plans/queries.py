@@ -461,6 +461,13 @@ def _nation_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trade.groupBy(F.least("s", "t").cast("string").alias("a"), F.greatest("s", "t").cast("string").alias("b")).agg(F.sum("w").cast("double").alias("w"))
 
 
+def _deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, w): customer, supplier and the lineitems between them."""
+    items = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ends = (F.concat(F.lit(p), F.col(c).cast("string")).alias(n) for p, c, n in (("c", "o_custkey", "a"), ("s", "l_suppkey", "b")))
+    return items.select(*ends).filter("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.count("*").cast("double").alias("w"))
+
+
 @query(_MOD_SQL)
 def modularity_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("node"), F.col("n_regionkey").alias("community"))
@@ -469,7 +476,8 @@ def modularity_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leiden_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return communities.detect(tables.cut(_nation_adjacency(spark, sf_dir)))
+    """Over all customers and suppliers, by the lineitems between them."""
+    return communities.detect(tables.cut(_deals(spark, sf_dir)))
 
 
 @query(f"""WITH {_LINKS_SQL}
