@@ -607,12 +607,22 @@ g AS (SELECT note, symbol, CASE WHEN gone THEN 'removed' WHEN s1 <> s2 THEN 'sig
 SELECT note, symbol, grade, CASE grade WHEN 'body' THEN 'medium' ELSE 'high' END AS severity FROM g WHERE grade IS NOT NULL""")
 def drift_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").filter("NOT (contains(text, '{') OR contains(text, '/*') OR contains(text, '//') OR contains(text, '#'))")
+    return _drift_of(docs)
+
+
+def _drift_of(docs: DataFrame) -> DataFrame:
     refs = docs.select("doc_id", F.col("source").alias("note"), F.lit("symbol").alias("kind"), F.col("doc_id").cast("string").alias("symbol"), F.lit("f").alias("path"), F.lit("1-1").alias("lines"), "text")
     edited = F.expr("CASE WHEN doc_id % 7 = 2 THEN text || ' more' WHEN doc_id % 7 = 4 THEN 'new ' || text WHEN doc_id % 7 = 5 THEN text || '   ' ELSE text END")
     now = crosslinks.snapshot(refs.filter("doc_id % 7 <> 1").withColumn("text", edited))
     return crosslinks.drift(crosslinks.snapshot(refs), now).select("note", "symbol", "grade", "severity")
 
 
+@query()
+def drift_grades_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grades of all documents, those with comment marks and braces too."""
+    return _drift_of(_t(spark, sf_dir, "documents"))
+
+
 # Classification tallies over events
 
 
