@@ -434,6 +434,53 @@ def rollup_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolled.select("source", "target", "kind", "count", (F.col("conf") == "ambiguous").alias("worst_is_ambiguous"))
 
 
+# The same operators over all links of a graph that grows: no SQL, tested against brute force
+
+
+def _part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call graph of parts: each line's part to the next line's in its order; resolved where some line wasn't returned."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    items = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    pairs = items.withColumn("next", F.lead("l_partkey").over(order)).filter("next <> l_partkey")
+    links = pairs.groupBy(F.col("l_partkey").cast("string").alias("src"), F.col("next").cast("string").alias("dst")).agg(F.lit("calls").alias("kind"), F.when(F.bool_or(F.col("l_returnflag") != "R"), "resolved").otherwise("ambiguous").alias("conf"))
+    return tables.cut(links)
+
+
+@query()
+def impact_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.impact(_part_links(spark, sf_dir), spark.createDataFrame([("3",)], "node string"), "callees", 3)
+
+
+@query()
+def ego_graph_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bfs(_part_links(spark, sf_dir), spark.createDataFrame([("7",)], "node string"), 2, directed=False)
+
+
+@query()
+def shortest_path_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = _part_links(spark, sf_dir)
+    found = graph.shortest_path(links, spark.createDataFrame([("3",)], "node string"), links.agg(F.max("dst").alias("node")), 8)
+    return found.select(F.array_join("path", ">").alias("path"), "hops")
+
+
+@query()
+def strong_components_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.strong_components(_part_links(spark, sf_dir))
+
+
+@query()
+def degree_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(_part_links(spark, sf_dir), ("calls",))
+
+
+@query()
+def rollup_brands_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brand = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("k"), F.col("p_brand").alias("g"))
+    placed = _part_links(spark, sf_dir).join(brand.withColumnsRenamed({"k": "src", "g": "gs"}), "src").join(brand.withColumnsRenamed({"k": "dst", "g": "gt"}), "dst")
+    rolled = graph.roll_up(placed, F.col("gs"), F.col("gt"))
+    return rolled.select("source", "target", "kind", "count", (F.col("conf") == "ambiguous").alias("worst_is_ambiguous"))
+
+
 @query("""
 WITH hit AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_quantity >= 45)
 SELECT p_name AS name, 'lib/' || p_partkey || '.go' AS path, CASE WHEN regexp_matches(p_name, '^[A-Z]') THEN 'possible_entrypoint' ELSE 'likely_dead' END AS class
