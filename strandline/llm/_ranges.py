@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Copies of a row that one array may hold.
+RUN = 4096
+
 
 def with_prefix_sums(
     rows: DataFrame, group: list[str], bucket: list[str], order: list[str | Column], sums: dict[str, str]
@@ -35,3 +38,23 @@ def with_prefix_sums(
     return local.join(totals, matched).select(
         *rows.columns, *((F.col(f"__b_{n}") + F.col(f"__i_{n}")).alias(n) for n in sums)
     )
+
+
+def numbered(rows: DataFrame, copies: str, name: str, most: int) -> DataFrame:
+    """Each row ``copies`` (at most ``most``) times, numbered from 0 in a new column ``name``.
+
+    Numbers come in runs of ``RUN``, and where a row can have more copies than that its runs are dealt
+    out, so the copies of one row are neither one array nor one task's.
+    """
+    columns = [*rows.columns, name]
+    last = F.col(copies) - 1
+    runs = rows.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / RUN))))
+    if most > RUN:
+        runs = runs.repartition(*(c for c, kind in rows.dtypes if not kind.startswith("map")), "__run")
+    begin = F.col("__run") * RUN
+    return runs.withColumn(name, F.explode(F.sequence(begin, F.least(last, begin + RUN - 1)))).select(*columns)
+
+
+def largest(rows: DataFrame, column: str) -> int:
+    """The largest value of a column of a written table; 0 without rows."""
+    return rows.agg(F.max(column).alias("m")).first().m or 0

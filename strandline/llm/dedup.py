@@ -8,14 +8,16 @@ a class is a connected component of links.
 Defined results.  Null text: an empty one.  Texts without words are equal to each other and form
 one class.  Exact copies and repeated rows share a class.  Null ids order last; the class id is the
 least id of the class (null only if all are).  Empty table: no rows.  Only the id and text columns
-are read, so further columns of any name do no harm.
+are read, so further columns of any name do no harm; very long texts are read whole.
 
 Scale.  Copies collapse on a 64-bit fingerprint of the multiset before any candidate search, with
-map-side partial aggregation, so a group of a third of all rows is one row afterwards.  A bucket
-never meets in one task: its members are compared with one centre per round (linear in the bucket).
-After ``STAR_ROUNDS`` rounds, members of buckets that still hold several components are compared by
-an exact prefix filter: a link to another component needs a common token among the rarest of both
-multisets, so texts with too much of their own are out without a comparison.  No bucket is capped.
+map-side partial aggregation, so a group of a third of all rows is one row afterwards; its verdict
+goes to every task instead of through a join by fingerprint.  A bucket never meets in one task: in
+each of ``STAR_ROUNDS`` rounds a member is compared with one centre out of all its buckets, so a round
+makes at most as many pairs as there are members.  Then members of buckets that still hold several
+components are compared by an exact prefix filter: a link to another component needs a common token
+among the rarest of both multisets, so texts with too much of their own are out without a comparison.
+No bucket is capped.
 """
 
 from __future__ import annotations
@@ -26,17 +28,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import _text
+from strandline.llm._ranges import largest, numbered
 from strandline.llm._scratch import Scratch
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
 HOT = 8
+#: A fingerprint with more rows than both HOT_ROWS and a HOT_SHARE-th of all is hot.
+HOT_ROWS, HOT_SHARE = 1000, 256
 _U64 = np.uint64
 _CHUNK = 1_000_000
 
@@ -255,23 +260,25 @@ def near_duplicates(
         ),
         "signed",
     )
+    row = F.struct("doc_id", "text_hash")
     distinct = scratch.save(
-        signed.groupBy("fp").agg(F.min_by("text_hash", "doc_id").alias("text_hash"), F.min("doc_id").alias("doc_id"),
-                                 F.first("n").alias("n"), F.first("bands").alias("bands"),
-                                 F.min("text_hash").alias("any_hash")),
+        signed.groupBy("fp").agg(
+            F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), row)), F.min(row)).alias("first"),
+            F.count("*").alias("copies"),
+            F.first("n").alias("n"),
+            F.first("bands").alias("bands"),
+        ),
         "distinct",
-    )
+    )
     keyed = distinct.select("fp", "n", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket")
     members = scratch.save(keyed.join(shared, "bucket").select("bucket", "fp", "n"), "members")
     parts = 1 + members.count() // 100_000
     wanted = distinct.join(members.select("fp").distinct(), "fp", "left_semi").select(
-        F.col("doc_id").alias("w_id"), F.coalesce("text_hash", "any_hash").alias("w_hash")
+        F.col("first.doc_id").alias("w_id"), F.col("first.text_hash").alias("w_hash")
     )
     texts = source.join(
-        wanted,
-        F.col("text_hash").eqNullSafe(F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")),
-        "left_semi",
+        wanted, (F.col("text_hash") == F.col("w_hash")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi"
     ).select("text")
     bags = scratch.save(
         texts.mapInArrow(_bag_batches, "fp long, bag array<long>").groupBy("fp").agg(F.first("bag").alias("bag")),
@@ -306,18 +313,8 @@ def near_duplicates(
         placed = scratch.save(placed.join(mixed, "bucket").select("bucket", "fp", "n", "root"), f"placed-{step}", parts)
         if not placed.limit(1).count():
             break
-        right = placed.withColumnsRenamed({"fp": "b", "n": "b_n", "root": "b_root"})
         if step < STAR_ROUNDS:
-            # Centres: by a hash that few buckets share, and then the members with the most links so far.
-            order = F.xxhash64("fp", F.pmod("bucket", F.lit(4)), F.lit(step))
-            graded = placed
-            if edges is not None:
-                ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("degree"))
-                graded = placed.join(ends, "fp", "left")
-                order = F.struct(-F.coalesce("degree", F.lit(0)), F.xxhash64("fp"))
-            centre = graded.groupBy("bucket").agg(F.min_by(F.struct("fp", "n", "root"), order).alias("c"))
-            centre = centre.select("bucket", F.col("c.fp").alias("a"), F.col("c.n").alias("a_n"), F.col("c.root").alias("a_root"))
-            pairs = right.join(centre, "bucket").filter(apart & close)
+            pairs = star_pairs(placed, edges, step, apart & close)
         else:
             lonely = placed.select("fp", "n", "root").distinct()
             tokens = scratch.save(rare_prefixes(bags, lonely, threshold), "tokens")
@@ -332,48 +329,70 @@ def near_duplicates(
             edges = found if edges is None else edges.union(found)
             roots = components(scratch, edges, roots, f"components-{step}")
 
-    classes = distinct.select("fp", "doc_id", "text_hash", "any_hash")
+    classes = distinct.select("fp", "first", "copies")
     classes = (
         classes.withColumn("root", F.col("fp"))
         if roots is None
         else classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     )
-    classes = scratch.save(classes.select("fp", "root"), "classes", parts)
-    placed = signed.select("doc_id", "text_hash", "fp").join(classes, "fp")
-    least = placed.groupBy("root").agg(
-        F.min("doc_id").alias("class_id"),
-        F.count("*").alias("class_size"),
-        F.coalesce(
-            F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))),
-            F.min(F.struct("doc_id", "text_hash")),
-        ).alias("first"),
+    known = F.when(F.col("first.doc_id").isNotNull(), F.col("first"))
+    least = classes.groupBy("root").agg(
+        F.coalesce(F.min(known), F.min("first")).alias("first"), F.sum("copies").alias("class_size")
     )
+    verdict = classes.select("fp", "copies", "root").join(least, "root")
     verdict = scratch.save(
-        classes.join(least, "root").select("fp", "class_id", "class_size", "first"), "verdict"
+        verdict.select("fp", "copies", F.col("first.doc_id").alias("class_id"), "class_size", "first"), "verdict"
+    )
+    scratch.keep("signed", "verdict")
+    # A multiset with more than 1/HOT_SHARE of all rows goes to every task: fewer than HOT_SHARE rows.
+    hot = F.col("copies") > max(HOT_ROWS, signed.count() // HOT_SHARE)
+    rows_of = signed.select("doc_id", "text_hash", "fp")
+    hot_ones = F.broadcast(verdict.filter(hot).drop("copies"))
+    whole = rows_of.join(hot_ones, "fp").unionByName(
+        rows_of.join(F.broadcast(verdict.filter(hot).select("fp")), "fp", "left_anti").join(verdict.filter(~hot).drop("copies"), "fp")
     )
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
-    whole = signed.select("doc_id", "text_hash", "fp").join(verdict, "fp")
-    # Repeated rows of the kept (doc_id, text_hash): one of them stays.
-    firsts = (
-        whole.filter(same)
-        .groupBy("doc_id", "text_hash", "class_id", "class_size")
-        .agg(F.count("*").alias("copies"))
-        .select("doc_id", "text_hash", "class_id", "class_size", F.explode(F.expr("sequence(1L, copies)")).alias("nth"))
-        .select("doc_id", "text_hash", "class_id", "class_size", (F.col("nth") == 1).alias("kept"))
+    # Repeated rows of the kept (doc_id, text_hash) are counted and numbered: one of them stays.
+    firsts = whole.filter(same).groupBy("doc_id", "text_hash", "class_id", "class_size").agg(F.count("*").alias("copies"))
+    firsts = numbered(firsts, "copies", "nth", largest(verdict, "copies")).withColumn("kept", F.col("nth") == 0)
+    columns = ["doc_id", "text_hash", "class_id", "class_size", "kept"]
+    return whole.filter(~same).withColumn("kept", F.lit(False)).select(*columns).union(firsts.select(*columns))
+
+
+def star_pairs(placed: DataFrame, edges: DataFrame | None, step: int, may: Column) -> DataFrame:
+    """(a, b): each member with one centre, at most as many pairs as members.
+
+    A bucket's centre is its first member in one order of all members: by a hash at first, later by the
+    links found so far, most first, and the hash.  A member takes the first of the centres of its
+    buckets that are of another component and of like size; in one order for all, so members of one
+    group meet at the same centre.
+    """
+    order = F.xxhash64("fp", F.lit(step))
+    graded = placed
+    if edges is not None and step % 2:
+        ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("degree"))
+        graded = placed.join(ends, "fp", "left")
+        order = F.struct(-F.coalesce("degree", F.lit(0)), order)
+    centre = graded.withColumn("order", order).groupBy("bucket").agg(F.min(F.struct("order", "fp", "n", "root")).alias("c"))
+    centre = centre.select(
+        "bucket", "c.order", F.col("c.fp").alias("a"), F.col("c.n").alias("a_n"), F.col("c.root").alias("a_root")
     )
-    others = whole.filter(~same).select("doc_id", "text_hash", "class_id", "class_size", F.lit(False).alias("kept"))
-    return others.union(firsts)
+    met = placed.withColumnsRenamed({"fp": "b", "n": "b_n", "root": "b_root"}).join(centre, "bucket").filter(may)
+    return met.groupBy("b").agg(F.min(F.struct("order", "a")).alias("c")).select("c.a", "b")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are kept: one of each class."""
+    """The rows of ``docs``, with all their columns, that are kept: one of each class.
+
+    Nulls, empty texts, repeated rows and an empty table: as above.  The input's columns travel in one
+    struct, so further columns of any name do no harm.
+    """
     kept = near_duplicates(docs, id_col, text_col, **options).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("__k_id"), F.col("text_hash").alias("__k_hash"))
-    text_hash = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
-    rows = docs.withColumn("__hash", text_hash)
-    rows = rows.join(
-        kept,
-        F.col("__hash").eqNullSafe(F.col("__k_hash")) & rows[id_col].cast("long").eqNullSafe(F.col("__k_id")),
-        "left_semi",
+    kept = kept.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"),
     )
-    return rows.dropDuplicates([id_col, "__hash"]).select(*docs.columns)
+    rows = rows.join(kept, (F.col("hash") == F.col("k_hash")) & F.col("id").eqNullSafe(F.col("k_id")), "left_semi")
+    return rows.dropDuplicates(["id", "hash"]).select("row.*")
