@@ -2,7 +2,8 @@
 
 Splits text as the vocabulary file says (lower case; contractions, runs of letters, single digits,
 runs of other characters; blanks dropped) and applies its merges to the distinct words of a chunk as
-numpy arrays.  Characters outside a checked range send their text through the ``tokenizers`` library.
+numpy arrays.  Characters outside a checked range send their text through the ``tokenizers`` library;
+words of more than ``LONG_WORD`` bytes go through its model, whose time does not grow with the square.
 Merging all leftmost occurrences of the lowest-ranked pair at a time equals merging one by one, as a
 pair made by a merge always ranks after it.
 """
@@ -20,6 +21,7 @@ from strandline.llm._text import mix64
 _U64 = np.uint64
 _SPACE, _LETTER, _DIGIT, _OTHER, _HARD = range(5)
 CACHE_WORDS = 500_000
+LONG_WORD = 128
 _LOADED: dict[str, WordBpe] = {}
 
 
@@ -68,6 +70,7 @@ class WordBpe:
         self.reference = Tokenizer.from_file(path)
         self.special = [t.content for t in self.reference.get_added_tokens_decoder().values()]
         symbols = _byte_symbols()
+        self.symbols = np.array([ord(symbols[b]) for b in range(256)], np.uint32)
         self.inner = np.array([vocab[symbols[b]] for b in range(256)], np.int32)
         self.final = np.array([vocab[symbols[b] + "</w>"] for b in range(256)], np.int32)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
@@ -131,10 +134,16 @@ class WordBpe:
         lists = np.empty(len(size), np.int64)
         out, where, total = [], np.zeros(len(size), np.int64), 0
         order = np.argsort(size, kind="stable")
-        cut = 0
-        while cut < len(order):
+        cut, long = 0, int(np.searchsorted(size[order], LONG_WORD, "right"))
+        for row in order[long:]:
+            word = self.symbols[data[start[row] : end[row]]].tobytes().decode("utf-32-le")
+            ids = np.array([t.id for t in self.reference.model.tokenize(word)], np.int32)
+            lists[row], where[row] = len(ids), total
+            total += len(ids)
+            out.append(ids)
+        while cut < long:
             longest_first = size[order[cut]]
-            stop = int(np.searchsorted(size[order], longest_first + max(1, longest_first // 4), "left"))
+            stop = int(np.searchsorted(size[order[:long]], longest_first + max(1, longest_first // 4), "left"))
             stop = min(stop, cut + max(1, 4_000_000 // max(int(longest_first), 1)))
             rows = order[cut:stop]
             ids, count = self._merge(data, start[rows], size[rows])

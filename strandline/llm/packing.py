@@ -10,14 +10,21 @@ left of each is a piece shorter than a window.  From the histogram of piece leng
 
 The plan depends on the histogram alone (at most ``window`` numbers), so it is made on the driver;
 each piece finds its sequence from its rank among the pieces of its length, which comes from prefix
-sums over buckets.  A third of all documents having one length spreads over the buckets.
+sums over buckets, whose number follows the number of pieces.  A third of all documents having one
+length spreads over the buckets.
+
+A sequence is padded to the window, except one whose tokens number a power of two, which stands as it
+is; ``sequence_tokens`` is the length after that.
 
 Defined results.  Null or empty text: the end id alone.  Repeated rows: each is packed.  Null ids
-stay null.  Empty table: no rows.  Only the id and text columns are read.
+stay null.  Empty table: no rows.  Ties go by (doc_id, start, crc).  Only the id and text columns are
+read, so further columns of any name do no harm.  Very long texts, and texts that are one very long
+word, are read whole; time grows with their length, not its square.
 """
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +36,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import _text
 from strandline.llm._bpe import WordBpe
-from strandline.llm._ranges import with_prefix_sums
+from strandline.llm._ranges import numbered, with_prefix_sums
 from strandline.llm._scratch import Scratch
 
 WINDOW = 4096
@@ -37,6 +44,7 @@ END_ID = 2
 BIN = 32
 DEPTH = 3
 BUCKETS = 64
+BUCKET_ROWS = 200_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -92,7 +100,11 @@ def combinations(bins: int, depth: int) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Minimise |a x - b| over x >= 0 by coordinate descent on the normal equations."""
+    """Minimise |a x - b| over x >= 0 by coordinate descent on the normal equations.
+
+    Ends when no count moves by a quarter of a sequence, or with a warning after ``rounds`` sweeps:
+    counts are rounded down and checked against the histogram, so pieces lose no place by that.
+    """
     gram, x = a.T @ a, np.zeros(a.shape[1])
     slope = -(a.T @ b)
     scale = np.diag(gram)
@@ -106,6 +118,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
                 x[j] = new
         if moved < 0.25:
             break
+    else:
+        warnings.warn(f"least squares still moved by {moved:.2f} sequences after {rounds} sweeps", stacklevel=2)
     return x
 
 
@@ -179,7 +193,7 @@ class Assignment:
 
     def __init__(self, histogram: dict[int, int], window: int, bin_size: int = BIN, depth: int = DEPTH):
         self.window, self.bin_size = window, bin_size
-        self.segments: dict[int, list[tuple[int, int, int, int]]] = {}
+        self.segments: dict[int, list[tuple[int, int, int, int, int]]] = {}
         self.plan: Plan = []
         self.sequences = 0
         full = histogram.get(window, 0)
@@ -216,20 +230,21 @@ class Assignment:
             times -= run
 
     def _add(self, pack: dict[int, int], times: int, used: dict[int, int]) -> None:
-        at = 0
+        at, tokens = 0, sum(n * many for n, many in pack.items())
         for n in sorted(pack, reverse=True):
-            self.segments.setdefault(n, []).append((used[n], pack[n], self.sequences, at))
+            self.segments.setdefault(n, []).append((used[n], pack[n], self.sequences, at, tokens))
             used[n] += pack[n] * times
             at += pack[n] * n
         self.sequences += times
 
-    def place(self, length: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sequence_id, offset) of the pieces of one length with these ranks."""
+    def place(self, length: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sequence_id, offset, tokens of the sequence with its padding) of the pieces of one length with these ranks."""
         table = np.array(self.segments[length], np.int64)
         k = np.searchsorted(table[:, 0], rank, "right") - 1
-        begin, many, sequence, at = table[k].T
+        begin, many, sequence, at, tokens = table[k].T
         inside = rank - begin
-        return sequence + inside // many, at + inside % many * length
+        padded = np.where(tokens & (tokens - 1) == 0, tokens, self.window)
+        return sequence + inside // many, at + inside % many * length, padded
 
 
 def _place_batches(assignment: Assignment):
@@ -237,16 +252,16 @@ def _place_batches(assignment: Assignment):
         for batch in batches:
             length = batch.column("length").to_numpy()
             rank = batch.column("rank").to_numpy()
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            sequence, offset, padded = np.zeros((3, len(length)), np.int64)
             order = np.argsort(length, kind="stable")
             values, begins = np.unique(length[order], return_index=True)
             for n, rows in zip(values, np.split(order, begins[1:]), strict=True):
                 if len(rows):
-                    sequence[rows], offset[rows] = assignment.place(int(n), rank[rows])
+                    sequence[rows], offset[rows], padded[rows] = assignment.place(int(n), rank[rows])
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)],
-                [*names, "sequence_id", "offset"],
+                [*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset), pa.array(padded)],
+                [*names, "sequence_id", "offset", "sequence_tokens"],
             )
 
     return run
@@ -263,25 +278,29 @@ def pack(
     vocabulary: str | None = None,
     end_id: int = END_ID,
 ) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = scratch.save(
         source.mapInArrow(_piece_batches(vocabulary or vocabulary_path(), window, end_id), _PIECE), "pieces"
     )
+    buckets = max(BUCKETS, pieces.count() // BUCKET_ROWS)
     # Equal rows are counted first and numbered afterwards.
     keys = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     counted = pieces.groupBy(*keys).agg(F.count("*").alias("copies"))
     counted = scratch.save(
-        counted.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(BUCKETS)).cast("int")),
+        counted.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int")),
         "counted",
     )
-    histogram = counted.groupBy("length").agg(F.sum("copies").alias("n")).collect()  # at most ``window`` rows
+    scratch.drop("pieces")
+    histogram = counted.groupBy("length").agg(F.sum("copies").alias("n"), F.max("copies").alias("most")).collect()  # at most ``window`` rows
     assignment = Assignment({r["length"]: r["n"] for r in histogram}, window)
     ranked = with_prefix_sums(
         counted, ["length"], ["bucket"], ["doc_id", "start", "ids_crc32", "doc_tokens"], {"before": "copies"}
     )
-    each = ranked.select("*", F.explode(F.expr("sequence(0L, copies - 1)")).alias("nth"))
+    each = numbered(ranked, "copies", "nth", max((r["most"] for r in histogram), default=0))
     each = each.select(*keys, (F.col("before") + F.col("nth")).alias("rank"))
-    return each.mapInArrow(_place_batches(assignment), f"{_PIECE}, sequence_id long, offset long")
+    return each.mapInArrow(
+        _place_batches(assignment), f"{_PIECE}, sequence_id long, offset long, sequence_tokens long"
+    )

@@ -101,6 +101,19 @@ def test_bpe_equals_library(seed):
         assert ids.tolist() == bpe.reference.encode(t, add_special_tokens=False).ids
 
 
+def test_long_words_equal_the_library():
+    bpe = WordBpe.load(packing.vocabulary_path())
+    rng = random.Random(9)
+    for n in (127, 128, 129, 5000, 100_000, 1_000_000):
+        t = "".join(rng.choice("abcdefghijklmnopé") for _ in range(n)) + " it's " + "=" * (n // 10)
+        assert bpe.encode_batch(pa.array([t]))[0].tolist() == bpe.reference.encode(t, add_special_tokens=False).ids
+
+
+def test_sequences_of_a_power_of_two_are_not_padded():
+    plan = packing.Assignment({1024: 1, 4000: 1}, 4096)
+    assert plan.place(1024, np.arange(1))[2].tolist() == [1024] and plan.place(4000, np.arange(1))[2].tolist() == [4096]
+
+
 def test_packing_plan_places_every_piece_once():
     rng = np.random.default_rng(2)
     lengths = np.concatenate([rng.integers(1, 4097, 500), np.full(300, 77), np.full(5, 4096)])
@@ -108,7 +121,7 @@ def test_packing_plan_places_every_piece_once():
     plan = packing.Assignment(dict(zip(values.tolist(), counts.tolist(), strict=True)), 4096)
     used = {}
     for n, c in zip(values.tolist(), counts.tolist(), strict=True):
-        sequence, offset = plan.place(n, np.arange(c))
+        sequence, offset, _ = plan.place(n, np.arange(c))
         for s, o in zip(sequence.tolist(), offset.tolist(), strict=True):
             used.setdefault(s, []).append((o, n))
     assert sorted(used) == list(range(plan.sequences))
