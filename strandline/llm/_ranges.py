@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.llm._scratch import Scratch
+
 #: Copies of a row that one array may hold.
 RUN = 4096
 
@@ -19,7 +21,7 @@ def with_prefix_sums(
 ) -> DataFrame:
     """Add, for each (new name: column), the sum over the earlier rows of the same group.
 
-    ``bucket`` columns order before ``order`` and split a group into contiguous parts; the totals
+    ``group`` may be empty: one order of all rows.  ``bucket`` columns order before ``order`` and split a group into contiguous parts; the totals
     table has a row for each group and bucket and is broadcast only if Spark's own size check says so.
     """
     keys = [*group, *bucket]
@@ -58,3 +60,20 @@ def numbered(rows: DataFrame, copies: str, name: str, most: int) -> DataFrame:
 def largest(rows: DataFrame, column: str) -> int:
     """The largest value of a column of a written table; 0 without rows."""
     return rows.agg(F.max(column).alias("m")).first().m or 0
+
+
+def in_ranges(scratch: Scratch, rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Written, with a column ``part``: ranges of rows that are contiguous in the order, for ``with_prefix_sums``."""
+    return scratch.save(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+
+
+def matched(rows: DataFrame, keys: dict[str, tuple[Column, object]]) -> DataFrame:
+    """Rows with key columns that hold no nulls: each key, its default where null, and whether it is null.
+
+    Equal keys are then plain equalities, so a distinct and a join by them need one shuffle between them.
+    """
+    out = {}
+    for name, (value, default) in keys.items():
+        out[name] = F.coalesce(value, F.lit(default))
+        out[f"{name}_null"] = value.isNull()
+    return rows.withColumns(out)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.llm import _text
-from strandline.llm._ranges import largest, numbered
+from strandline.llm._ranges import largest, matched, numbered
 from strandline.llm._scratch import Scratch
 
 SHINGLE_WORDS = 5
@@ -388,11 +388,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     struct, so further columns of any name do no harm.
     """
     kept = near_duplicates(docs, id_col, text_col, **options).filter("kept")
-    kept = kept.select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))
+    kept = matched(kept.select("doc_id", "text_hash"), {"id": (F.col("doc_id"), 0), "hash": (F.col("text_hash"), 0)})
     rows = docs.select(
         F.struct("*").alias("row"),
-        F.col(id_col).cast("long").alias("id"),
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
     )
-    rows = rows.join(kept, (F.col("hash") == F.col("k_hash")) & F.col("id").eqNullSafe(F.col("k_id")), "left_semi")
-    return rows.dropDuplicates(["id", "hash"]).select("row.*")
+    rows = matched(rows, {"id": (F.col("doc_id"), 0), "hash": (F.col("text_hash"), 0)})
+    keys = ["id", "id_null", "hash"]
+    return rows.join(kept.select(*keys), keys, "left_semi").dropDuplicates(keys).select("row.*")

@@ -1,8 +1,8 @@
 """License scans: ordered signature rules behind a keyword gate, with interval containment suppression.
 
 Every rule is a regular expression with a label, a priority and the keywords that must all occur in
-a text before it is tried.  Rules are families times sentence forms (``RULES``), tried on the whole
-text with A-Z lower-cased.  Where detections overlap, one that lies inside the interval of another
+a text before it is tried.  Rules are written by hand (``_license_rules``) and tried on the whole text
+with A-Z lower-cased; between two words anything but a word may stand, however long.  Where detections overlap, one that lies inside the interval of another
 is suppressed when the other has the higher priority, or the same priority and the longer interval;
 the score is the best confidence left.
 
@@ -10,8 +10,9 @@ Base phrases (``PHRASES``) are places where their words stand consecutively; wor
 of letters, digits and non-ASCII characters.  Their labels always stay.
 
 Defined results.  Null or empty text: no words, no labels, score 0.  Labels are distinct, sorted and
-comma-joined; none gives the empty string.  Repeated rows each get their result.  Empty table: no
-rows.  Only the id and text columns are read.
+comma-joined; none gives the empty string.  Equal places of equal priority and different labels all
+stay.  Repeated rows each get their result.  Empty table: no rows.  Very long texts are read whole.
+Only the id and text columns are read, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import _text
+from strandline.llm._license_rules import RULES
 
 #: Base phrases and their labels.
 PHRASES = {
@@ -37,79 +39,11 @@ PHRASES = {
 
 # A text is matched as latin-1 of its UTF-8 bytes, so every byte of a non-ASCII character is a word byte.
 _W = r"0-9a-z\x80-\xff"
-_GAP = rf"[^{_W}]{{1,12}}"
+_GAP = rf"(?:[^{_W}]++)"
 _BEGIN, _END = rf"(?<![{_W}])", rf"(?![{_W}])"
-_VERSION = r"(?:v(?:ersion)?[ .]{0,2})?(\d(?:[.]\d){0,2})"
-
-#: Families: (label stem, words of the name, keyword of the gate, versioned?).
-FAMILIES: list[tuple[str, str, str, bool]] = [
-    ("apache", "apache", "apache", True),
-    ("mit", "mit", "mit", False),
-    ("mit", "expat", "expat", False),
-    ("gpl", "gnu general public", "general public", True),
-    ("gpl", "gpl", "gpl", True),
-    ("lgpl", "gnu lesser general public", "lesser general", True),
-    ("lgpl", "lgpl", "lgpl", True),
-    ("agpl", "gnu affero general public", "affero", True),
-    ("agpl", "agpl", "agpl", True),
-    ("gfdl", "gnu free documentation", "free documentation", True),
-    ("bsd", "bsd", "bsd", False),
-    ("bsd-2-clause", "bsd 2 clause", "bsd", False),
-    ("bsd-3-clause", "bsd 3 clause", "bsd", False),
-    ("bsd-2-clause", "simplified bsd", "bsd", False),
-    ("bsd-3-clause", "new bsd", "bsd", False),
-    ("mpl", "mozilla public", "mozilla", True),
-    ("epl", "eclipse public", "eclipse", True),
-    ("cddl", "common development and distribution", "development and distribution", True),
-    ("cpl", "common public", "common public", True),
-    ("artistic", "artistic", "artistic", True),
-    ("isc", "isc", "isc", False),
-    ("zlib", "zlib", "zlib", False),
-    ("bsl", "boost software", "boost", True),
-    ("unlicense", "unlicense", "unlicense", False),
-    ("wtfpl", "wtfpl", "wtfpl", True),
-    ("ofl", "sil open font", "open font", True),
-    ("eupl", "european union public", "european union", True),
-    ("postgresql", "postgresql", "postgresql", False),
-    ("python", "python software foundation", "python software", True),
-    ("odbl", "open database", "open database", True),
-    ("odc-by", "open data commons attribution", "data commons", True),
-    ("ms-pl", "microsoft public", "microsoft", False),
-    ("osl", "open software", "open software", True),
-    ("afl", "academic free", "academic free", True),
-    ("ncsa", "university of illinois ncsa", "ncsa", False),
-    ("openssl", "openssl", "openssl", False),
-    ("cc0", "cc0", "cc0", True),
-    ("cc0", "creative commons zero", "commons zero", True),
-]
-
-#: Sentence forms around a name: (form, confidence, priority, keyword).  {n} is the name, {v} a version.
-FORMS: list[tuple[str, float, int, str]] = [
-    ("spdx license identifier {n}{v}", 1.0, 60, "spdx"),
-    ("licensed under the terms of the {n} license{v}", 0.95, 50, "licensed"),
-    ("licensed under the {n} license{v}", 0.95, 50, "licensed"),
-    ("licensed under {n}{v}", 0.9, 45, "licensed"),
-    ("released under the {n} license{v}", 0.95, 50, "released"),
-    ("distributed under the {n} license{v}", 0.95, 50, "distributed"),
-    ("available under the {n} license{v}", 0.9, 50, "available"),
-    ("under the {n} license{v}", 0.85, 40, "under"),
-    ("{n} license{v}", 0.75, 30, "licen"),
-]
-
-#: Creative Commons elements in their usual order.
-CC_ELEMENTS = ("by", "by nc", "by sa", "by nd", "by nc sa", "by nc nd")
-
-#: Single statements: (words, label, confidence, priority, keyword).
-STATEMENTS: list[tuple[str, str, float, int, str]] = [
-    ("dedicated to the public domain", "public-domain", 0.9, 50, "public domain"),
-    ("in the public domain", "public-domain", 0.7, 40, "public domain"),
-    ("all rights reserved", "reserved", 0.6, 20, "reserved"),
-    ("proprietary and confidential", "proprietary", 0.8, 40, "proprietary"),
-    ("permission is hereby granted free of charge", "mit", 0.9, 50, "hereby granted"),
-    ("redistribution and use in source and binary forms", "bsd", 0.9, 50, "redistribution"),
-    ("permission to use copy modify and or distribute this software", "isc", 0.9, 50, "permission to use"),
-    ("general public license", "gpl", 0.6, 15, "general public"),
-]
+_NUMBER = r"(\d+(?:\.\d+)*)"
+#: "version 2.0", "v3" or a number right after the name, but no year.
+_VERSION = rf"(?:[^{_W}]*+(?:version|ver|v)[^{_W}]*+{_NUMBER}|[ -]?(?!(?:19|20)\d\d(?!\d)){_NUMBER})"
 
 
 @dataclass(frozen=True)
@@ -121,34 +55,16 @@ class Rule:
     keywords: tuple[str, ...]
 
 
-def _phrase(words: str) -> str:
-    return _GAP.join(map(re.escape, words.split()))
-
-
 @cache
 def rules() -> tuple[Rule, ...]:
     """All rules in order: higher priorities first."""
     out = []
-    for stem, name, keyword, versioned in FAMILIES:
-        for form, confidence, priority, context in FORMS:
-            words = _phrase(form.replace("{v}", "").replace("{n}", "\x00")).replace(re.escape("\x00"), "\x00")
-            pattern = words.replace("\x00", _phrase(name))
-            if versioned:
-                pattern += rf"(?:[^{_W}]{{1,4}}{_VERSION})?"
-            out.append(Rule(re.compile(_BEGIN + pattern + _END), stem, confidence, priority, (keyword, context)))
-    for elements in CC_ELEMENTS:
-        label, parts = "cc-" + elements.replace(" ", "-"), elements.split()
-        short = _GAP.join(["cc", *parts]) + rf"(?!{_GAP}(?:nc|sa|nd){_END})(?:[^{_W}]{{1,4}}{_VERSION})?"
-        priority = 30 + len(parts)
-        out.append(Rule(re.compile(_BEGIN + short + _END), label, 0.7, priority, ("cc", "by")))
+    for line in RULES.strip().split("\n"):
+        label, confidence, priority, keywords, pattern = (part.strip() for part in line.split(" | ", 4))
+        pattern = pattern.replace(" ", _GAP).replace("{v}", f"{_VERSION}?").replace("{V}", _VERSION).replace("{e}", _END)
         out.append(
-            Rule(re.compile(_BEGIN + _phrase("licensed under") + _GAP + short + _END), label, 0.9, 50 + len(parts),
-                 ("cc", "licensed"))
-        )
-        address = r"creativecommons\.org/licenses/" + "-".join(parts) + r"/(\d\.\d)"
-        out.append(Rule(re.compile(address), label, 0.95, 55, ("creativecommons",)))
-    for words, label, confidence, priority, keyword in STATEMENTS:
-        out.append(Rule(re.compile(_BEGIN + _phrase(words) + _END), label, confidence, priority, (keyword,)))
+            Rule(re.compile(_BEGIN + pattern + _END), label, int(confidence) / 100, int(priority), tuple(keywords.split(",")))
+        )
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
@@ -162,21 +78,27 @@ def _base_patterns() -> tuple[tuple[re.Pattern[str], str, str], ...]:
 
 @cache
 def _gate():
-    """Automaton over single keyword words; a rule's keywords all have to be found (by their longest word)."""
+    """Automaton over all keywords of rules and base phrases."""
     import ahocorasick
 
-    words = {max(k.split(), key=len) for r in rules() for k in r.keywords} | {k for _, _, k in _base_patterns()}
     automaton = ahocorasick.Automaton()
-    for w in sorted(words):
+    for w in sorted({k for r in rules() for k in r.keywords} | {k for _, _, k in _base_patterns()}):
         automaton.add_word(w, w)
     automaton.make_automaton()
     return automaton
 
 
-#: A text is looked at by rules only if it holds one of these, which every rule's and base phrase's gate needs.
 @cache
 def _gated_rules() -> tuple[tuple[frozenset[str], Rule], ...]:
-    return tuple((frozenset(max(k.split(), key=len) for k in r.keywords), r) for r in rules())
+    return tuple((frozenset(r.keywords), r) for r in rules())
+
+
+def detect(rule: Rule, text: str) -> Iterator[tuple[int, int, int, str, float]]:
+    """(start, end, priority, label, confidence) of a rule's places."""
+    for m in rule.pattern.finditer(text):
+        version = next((g for g in m.groups() if g), None)
+        label = rule.stem if not version else f"{rule.stem}-{version if '.' in version else version + '.0'}"
+        yield m.start(), m.end(), rule.priority, label, rule.confidence
 
 
 def suppress(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int, int, int, str, float]]:
@@ -202,13 +124,7 @@ def scan(text: str) -> tuple[list[tuple[int, int, int, str, float]], list[tuple[
     """(detections left, base places as (start, end, label)) of a lower-cased latin-1 text."""
     hits = {w for _, w in _gate().iter(text)}
     base = [(m.start(), m.end(), label) for p, label, key in _base_patterns() if key in hits for m in p.finditer(text)]
-    found = []
-    for needs, rule in _gated_rules():
-        if needs <= hits:
-            for m in rule.pattern.finditer(text):
-                version = m.group(1) if m.re.groups else None
-                label = rule.stem if not version else f"{rule.stem}-{version if '.' in version else version + '.0'}"
-                found.append((m.start(), m.end(), rule.priority, label, rule.confidence))
+    found = [d for needs, rule in _gated_rules() if needs <= hits for d in detect(rule, text)]
     return suppress(found), base
 
 

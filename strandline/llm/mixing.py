@@ -10,56 +10,56 @@ A source takes floor(target / size) whole repetitions of every text and, in an o
 text, one more of each text until the rest of its target is used; the text at the cut gives its first
 words only (a fractional repetition), so a source's words equal its target rounded down, within 1.
 
-DataFrame operations only.  The order inside a source is cut into 256 ranges of the seeded hash, so
-a source, or an id, with a third of all rows stays spread; equal rows are counted first.  The table of
-sources has one row a source and is windowed in one task.
+DataFrame operations only.  The order inside a source is cut into ranges of the seeded hash whose
+number follows the input, so a source, or an id, with a third of all rows stays spread; equal rows are
+counted first.  Sources, however many, are ranked and summed in ranges as well.
 
 Defined results.  Null or empty text: size 0, nothing taken.  Null source: a source, ordered last.
-Repeated rows stand one after another in the order.  Empty table: no rows.
+Null ids: ids like others.  Repeated rows stand one after another in the order, equal hashes go by size
+and text.  Empty table: no rows.  Very long texts are read whole.  ``mix`` reads the named columns only
+and ``mixed_rows`` carries the input's columns in one struct, so further columns of any name do no harm.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm._ranges import with_prefix_sums
+from strandline.llm._ranges import in_ranges, largest, matched, numbered, with_prefix_sums
 from strandline.llm._scratch import Scratch
 
 WEIGHTS = (3, 1, 2)
 SHARE_PERCENT = 150
 MAX_EPOCHS = 2
 SEED = "strandline-mix"
+RANGE_ROWS = 200_000
 
 
-def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT,
-               max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def water_fill(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS,
+               share_percent: int = SHARE_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """From (source, source_size) to (source, source_size, target); one row a source."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*map(F.lit, weights))
-    named = sizes.withColumn("rank", F.row_number().over(by_name) - 1).withColumn(
+    by_name = [F.col("source").asc_nulls_last()]
+    sized = in_ranges(scratch, sizes.withColumn("one", F.lit(1)), by_name, "sources")
+    named = with_prefix_sums(sized, [], ["part"], by_name, {"rank": "one"}).withColumn(
         "weight", F.element_at(cycle, (F.col("rank") % len(weights) + 1).cast("int")).cast("long")
     )
-    capped = named.withColumn("cap", F.col("source_size") * max_epochs)
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    earlier = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    filled = capped.select(
-        "*",
-        F.coalesce(F.sum("cap").over(earlier), F.lit(0)).alias("full"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0))).alias("open"),
-        (F.sum("source_size").over(everything) * share_percent / 100).alias("mix"),
-    ).withColumn("level", (F.col("mix") - F.col("full")) / F.col("open"))
-    # The first source (by cap / weight) whose cap the level does not reach fixes the level.
-    fits = F.when(F.col("cap") >= F.col("weight") * F.col("level"), F.col("level"))
-    first = F.first(fits, ignorenulls=True).over(by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return filled.withColumn("final", first).select(
-        "source",
-        "source_size",
-        F.when(F.col("final").isNull() | (F.col("cap") <= F.col("weight") * F.col("final")), F.col("cap").cast("double"))
-        .otherwise(F.col("weight") * F.col("final"))
-        .alias("target"),
+    capped = named.drop("part").withColumn("cap", F.col("source_size") * max_epochs)
+    capped = capped.withColumn("full_at", F.col("cap") / F.col("weight"))
+    by_level = [F.col("full_at"), F.col("rank")]
+    ordered = in_ranges(scratch, capped, by_level, "levels")
+    whole = ordered.agg(F.sum("weight").alias("w"), F.sum("source_size").alias("s")).first()
+    filled = with_prefix_sums(ordered, [], ["part"], by_level, {"full": "cap", "used": "weight"}).withColumn(
+        "level", (F.lit((whole.s or 0) * share_percent / 100) - F.col("full")) / (F.lit(whole.w or 0) - F.col("used"))
     )
+    # The first source (by cap / weight) whose cap the level does not reach fixes the level.
+    fits = filled.filter(F.col("cap") >= F.col("weight") * F.col("level"))
+    final = fits.agg(F.min(F.struct("full_at", "rank", "level")).alias("f")).first().f
+    target = F.col("cap").cast("double")
+    if final is not None:
+        reached = F.col("cap") <= F.col("weight") * F.lit(final.level)
+        target = F.when(reached, target).otherwise(F.col("weight") * F.lit(final.level))
+    return ordered.select("source", "source_size", target.alias("target"))
 
 
 def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> DataFrame:
@@ -83,58 +83,69 @@ def mix(
 
     ``whole`` repetitions of the text and its first ``extra`` words; ``nth`` numbers repeated rows from 1.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    return _mix(docs, id_col, text_col, source_col, seed)[0]
+
+
+def _mix(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str) -> tuple[DataFrame, int]:
+    """The rows of ``mix`` and how often an equal row occurs at most."""
+    scratch = Scratch(docs.sparkSession)
     rows = scratch.save(_measured(docs, id_col, text_col, source_col, seed), "rows")
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"))
-    targets = scratch.save(water_fill(sizes), "targets")
+    targets = scratch.save(water_fill(scratch, sizes), "targets")
+    scratch.keep("rows", "targets")
     seeded = rows.withColumn("total", F.col("size") * F.col("copies"))
-    # The first two hex digits of the seeded hash cut a source's order into ranges.
-    seeded = seeded.withColumn("part", F.substring("seeded", 1, 2))
+    # The first hex digits of the seeded hash, two or as many as the rows ask for, cut a source's order into ranges.
+    digits, count = 2, rows.count()
+    while 16**digits * RANGE_ROWS < count:
+        digits += 1
+    seeded = seeded.withColumn("part", F.substring("seeded", 1, digits))
     placed = with_prefix_sums(seeded, ["source"], ["part"], ["seeded", "size", "text_hash"], {"before": "total"})
-    named = targets.withColumnRenamed("source", "__source")
-    joined = placed.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    each = joined.select("*", F.explode(F.expr("sequence(1L, copies)")).alias("nth"))
+    named = targets.withColumnRenamed("source", "named")
+    joined = placed.join(named, F.col("source").eqNullSafe(F.col("named"))).drop("named")
+    most = largest(rows, "copies")
+    each = numbered(joined, "copies", "nth", most)
     goal = F.floor("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(F.lit(0)).cast("long")
     rest = goal - whole * F.col("source_size")
-    start = F.col("before") + (F.col("nth") - 1) * F.col("size")
+    start = F.col("before") + F.col("nth") * F.col("size")
     extra = F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
-    return each.select(
-        "doc_id", "source", "text_hash", "nth", "size", "source_size", "target", whole.alias("whole"),
-        extra.alias("extra"), (whole * F.col("size") + extra).alias("taken"),
+    taken = each.select(
+        "doc_id", "source", "text_hash", (F.col("nth") + 1).alias("nth"), "size", "source_size", "target",
+        whole.alias("whole"), extra.alias("extra"), (whole * F.col("size") + extra).alias("taken"),
     )
+    return taken, most
+
+
+def _keys(source, doc_id, text_hash) -> dict:
+    return {"k_source": (source, ""), "k_id": (doc_id, 0), "k_hash": (text_hash, 0)}
 
 
 def mixed_rows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED
 ) -> DataFrame:
     """The mix itself: rows of ``docs`` repeated as often as taken; a fractional repetition holds its first words."""
-    taken = mix(docs, id_col, text_col, source_col, seed).filter("taken > 0")
-    taken = taken.groupBy(
-        F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__hash")
-    ).agg(
-        F.sum(F.col("whole") + (F.col("extra") == F.col("size")).cast("long")).alias("__whole"),
-        F.max(F.when(F.col("extra") < F.col("size"), F.col("extra")).otherwise(F.lit(0))).alias("__part"),
-        F.count("*").alias("__rows"),
+    taken, most = _mix(docs, id_col, text_col, source_col, seed)
+    taken = matched(
+        taken.filter("taken > 0").select("source", "doc_id", "text_hash", "whole", "extra", "size"),
+        _keys(F.col("source").cast("string"), F.col("doc_id"), F.col("text_hash")),
     )
-    rows = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    distinct = rows.dropDuplicates([id_col, source_col, "__own"])
-    joined = distinct.join(
-        taken,
-        F.col("__own").eqNullSafe(F.col("__hash"))
-        & distinct[id_col].cast("long").eqNullSafe(F.col("__id"))
-        & distinct[source_col].eqNullSafe(F.col("__source")),
+    keys = [c for k in _keys(F.lit(0), F.lit(0), F.lit(0)) for c in (k, f"{k}_null")]
+    taken = taken.groupBy(*keys).agg(
+        F.sum(F.col("whole") + (F.col("extra") == F.col("size")).cast("long")).alias("whole"),
+        F.max(F.when(F.col("extra") < F.col("size"), F.col("extra")).otherwise(F.lit(0))).alias("part"),
     )
+    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    own = _keys(F.col(source_col).cast("string"), F.col(id_col).cast("long"), text_hash)
+    rows = matched(docs.select(F.struct("*").alias("row"), *(v.alias(k) for k, (v, _) in own.items())),
+                   _keys(*(F.col(k) for k in own)))
+    joined = rows.dropDuplicates(keys).join(taken, keys).select("row", "whole", "part")
     # Words with the blanks before them: joined again, the first ones are a prefix of the text.
-    pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    head = F.array_join(F.slice(pieces, F.lit(1), F.col("__part").cast("int")), "")
-    repeated = joined.select(
-        "*",
-        F.explode(F.expr("sequence(1L, __whole + if(__part > 0, 1L, 0L))")).alias("__nth"),
-    )
-    text = F.when(F.col("__nth") > F.col("__whole"), head).otherwise(F.col(text_col))
-    return repeated.withColumn(text_col, text).select(*docs.columns)
+    pieces = F.regexp_extract_all(F.col("row")[text_col], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    head = F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), "")
+    times = F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)
+    repeated = numbered(joined.withColumn("times", times), "times", "nth", MAX_EPOCHS * most + 1)
+    text = F.when(F.col("nth") >= F.col("whole"), head).otherwise(F.col("row")[text_col])
+    return repeated.select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 #: DuckDB: the same rows for the query over ``documents``.

@@ -45,7 +45,7 @@ def plain_counts(t):
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     return {
         "n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", t)),
-        "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered),
+        "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(covered), "n_lines": len(lines),
     }
 
 
@@ -80,16 +80,73 @@ def test_bag_minhash_is_unbiased():
     assert abs((sig[0] == sig[1]).mean() - true) < 4 * np.sqrt(true * (1 - true) / slots)
 
 
-def test_license_suppression_and_gate():
+def test_license_suppression_and_labels():
     kept, base = licenses.scan(TEXTS[8].lower())
     assert [d[3] for d in kept] == ["apache-2.0", "reserved"] and [b[2] for b in base] == ["reserved"]
     assert licenses.scan("der ist mit die und")[0] == []
     assert [d[3] for d in licenses.scan("licensed under cc by-nc-sa 4.0")[0]] == ["cc-by-nc-sa-4.0"]
+    assert [d[3] for d in licenses.scan("apache license" + " *\n" * 90 + "version 12.0")[0]] == ["apache-12.0"]
+    assert [d[3] for d in licenses.scan("the gnu" + "\n//   " * 30 + "general public license, 2007")[0]] == ["gpl"]
+    assert [d[3] for d in licenses.scan("mit" + " " * 40 + "license; gplv3; gpl 2; cc by ncaa")[0]] == ["mit", "gpl-3.0", "gpl-2.0", "cc-by"]
     many = [(0, 10, 5, "a", 0.5), (2, 8, 5, "b", 0.5), (2, 12, 1, "c", 0.5), (3, 6, 9, "d", 0.9)]
     assert [d[3] for d in licenses.suppress(many)] == ["a", "c", "d"]
     assert 200 < len(licenses.rules()) < 1000
 
 
+def _written(tree, rng):
+    """A text that a parsed pattern matches, look-arounds aside."""
+    out = []
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            out.append(chr(arg))
+        elif name == "IN":
+            out.append("7" if str(arg[0][0]) == "CATEGORY" else " " if str(arg[0][0]) == "NEGATE" else chr(arg[rng.randrange(len(arg))][1]))
+        elif name == "BRANCH":
+            out.append(_written(rng.choice(arg[1]), rng))
+        elif name == "SUBPATTERN":
+            out.append(_written(arg[-1], rng))
+        elif name in ("MAX_REPEAT", "POSSESSIVE_REPEAT"):
+            low, high, body = arg
+            out += [_written(body, rng) for _ in range(rng.randint(low, min(int(high), low + 1)))]
+    return "".join(out)
+
+
+def _plain_suppress(found):
+    """Compares every two detections."""
+    found = sorted(set(found))
+    inside = lambda d, e: e[0] <= d[0] and d[1] <= e[1]
+    stronger = lambda d, e: (e[2], e[1] - e[0]) > (d[2], d[1] - d[0])
+    kept = [d for d in found if not any(inside(d, e) and stronger(d, e) for e in found)]
+    return {(d[0], d[1], d[2]) for d in kept}
+
+
+def test_license_gate_equals_no_gate_and_suppression_brute_force():
+    rng = random.Random(4)
+    rules_ = licenses.rules()
+    single = [_written(re._parser.parse(r.pattern.pattern), rng) for r in rules_ for _ in range(3)]
+    assert all(set(r.keywords) <= {k for k in r.keywords if k in t} for r, t in zip([r for r in rules_ for _ in range(3)], single, strict=True))
+    mixed = [" ".join(rng.choice([*single, "some words", "\n# ", "2.0", "the"]) for _ in range(rng.randrange(1, 12))) for _ in range(400)]
+    for t in [*single, *mixed]:
+        found = [d for r in rules_ for d in licenses.detect(r, t)]
+        assert licenses.scan(t)[0] == licenses.suppress(found)
+        assert {(d[0], d[1], d[2]) for d in licenses.suppress(found)} == _plain_suppress(found)
+    hit = sum(any(True for _ in licenses.detect(r, t)) for r, t in zip([r for r in rules_ for _ in range(3)], single, strict=True))
+    assert hit > 0.95 * len(single)
+
+
+def test_base_places_equal_brute_force():
+    rng = random.Random(8)
+    parts = ["cc", "by", "CC", "general", "public", "license", "all", "rights", "reserved", "ü", " ", "\n", "-", ".", "xx"]
+    for _ in range(300):
+        t = "".join(rng.choice(parts) + rng.choice(["", " ", ", "]) for _ in range(rng.randrange(40)))
+        t = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+        raw = t.encode().decode("latin-1")
+        words = [m.group() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", raw)]
+        want = sum(words[i : i + len(p.split())] == p.split() for p in licenses.PHRASES for i in range(len(words)))
+        assert len(licenses.scan(raw)[1]) == want
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_bpe_equals_library(seed):
     bpe = WordBpe.load(packing.vocabulary_path())
@@ -178,22 +235,28 @@ def test_quality_ngrams_stay_inside_documents():
         assert b[:8][ok[:8]].tolist() == b1[ok1].tolist() and not ok[8:].any()
 
 
-def test_quantised_search_matches_brute_force():
+def test_one_bit_search_matches_brute_force_and_skips_most_products():
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(900, 48))
+    centres = rng.normal(size=(30, 48))
+    x = centres[rng.integers(0, 30, 9000)] + 0.3 * rng.normal(size=(9000, 48))
     x[100] = x[200]
-    ids = np.arange(900)
-    q = ids[::45]
-    a, b, s = ann.search_block(q, x[q], ids, x, 20)
-    truth = x @ x.T
-    for i in q:
+    ids, keys = np.arange(9000), np.zeros(9000, np.int64)
+    asked = ids[::45]
+    bits, norm, align = ann.encode(x)
+    codes = ann.unpacked(bits, align, 48)
+    some = ann.Queries(np.arange(len(asked)), asked, keys[asked], x[asked], np.full(len(asked), -np.inf), 20)
+    for at in range(0, 9000, 1500):
+        part = slice(at, at + 1500)
+        some.search(ids[part], keys[part], x[part], codes[part], norm[part], ann.slack(align[part], 48))
+    truth, hits = x @ x.T, 0
+    q, score, vec, _ = some.best
+    for n, i in enumerate(asked):
         order = [j for j in np.lexsort((ids, -truth[i])) if j != i][:20]
-        assert len(set(order) & set(b[a == i].tolist())) >= 19
-        assert np.allclose(s[a == i], truth[i][b[a == i]])
-    codes = ann.Codes(x, ann.rotation(48))
-    estimates, rounding, norms = ann.estimate(codes, x[:9], ann.rotation(48), np.random.default_rng(0))
-    error = estimates - (truth[:9] / np.linalg.norm(x, axis=1) / norms[:, None]).T
-    assert abs(error.mean()) < 0.02 and (np.abs(error) <= codes.slack[:, None] + rounding).mean() > 0.98
+        hits += len(set(order) & set(vec[q == n].tolist()))
+        assert np.allclose(score[q == n], truth[i][vec[q == n]])
+    assert hits >= 0.95 * 20 * len(asked) and some.reranked < 0.2 * 9000 * len(asked)
+    error = codes @ some.turned.T - (truth[asked] / np.linalg.norm(x, axis=1) / some.norm[:, None]).T
+    assert abs(error.mean()) < 0.02 and (np.abs(error) <= ann.slack(align, 48)[:, None]).mean() > 0.97
 
 
 def test_crc_of_ids():

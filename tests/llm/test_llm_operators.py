@@ -91,6 +91,20 @@ def test_rules(docs, none):
     assert all(min(h["rate"], 0.3) <= h["shrunk_rate"] + 0.3 for h in hosts)
 
 
+def test_a_bad_host_goes_whole(spark):
+    """Hosts with a tenth of junk stay; one with three quarters goes with its good documents, two such as well."""
+    rows = [(h * 100 + k, prose(h * 100 + k) if k % 10 else "# $ % & " * 30, f"h{h}") for h in range(20) for k in range(40)]
+    for bad in ("bad", "worse"):
+        rows += [(9000 + len(rows), prose(k) if k % 4 == 0 else prose(k) + " |" * 30, bad) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hosts = {h["host"]: h for h in rules.host_verdicts(rules.document_counts(docs)).collect()}
+    assert {h for h, r in hosts.items() if r["host_failed"]} == {"bad", "worse"}
+    assert hosts["bad"]["failed_rules"] == ["any", "symbols"] and 0.5 < hosts["bad"]["shrunk_rate"] < 0.75 == hosts["bad"]["rate"]
+    got = rules.apply_rules(docs).collect()
+    assert all(not r["kept"] for r in got if r["host"] in ("bad", "worse")) and sum(r["base_failed"] for r in got if r["host"] == "bad") == 0
+    assert sum(r["kept"] for r in got) == 20 * 36
+
+
 def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(docs).count() == len(table()) and licenses.scan_licenses(none).count() == 0
     rows = [(1, "Ünder CC  BY, und General\nPublic-License. all RIGHTS reserved"), (2, None), (3, "cc byte")]
@@ -251,7 +265,7 @@ def test_nearest(spark):
     x[41] = x[40]
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
     rows += [(400, None), (420, [0.0] * 16), (440, [float("nan")] + [1.0] * 15), (460, [None] + [1.0] * 15), (500, []), (20, x[20].tolist()), (None, x[3].tolist())]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=64).collect()
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), group_bytes=1000).collect()
     truth = x @ x.T
     asked = range(0, 300, 20)
     assert {r["query_id"] for r in got} == set(asked)
