@@ -38,7 +38,7 @@ from strandline.llm._scratch import Scratch
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 HOT = 8
 #: A fingerprint with more rows than both HOT_ROWS and a HOT_SHARE-th of all is hot.
 HOT_ROWS, HOT_SHARE = 1000, 256
@@ -314,7 +314,7 @@ def near_duplicates(
         if not placed.limit(1).count():
             break
         if step < STAR_ROUNDS:
-            pairs = star_pairs(placed, edges, step, apart & close)
+            pairs = star_pairs(placed, edges, apart & close)
         else:
             lonely = placed.select("fp", "n", "root").distinct()
             tokens = scratch.save(rare_prefixes(bags, lonely, threshold), "tokens")
@@ -359,21 +359,22 @@ def near_duplicates(
     return whole.filter(~same).withColumn("kept", F.lit(False)).select(*columns).union(firsts.select(*columns))
 
 
-def star_pairs(placed: DataFrame, edges: DataFrame | None, step: int, may: Column) -> DataFrame:
+def star_pairs(placed: DataFrame, edges: DataFrame | None, may: Column) -> DataFrame:
     """(a, b): each member with one centre, at most as many pairs as members.
 
-    A bucket's centre is its first member in one order of all members: by a hash at first, later by the
-    links found so far, most first, and the hash.  A member takes the first of the centres of its
-    buckets that are of another component and of like size; in one order for all, so members of one
-    group meet at the same centre.
+    All members have one order: most links found so far first, then most fellow members in all buckets
+    together (such a text is in the middle of its group, so the others are near to it), then a hash.  A
+    bucket's centre is its first member; a member takes the first of the centres of its buckets that are
+    of another component and of like size.
     """
-    order = F.xxhash64("fp", F.lit(step))
-    graded = placed
-    if edges is not None and step % 2:
+    crowd = placed.groupBy("bucket").agg(F.count("*").alias("crowd"))
+    popular = placed.join(crowd, "bucket").groupBy("fp").agg(F.sum("crowd").alias("crowd"))
+    graded, first = placed.join(popular, "fp"), [-F.col("crowd"), F.xxhash64("fp")]
+    if edges is not None:
         ends = edges.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("degree"))
-        graded = placed.join(ends, "fp", "left")
-        order = F.struct(-F.coalesce("degree", F.lit(0)), order)
-    centre = graded.withColumn("order", order).groupBy("bucket").agg(F.min(F.struct("order", "fp", "n", "root")).alias("c"))
+        graded, first = graded.join(ends, "fp", "left"), [-F.coalesce("degree", F.lit(0)), *first]
+    graded = graded.withColumn("order", F.struct(*first))
+    centre = graded.groupBy("bucket").agg(F.min(F.struct("order", "fp", "n", "root")).alias("c"))
     centre = centre.select(
         "bucket", "c.order", F.col("c.fp").alias("a"), F.col("c.n").alias("a_n"), F.col("c.root").alias("a_root")
     )
