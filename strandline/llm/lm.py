@@ -1,25 +1,33 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every token from both sides.
 
-The network's tokens are classes of lower-cased words: an edge mark, the most frequent word buckets of
-the corpus, and hashed classes for the rest, ``CLASSES`` in all.  It predicts the class of a masked
-token from the classes on its left and on its right: embeddings of both, a hidden tanh layer, a
-softmax.  ``score`` is the sum of these conditional log-probabilities over a document's tokens;
-``score_words`` adds log P(word | class) of every token, so it is a probability of words, not classes.
-
-P(word | class) = (n(word) + 1) / (n(class) + distinct words of the class + 1), the last one for a word
-that the corpus lacks.  Counts of all distinct words (64-bit hashes) are written to a table that grows
-with the vocabulary; the ``HEAD`` most frequent ones go to the tasks, all others are joined.  Counts of
-(left, token, right) are taken over all tokens, but of classes: at most ``CLASSES`` cubed rows, whatever
-the corpus.  They are the sufficient statistics of the network's objective; it is trained on them in
-numpy (Adam on mini-batches of contexts weighted by their counts).
+Tokens are lower-cased words.  The network sees ``SIDE`` words on the left and on the right of a masked
+one through an embedding of each word's hash bucket (``1 << BITS`` of them, so frequent words have one
+of their own), weighs them by position, and a tanh layer meets an output vector of every bucket:
+
+    log P(word | sides) = log q(word) + s(word, sides) - log sum over words of q(v) exp(s(v, sides))
+
+with q the word's share of all other documents.  ``score`` is the sum over a document's tokens, so a text
+does not vouch for itself: a word's own occurrences in the document are taken out of its count, and a word
+that no other document has counts ``UNSEEN``.  The sum over words is taken over the ``TOP`` largest buckets
+and a seeded sample of the others, the same for all documents.
+
+Everything is gathered over the whole corpus.  Counts of all distinct words (64-bit hashes) are a written
+table that grows with the vocabulary; the ``HEAD`` most frequent go to the tasks, the others are joined.
+The network is trained in numpy on every token, by sampled softmax with negatives drawn from the text
+(so in proportion to q): each task trains on its own documents from the common weights, gives back the rows
+it has moved, and rows are averaged by how often they were used, ``ROUNDS`` times.  What a task returns is
+bounded by the size of the network, and their number follows the input.
 
 Defined results.  Null or empty text, or one without words: 0 tokens, score 0, mean null.  Repeated
-rows each count and each get their score.  Empty table: no rows.  Only id and text are read.
+rows each count and each get their score; they are other documents to each other.  Ties in the order of
+words go by hash.  Empty table: no rows.  Very long texts are read whole.  Only id and text are read, so
+further columns of any name do no harm.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +38,17 @@ from pyspark.sql import functions as F
 from strandline.llm import _text
 from strandline.llm._scratch import Scratch
 
-CLASSES = 128
-RARE_CLASSES = 32
-WORD_BITS = 18
+BITS = 15
+DIMS = 16
+SIDE = 2
+ROUNDS = 1
+RATE = 0.1
+BATCH = 1024
+NEGATIVES = 64
+TOP, SAMPLED = 64, 64
+UNSEEN = 0.5
 HEAD = 65_536
 HELD_WORDS = 1_000_000
-HIDDEN = 32
-EPOCHS = 30
-BATCH = 256
-RATE = 0.01
 SEED = 5
 _U64 = np.uint64
 
@@ -77,253 +87,263 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(n)], ["word", "n"])
 
 
-def class_table(frequent: list[int], bits: int, classes: int, rare: int) -> np.ndarray:
-    """Class of each word bucket: 0 is the edge, then the frequent ones, then hashed classes."""
-    table = (classes - rare + np.arange(1 << bits) % rare).astype(np.int32)
-    table[np.array(frequent, np.int64)] = 1 + np.arange(len(frequent))
-    return table
-
-
-def triples(found: _text.Words, table: np.ndarray, bits: int, classes: int) -> np.ndarray:
-    """(left * classes + right) * classes + token of every token."""
-    token = table[_bucket(found, bits)].astype(np.int64)
-    left, right = np.zeros_like(token), np.zeros_like(token)
-    if len(token):
-        left[1:], right[:-1] = token[:-1], token[1:]
-        some = found.count > 0
-        left[found.doc_first[:-1][some]] = 0
-        right[found.doc_first[1:][some] - 1] = 0
-    return (left * classes + right) * classes + token
-
-
-def _count_triples(table: np.ndarray, bits: int, classes: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(classes**3, np.int64)
-        for _, _, found in _lowered(batches):
-            codes = triples(found, table, bits, classes)
-            if len(codes) * 8 > len(total):
-                total += np.bincount(codes, minlength=len(total))
-            else:
-                np.add.at(total, codes, 1)
-        at = np.flatnonzero(total)
-        for k in range(0, max(len(at), 1), 500_000):
-            part = at[k : k + 500_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["code", "n"])
-
-    return run
+def sides(found: _text.Words, bits: int, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each token, buckets of its neighbours): ``1 << bits`` stands beyond a document's ends."""
+    token = _bucket(found, bits)
+    edge, n = 1 << bits, len(token)
+    first = np.repeat(found.doc_first[:-1], found.count)
+    last = np.repeat(found.doc_first[1:], found.count)
+    at = np.arange(n)
+    around = np.empty((n, 2 * side), np.int64)
+    for k, shift in enumerate([*range(-side, 0), *range(1, side + 1)]):
+        place = at + shift
+        inside = (place >= first) & (place < last)
+        around[:, k] = np.where(inside, token[np.clip(place, 0, max(n - 1, 0))], edge) if n else edge
+    return token, around
 
 
+@dataclass
 class Network:
-    """Left and right embeddings -> tanh -> softmax; a few tens of kilobytes, pickled into the tasks."""
-
-    NAMES = ("left", "right", "hidden_bias", "out", "out_bias")
-
-    def __init__(self, classes: int, hidden: int, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        self.classes = classes
-        self.left = rng.normal(0, 0.3, (classes, hidden)).astype(np.float32)
-        self.right = rng.normal(0, 0.3, (classes, hidden)).astype(np.float32)
-        self.hidden_bias = np.zeros(hidden, np.float32)
-        self.out = rng.normal(0, 0.1, (hidden, classes)).astype(np.float32)
-        self.out_bias = np.zeros(classes, np.float32)
-
-    def forward(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(hidden layer, log-probabilities) of contexts."""
-        hidden = np.tanh(self.left[left] + self.right[right] + self.hidden_bias)
-        logits = hidden @ self.out + self.out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        return hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    """Weights: input rows (the last for a document's edge), output rows with their bias, positions, hidden bias."""
+
+    bits: int = BITS
+    dims: int = DIMS
+    side: int = SIDE
+    words: np.ndarray = field(init=False)
+    out: np.ndarray = field(init=False)
+    place: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        rng = np.random.default_rng(SEED)
+        size = 1 << self.bits
+        self.words = rng.normal(0, 0.3, (size + 1, self.dims)).astype(np.float32)
+        self.out = np.zeros((size, self.dims + 1), np.float32)  # the last column is the bias
+        self.place = np.ones((2 * self.side + 1, self.dims), np.float32) / (2 * self.side)  # the last row is the hidden bias
+        self.place[-1] = 0
+
+    def hidden(self, around: np.ndarray) -> np.ndarray:
+        """The tanh layer with a one for the bias."""
+        total = np.broadcast_to(self.place[-1], (len(around), self.dims)).copy()
+        for k in range(2 * self.side):
+            total += self.words[around[:, k]] * self.place[k]
+        return np.concatenate([np.tanh(total), np.ones((len(around), 1), np.float32)], axis=1)
 
     def table(self) -> np.ndarray:
-        """Log-probability by (left * classes + right) * classes + token."""
-        every = np.arange(self.classes)
-        return np.concatenate([self.forward(np.full(self.classes, a), every)[1] for a in every]).reshape(-1)
-
-    def fit(self, code: np.ndarray, count: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> None:
-        """Minimise the mean negative log-probability of the counted tokens."""
-        v = self.classes
-        context, token = code // v, code % v
-        order = np.lexsort((token, context))
-        context, token, count = context[order], token[order], count[order].astype(np.float32)
-        distinct, first = np.unique(context, return_index=True)
-        cut = np.append(first, len(context))
-        rng = np.random.default_rng(seed)
-        total = count.sum() or 1.0
-        moments = {n: [np.zeros_like(getattr(self, n)), np.zeros_like(getattr(self, n))] for n in self.NAMES}
-        marginal = np.bincount(token, weights=count, minlength=v) + 1.0
-        self.out_bias = np.log(marginal / marginal.sum()).astype(np.float32)
-        step = 0
-        for epoch in range(epochs):
-            rate = RATE * (1 - epoch / epochs) + 1e-4
-            shuffled = rng.permutation(len(distinct))
-            for begin in range(0, len(shuffled), BATCH):
-                pick = shuffled[begin : begin + BATCH]
-                goal = np.zeros((len(pick), v), np.float32)
-                size = cut[pick + 1] - cut[pick]
-                row = np.repeat(np.arange(len(pick)), size)
-                at = np.repeat(cut[pick] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-                goal[row, token[at]] = count[at]
-                a, b = distinct[pick] // v, distinct[pick] % v
-                hidden, log_p = self.forward(a, b)
-                g = np.exp(log_p) * goal.sum(axis=1, keepdims=True) - goal
-                g *= len(distinct) / (len(pick) * total)
-                back = (g @ self.out.T) * (1 - hidden**2)
-                grads = {
-                    "out": hidden.T @ g,
-                    "out_bias": g.sum(axis=0),
-                    "hidden_bias": back.sum(axis=0),
-                    "left": np.zeros_like(self.left),
-                    "right": np.zeros_like(self.right),
-                }
-                np.add.at(grads["left"], a, back)
-                np.add.at(grads["right"], b, back)
-                step += 1
-                for name, grad in grads.items():
-                    m, s = moments[name]
-                    m += 0.1 * (grad - m)
-                    s += 0.001 * (grad * grad - s)
-                    scaled = (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
-                    setattr(self, name, (getattr(self, name) - rate * scaled).astype(np.float32))
-
-
-def _train(classes: int, hidden: int):
+        """All rows, one under the other, of ``dims + 1`` columns."""
+        wide = lambda a: np.pad(a, ((0, 0), (0, 1)))
+        return np.concatenate([wide(self.words), self.out, wide(self.place)])
+
+    def take(self, rows: np.ndarray, values: np.ndarray) -> None:
+        """Set rows of ``table()``."""
+        n, m = len(self.words), len(self.out)
+        for target, low, high in ((self.words, 0, n), (self.out, n, n + m), (self.place, n + m, n + m + len(self.place))):
+            mine = (rows >= low) & (rows < high)
+            target[rows[mine] - low] = values[mine][:, : target.shape[1]]
+
+
+class Trainer:
+    """Sampled softmax by row-wise Adagrad; counts how often each row of the network's table was used."""
+
+    def __init__(self, network: Network, rate: float, seed: int):
+        self.net, self.rate, self.rng = network, rate, np.random.default_rng(seed)
+        size = len(network.words) + len(network.out) + len(network.place)
+        self.used = np.zeros(size)
+        self.speed = np.full(size, 1e-2)
+        self.loss = self.tokens = 0.0
+
+    def _move(self, target: np.ndarray, base: int, rows: np.ndarray, grads: np.ndarray) -> None:
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        total = np.add.reduceat(grads[order], first, axis=0)
+        times, rows = np.diff(np.append(first, len(rows))), rows[first]
+        self.used[base + rows] += times
+        self.speed[base + rows] += (total**2).mean(axis=1)
+        target[rows] -= (self.rate / np.sqrt(self.speed[base + rows]))[:, None].astype(np.float32) * total
+
+    def step(self, token: np.ndarray, around: np.ndarray, negatives: np.ndarray) -> None:
+        net, n = self.net, len(token)
+        hidden = net.hidden(around)
+        good, bad = net.out[token], net.out[negatives]
+        logits = np.concatenate([(good * hidden).sum(axis=1, keepdims=True), hidden @ bad.T], axis=1)
+        logits -= logits.max(axis=1, keepdims=True)
+        share = np.exp(logits)
+        share /= share.sum(axis=1, keepdims=True)
+        self.loss -= float(np.log(share[:, 0] + 1e-30).sum())
+        self.tokens += n
+        share[:, 0] -= 1
+        back = share[:, :1] * good + share[:, 1:] @ bad
+        inner = back[:, : net.dims] * (1 - hidden[:, : net.dims] ** 2)
+        place = np.empty_like(net.place)
+        grads = np.empty((2 * net.side, n, net.dims), np.float32)
+        for k in range(2 * net.side):
+            grads[k] = inner * net.place[k]
+            place[k] = (inner * net.words[around[:, k]]).sum(axis=0)
+        place[-1] = inner.sum(axis=0)
+        first = len(net.words)
+        self._move(net.out, first, np.concatenate([token, negatives]), np.concatenate([share[:, :1] * hidden, share[:, 1:].T @ hidden]))
+        self._move(net.words, 0, around.T.ravel(), grads.reshape(-1, net.dims))
+        self._move(net.place, first + len(net.out), np.arange(len(place)), place / n)
+
+    def learn(self, token: np.ndarray, around: np.ndarray) -> None:
+        """One pass over the tokens of a chunk in random order."""
+        order = self.rng.permutation(len(token))
+        for k in range(0, len(order), BATCH):
+            some = order[k : k + BATCH]
+            negatives = token[self.rng.integers(0, len(token), NEGATIVES)]
+            self.step(token[some], around[some], negatives)
+
+
+def _train_batches(network: Network, rate: float, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for batch in batches:
-            codes.append(batch.column("code").to_numpy())
-            counts.append(batch.column("n").to_numpy())
-        network = Network(classes, hidden)
-        code, count = np.concatenate(codes), np.concatenate(counts)
-        if len(code):
-            network.fit(code, count)
-        raw = [getattr(network, n).astype(np.float32).tobytes() for n in Network.NAMES]
-        yield pa.RecordBatch.from_arrays([pa.array([r]) for r in raw], list(Network.NAMES))
+        import copy
+
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        trainer = Trainer(copy.deepcopy(network), rate, seed * 1_000_003 + (context.partitionId() if context else 0))
+        for _, _, found in _lowered(batches):
+            token, around = sides(found, network.bits, network.side)
+            if len(token):
+                trainer.learn(token, around)
+        rows = np.flatnonzero(trainer.used)
+        values = trainer.net.table()[rows].astype(np.float64) * trainer.used[rows][:, None]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rows), pa.array(trainer.used[rows]), *(pa.array(v) for v in values.T)],
+            ["row", "used", *(f"v{k}" for k in range(values.shape[1]))],
+        )
 
     return run
 
 
+@dataclass
 class Model:
-    """The network, the class of each bucket, and what P(word | class) is made of.
+    """The network, how q is made, and what the sum over words is taken over.
 
-    ``counts`` is the written table (word, n) of all words, ``head`` and ``head_n`` its most frequent
-    ones in order of the hash, ``class_log`` the log of each class's denominator.
+    ``counts`` is the written table (word, n) of all words, ``head`` and ``head_n`` its most frequent ones
+    in order of the hash, ``total`` the tokens and ``distinct`` the words of the corpus; ``noise`` are
+    buckets and ``noise_share`` what each stands for.
     """
 
-    def __init__(
-        self, network: Network, words: np.ndarray, bits: int, counts: DataFrame, head: np.ndarray, head_n: np.ndarray,
-        class_log: np.ndarray,
-    ):
-        self.network, self.words, self.bits = network, words, bits
-        self.counts, self.head, self.head_n, self.class_log = counts, head, head_n, class_log
+    network: Network
+    counts: DataFrame
+    head: np.ndarray
+    head_n: np.ndarray
+    total: int
+    distinct: int
+    noise: np.ndarray
+    noise_share: np.ndarray
+
+
+def noise_buckets(mass: np.ndarray, top: int = TOP, sampled: int = SAMPLED) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, shares) whose weighted sum estimates one over all buckets: the largest ones, and a sample of the rest."""
+    if mass.sum() == 0:
+        return np.zeros(1, np.int64), np.ones(1)
+    mass = mass / mass.sum()
+    order = np.argsort(-mass, kind="stable")
+    large, rest = order[:top], order[top:]
+    left = mass[rest].sum()
+    if left <= 0:
+        return large, mass[large]
+    drawn = np.random.default_rng(SEED).choice(rest, sampled, p=mass[rest] / left)
+    return np.concatenate([large, drawn]), np.concatenate([mass[large], np.full(sampled, left / sampled)])
 
 
 def fit(
-    docs: DataFrame, text_col: str = "text", classes: int = CLASSES, rare: int = RARE_CLASSES, hidden: int = HIDDEN,
-    bits: int = WORD_BITS, head: int = HEAD,
+    docs: DataFrame, text_col: str = "text", bits: int = BITS, dims: int = DIMS, side: int = SIDE, head: int = HEAD,
+    rounds: int = ROUNDS, rate: float = RATE,
 ) -> Model:
-    """Count over all documents, then train in one task on the bounded table of counts."""
+    """Count the words of all documents, then train on all tokens."""
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = source.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = scratch.save(words, "words")
-    bucket = F.shiftrightunsigned("word", 64 - bits).alias("bucket")
-    buckets = words.groupBy(bucket).agg(F.sum("n").alias("n"), F.count("*").alias("v"))
-    top = buckets.orderBy(F.desc("n"), "bucket").limit(classes - rare - 1).collect()  # fewer than ``classes`` rows
-    table = class_table([r.bucket for r in top], bits, classes, rare)
-    rest = words.select(bucket, "n").filter(~F.col("bucket").isin([r.bucket for r in top]))
-    rest = rest.groupBy((F.col("bucket") % rare).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    mass = np.zeros(classes)
-    mass[1 : len(top) + 1] = [r.n + r.v + 1 for r in top]
-    for r in rest:  # at most ``rare`` rows
-        mass[classes - rare + r.k] = r.n + r.v + 1
+    network = Network(bits, dims, side)
+    columns = [f"v{k}" for k in range(dims + 1)]
+    kinds = ", ".join(["row long", "used double", *(f"{c} double" for c in columns)])
+    for step in range(rounds):
+        moved = source.mapInArrow(_train_batches(network, rate / (1 + step), step), kinds)
+        means = moved.groupBy("row").agg(*((F.sum(c) / F.sum("used")).cast("float").alias(c) for c in columns))
+        found = means.toArrow()  # at most a row for each of the network's
+        values = np.stack([found[c].to_numpy() for c in columns], axis=1) if found.num_rows else np.zeros((0, dims + 1))
+        network.take(found["row"].to_numpy(), values)
     first = words.orderBy(F.desc("n"), "word").limit(head).toArrow()  # at most ``head`` rows
     order = np.argsort(first["word"].to_numpy())
-    counts = source.mapInArrow(_count_triples(table, bits, classes), "code long, n long")
-    counts = scratch.save(counts.groupBy("code").agg(F.sum("n").alias("n")), "counts")
-    kinds = ", ".join(f"{n} binary" for n in Network.NAMES)
-    rows = counts.repartition(1).mapInArrow(_train(classes, hidden), kinds).collect()  # one row
-    network = Network(classes, hidden)
-    for name in Network.NAMES if rows else ():
-        value = np.frombuffer(bytes(rows[0][name]), np.float32).reshape(getattr(network, name).shape)
-        setattr(network, name, value)
+    buckets = words.groupBy(F.shiftrightunsigned("word", 64 - bits).alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    mass = np.zeros(1 << bits)
+    mass[buckets["bucket"].to_numpy()] = buckets["n"].to_numpy()
+    noise, share = noise_buckets(mass)
     return Model(
-        network, table, bits, words, first["word"].to_numpy()[order], first["n"].to_numpy()[order],
-        np.log(np.maximum(mass, 1)),
+        network, words, first["word"].to_numpy()[order], first["n"].to_numpy()[order], int(mass.sum()), words.count(), noise, share
     )
 
 
-_TABLES: dict[bytes, np.ndarray] = {}
-
+def token_scores(network: Network, token: np.ndarray, around: np.ndarray, noise: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """s(token, sides) - log of the sum over words, for each token."""
+    out = np.empty(len(token))
+    against, log_share = network.out[noise].T, np.log(share).astype(np.float32)
+    for k in range(0, len(token), BATCH):
+        part = slice(k, k + BATCH)
+        hidden = network.hidden(around[part])
+        others = hidden @ against + log_share
+        most = others.max(axis=1)
+        total = most + np.log(np.exp(others - most[:, None]).sum(axis=1))
+        out[part] = (network.out[token[part]] * hidden).sum(axis=1) - total
+    return out
 
-def _log_table(network: Network) -> np.ndarray:
-    """The network's table, kept for the worker's lifetime (one model at a time)."""
-    key = network.out.tobytes() + network.left.tobytes()
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = network.table()
-    return _TABLES[key]
 
-
-def _score_batches(network: Network, table: np.ndarray, bits: int):
+def _score_batches(network: Network, head: np.ndarray, head_n: np.ndarray, noise: np.ndarray, share: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p = _log_table(network)
         for batch, part, found in _lowered(batches):
-            codes = triples(found, table, bits, network.classes)
-            total = _text.sum_by_doc(log_p[codes].astype(np.float64), found.doc_first)
-            rows = slice(part.first, part.last)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[rows], pa.array(found.count.astype(np.int64)), pa.array(total)],
-                ["doc_id", "n_tokens", "score"],
-            )
-
-    return run
-
-
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, score, mean_score) of each row, by classes alone."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = source.mapInArrow(_score_batches(model.network, model.words, model.bits), "doc_id long, n_tokens long, score double")
-    return _with_mean(scored)
-
-
-def _with_mean(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("mean_score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")))
-
-
-def _word_batches(network: Network, table: np.ndarray, bits: int, head: np.ndarray, head_n: np.ndarray, class_log: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p, head_log = _log_table(network), np.log(head_n + 1.0)
-        for batch, part, found in _lowered(batches):
-            codes = triples(found, table, bits, network.classes)
-            value = log_p[codes].astype(np.float64) - class_log[codes % network.classes]
-            word = found.hash.view(np.int64)
+            token, around = sides(found, network.bits, network.side)
+            value = _text.sum_by_doc(token_scores(network, token, around, noise, share), found.doc_first)
+            # Distinct words of each document with how often they occur there.
+            doc, word = found.doc(), found.hash.view(np.int64)
+            order = np.lexsort((word, doc))
+            doc, word = doc[order], word[order]
+            new = np.ones(len(word), bool)
+            new[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
+            first = np.flatnonzero(new)
+            times, doc, word = np.diff(np.append(first, len(word))), doc[first], word[first]
             at = np.minimum(np.searchsorted(head, word), max(len(head) - 1, 0))
             known = head[at] == word if len(head) else np.zeros(len(word), bool)
-            value[known] += head_log[at[known]]
-            before = np.concatenate([[0], np.cumsum(~known)])[found.doc_first]
-            others = pa.ListArray.from_arrays(pa.array(before.astype(np.int32)), pa.array(word[~known]))
+            value += np.bincount(doc[known], times[known] * np.log(np.maximum(head_n[at[known]] - times[known], 0) + UNSEEN), part.rows)
+            ends = np.searchsorted(doc[~known], np.arange(part.rows + 1)).astype(np.int32)
             rows = slice(part.first, part.last)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row")[rows], batch.column("doc_id")[rows], pa.array(found.count.astype(np.int64)),
-                    pa.array(_text.sum_by_doc(value, found.doc_first)), others,
+                    batch.column("row")[rows], batch.column("doc_id")[rows], pa.array(found.count.astype(np.int64)), pa.array(value),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(word[~known])),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(times[~known].astype(np.int32))),
                 ],
-                ["row", "doc_id", "n_tokens", "part", "others"],
+                ["row", "doc_id", "n_tokens", "part", "others", "times"],
             )
 
     return run
 
 
-def score_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, score, mean_score) of each row: log P(class | sides) + log P(word | class) of its tokens."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, score, mean_score) of each row of the corpus that the model was fitted on.
+
+    A row that was not counted there is scored as if it had been: no count falls below none.
+    """
     source = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
     )
-    run = _word_batches(model.network, model.words, model.bits, model.head, model.head_n, model.class_log)
+    run = _score_batches(model.network, model.head, model.head_n, model.noise, model.noise_share)
     # Written, so that rows keep their numbers and texts are read once.
-    parts = source.mapInArrow(run, "row long, doc_id long, n_tokens long, part double, others array<long>")
-    parts = Scratch(docs.sparkSession).save(parts, "parts")
-    others = parts.select("row", F.explode("others").alias("word")).join(model.counts, "word", "left")
-    rest = others.groupBy("row").agg(F.sum(F.log(F.coalesce("n", F.lit(0)) + 1.0)).alias("rest"))
-    total = parts.drop("others").join(rest, "row", "left").withColumn("score", F.col("part") + F.coalesce("rest", F.lit(0.0)))
-    return _with_mean(total.select("doc_id", "n_tokens", "score"))
+    kinds = "row long, doc_id long, n_tokens long, part double, others array<long>, times array<int>"
+    parts = Scratch(docs.sparkSession).save(source.mapInArrow(run, kinds), "parts")
+    others = parts.select("row", F.explode(F.arrays_zip("others", "times")).alias("o")).select(
+        "row", F.col("o.others").alias("word"), F.col("o.times").alias("times")
+    )
+    elsewhere = F.greatest(F.coalesce("n", F.lit(0)) - F.col("times"), F.lit(0)) + UNSEEN
+    rest = others.join(model.counts, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log(elsewhere)).alias("rest"))
+    # The share of the other documents' tokens, with ``UNSEEN`` for each of their words.
+    size = F.log(F.greatest(F.lit(model.total) - F.col("n_tokens"), F.lit(0)) + UNSEEN * (model.distinct + 1))
+    total = parts.drop("others", "times").join(rest, "row", "left").withColumn(
+        "score", F.col("part") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * size
+    )
+    return total.select(
+        "doc_id", "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score")
+    )

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from strandline.llm import _text, ann, dedup, licenses, lm, packing, quality, rules, toxicity
+from strandline.llm import _text, ann, dedup, licenses, packing, quality, rules, toxicity
 from strandline.llm._bpe import WordBpe
 
 TEXTS = [
@@ -203,23 +203,6 @@ def test_nnls_solves_a_small_system():
     assert (used <= [0, 10, 0, 10, 0]).all() and (1, 3) not in combos and (3, 1) in combos
 
 
-def test_network_learns_and_normalises():
-    net = lm.Network(6, 8)
-    left, right, token = np.array([1, 2, 3] * 50), np.array([2, 3, 1] * 50), np.array([4, 5, 1] * 50)
-    net.fit((left * 6 + right) * 6 + token, np.ones(150), epochs=200)
-    table = net.table()
-    assert np.allclose(np.exp(table.reshape(36, 6)).sum(axis=1), 1, atol=1e-4)
-    assert np.exp(table[(1 * 6 + 2) * 6 + 4]) > 0.8
-
-
-def test_triples_do_not_cross_documents():
-    found = _text.words(one_chunk(["a b", "", "c"]), _text.ALNUM)
-    table = np.arange(1 << 4, dtype=np.int32) % 5 + 1
-    code = lm.triples(found, table, 4, 10)
-    assert [(c // 100, c // 10 % 10) for c in code.tolist()][0][0] == 0
-    assert code[1] // 10 % 10 == 0 and code[2] // 10 == 0
-
-
 def test_ftrl_finds_the_marker():
     rng = np.random.default_rng(1)
     y = (rng.random(400) < 0.2).astype(float)

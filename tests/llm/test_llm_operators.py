@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from strandline.llm import ann, dedup, licenses, lm, mixing, packing, quality, rules, sharding, toxicity
+from strandline.llm import ann, dedup, licenses, mixing, packing, quality, rules, sharding, toxicity
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, bucket string, size int, root string, score double"
@@ -242,23 +242,6 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
-def test_lm(docs, none):
-    model = lm.fit(docs)
-    got = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
-    assert got[103]["n_tokens"] == 0 and got[103]["score"] == 0 and got[103]["mean_score"] is None
-    # Brute force: the network's own log-probability of each token from both sides.
-    words = re.findall(r"[a-z0-9]+", prose(3))
-    from strandline.llm import _text
-    import pyarrow as pa
-
-    found = _text.words(next(_text.chunks(pa.array([" ".join(words)]))), _text.ALNUM)
-    token = model.words[(found.hash >> np.uint64(64 - model.bits)).astype(int)]
-    padded = [0, *token.tolist(), 0]
-    total = sum(model.network.forward(np.array([padded[i - 1]]), np.array([padded[i + 1]]))[1][0, padded[i]] for i in range(1, len(padded) - 1))
-    assert got[3]["score"] == pytest.approx(total, rel=1e-4)
-    assert lm.score(none, lm.fit(none)).count() == 0
-
-
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 16)).round(3)
