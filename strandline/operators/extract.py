@@ -212,7 +212,8 @@ def extract_types(files: DataFrame) -> DataFrame:
 
 def inventory(chunks: DataFrame, notes: bool = False) -> DataFrame:
     """(name, path, line_start, line_end, text): precise symbol spans, else declared names; a note is one symbol."""
-    from strandline.functions.text import basename, declared_callables
+    from strandline.functions.symbols import declared_callables
+    from strandline.functions.text import basename
     from strandline.sources.tables import first_by
 
     if notes:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions import predicates, text
+from strandline.functions import predicates, symbols, text
 from strandline.functions.vector import cosine
 from strandline.params import DEFAULTS, Params
 from strandline.sources.tables import tokens
@@ -237,14 +237,14 @@ def find_symbol(chunks: DataFrame, name: str, kind: str = "definition", k: int =
     """Chunks that declare a name, or that refer to it; references prefer real call edges."""
     n = clamp_k(k, 20, 100)
     if kind == "definition":
-        rows = chunks.filter(F.array_contains(text.declared_symbols("text"), name))
+        rows = chunks.filter(F.array_contains(symbols.declared_symbols("text"), name))
         return rows.orderBy("path", "line_start").limit(n)
     if edges is not None:
         calls = edges.filter((F.col("kind") == "calls") & ((F.col("to_symbol") == name) | (F.col("ref_name") == name)))
         if calls.limit(1).count():
             return calls.select(F.col("from_path").alias("path"), F.col("from_lines").alias("lines")).distinct().orderBy("path", "lines").limit(n)
     word = rf"(?<![A-Za-z0-9_$]){name.replace('$', chr(92) + '$')}(?![A-Za-z0-9_$])"
-    rows = chunks.filter(F.col("text").rlike(word) & ~F.array_contains(text.declared_symbols("text"), name))
+    rows = chunks.filter(F.col("text").rlike(word) & ~F.array_contains(symbols.declared_symbols("text"), name))
     return rows.orderBy("path", "line_start").limit(n)
 
 
