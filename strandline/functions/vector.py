@@ -1,4 +1,4 @@
-"""Vector expressions over ARRAY columns."""
+"""Vector expressions over ARRAY columns, and a block kernel for many queries."""
 
 from __future__ import annotations
 
@@ -45,3 +45,68 @@ def hash_embedding(text: Column, dims: int = 64) -> Column:
             ),
         )
     )
+
+
+def nearest_rows(sent, n: int, digits: int | None, skip_equal: bool):
+    """A ``mapInArrow`` function over (id, v): (query_id, id, similarity), the n best rows of the task for each query.
+
+    ``sent`` is a broadcast Arrow table (query_id, query_vector).  Cosine as above; ties at the n-th place
+    go to the smaller id.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def lists(column):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        size = np.diff(column.offsets.to_numpy())
+        sound = column.is_valid().to_numpy(zero_copy_only=False)
+        return column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()[:-1], np.where(sound, size, -1)
+
+    def matrix(values, start, pick, dims):
+        rows = values[start[pick][:, None] + np.arange(dims)].astype(np.float64)
+        length = np.sqrt((rows * rows).sum(axis=1))
+        return np.divide(rows, length[:, None], out=np.zeros_like(rows), where=(length > 0)[:, None])
+
+    def run(batches):
+        asked = sent.value
+        count = asked.num_rows
+        q_ids = asked["query_id"].to_numpy()
+        values, start, size = lists(asked["query_vector"]) if count else (None, None, np.zeros(0, int))
+        groups = {int(d): np.flatnonzero(size == d) for d in np.unique(size) if d > 0}
+        queries = {d: matrix(values, start, at, d) for d, at in groups.items()}
+        kind = None
+        best_q, best_sim, best_id = np.zeros(0, np.int64), np.zeros(0), None
+        step = max(1, 4_000_000 // max(count, 1))
+        for batch in batches:
+            kind = batch.column("id").type
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            values, start, size = lists(batch.column("v"))
+            for low in range(0, batch.num_rows if count else 0, step):
+                part = np.arange(low, min(low + step, batch.num_rows))
+                sim = np.zeros((len(part), count))
+                for d, at in groups.items():
+                    mine = np.flatnonzero(size[part] == d)
+                    if len(mine):
+                        sim[np.ix_(mine, at)] = np.nan_to_num(matrix(values, start, part[mine], d) @ queries[d].T)
+                if digits is not None:
+                    sim = np.floor(sim * 10.0**digits + 0.5) / 10.0**digits
+                if skip_equal:
+                    sim[ids[part][:, None] == q_ids[None, :]] = -np.inf
+                least = np.partition(sim, len(part) - n, axis=0)[len(part) - n] if len(part) > n else np.full(count, -np.inf)
+                row, q = np.nonzero((sim >= least) & (sim > -np.inf))
+                new_id = ids[part][row]
+                q = np.concatenate([best_q, q])
+                score = np.concatenate([best_sim, sim[row, q[len(best_q) :]]])
+                name = new_id if best_id is None else np.concatenate([best_id, new_id])
+                order = np.lexsort((np.unique(name, return_inverse=True)[1], -score, q))
+                q = q[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < n
+                best_q, best_sim, best_id = q[keep], score[order][keep], name[order][keep]
+        if best_id is not None and len(best_q):
+            yield pa.RecordBatch.from_arrays(
+                [asked["query_id"].combine_chunks().take(pa.array(best_q)), pa.array(best_id, kind), pa.array(best_sim)],
+                ["query_id", "id", "similarity"],
+            )
+
+    return run

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,8 @@ from strandline.functions.predicates import entrypoint_reason
 from strandline.functions.text import cluster_of
 from strandline.sources.tables import cut, first_by
 
+TRIM_LAYERS = 4
+LOCAL_EDGES = 1_000_000
 FILE_KINDS = ("imports", "links", "embeds")
 
 
@@ -107,20 +112,78 @@ def degrees(links: DataFrame, kinds: tuple[str, ...] | None = None, direction: s
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def strong_components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node of each strongly connected component, by colouring.
+def _components_of(edges: pd.DataFrame) -> dict[str, str]:
+    """The least node of each node's strongly connected component, by Kosaraju's two passes without recursion."""
+    forward: dict[str, list[str]] = defaultdict(list)
+    back: dict[str, list[str]] = defaultdict(list)
+    for a, b in zip(edges["src"], edges["dst"], strict=True):
+        forward[a].append(b)
+        back[b].append(a)
+    order, seen = [], set()
+    for root in {*forward, *back}:
+        if root in seen:
+            continue
+        seen.add(root)
+        stack = [(root, iter(forward.get(root, ())))]
+        while stack:
+            node, rest = stack[-1]
+            following = next((x for x in rest if x not in seen), None)
+            if following is None:
+                order.append(node)
+                stack.pop()
+            else:
+                seen.add(following)
+                stack.append((following, iter(forward.get(following, ()))))
+    out: dict[str, str] = {}
+    for root in reversed(order):
+        if root not in out:
+            members, stack = [root], [root]
+            out[root] = root
+            while stack:
+                for x in back.get(stack.pop(), ()):
+                    if x not in out:
+                        out[x] = root
+                        members.append(x)
+                        stack.append(x)
+            least = min(members)
+            for m in members:
+                out[m] = least
+    return out
+
+
+def strong_components(links: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(node, component): the least node of each strongly connected component.
+
+    Up to ``local_edges`` distinct edges one task finds them; beyond, joins do (the same components, see
+    ``spread_components``).
+    """
+    edges = cut(links.select("src", "dst").filter("src <> dst").distinct())
+    if edges.count() > local_edges:
+        return spread_components(edges)
+
+    def run(batches):
+        found = _components_of(pd.concat([pd.DataFrame({"src": [], "dst": []}), *batches]))
+        yield pd.DataFrame({"node": list(found), "component": list(found.values())}, dtype=object)
+
+    return edges.repartition(1).mapInPandas(run, "node string, component string")
+
+
+def spread_components(links: DataFrame) -> DataFrame:
+    """Strongly connected components by colouring, without a task that holds the graph.
 
     Repeatedly: the least label is spread forward; inside a colour, what reaches back to the colour's
     root is a component and leaves the graph.  Every round settles at least one component of each
-    colour; each step is a join, so no task holds the graph.
+    colour; each step is a join.
     """
     edges = cut(links.select("src", "dst").filter("src <> dst").distinct())
     nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct())
     settled = None
     while True:
-        # Nodes without both an inbound and an outbound edge are components of their own.
-        core = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
-        trimmed = cut(edges.join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi"))
+        # Nodes without both an inbound and an outbound edge are components of their own: several layers a job.
+        trimmed = edges
+        for _ in range(TRIM_LAYERS):
+            trimmed = trimmed.join(trimmed.select(F.col("dst").alias("src")), "src", "left_semi").join(trimmed.select(F.col("src").alias("dst")), "dst", "left_semi")
+        trimmed = cut(trimmed)
         if trimmed.count() != edges.count():
             edges = trimmed
             continue
@@ -155,13 +218,40 @@ def self_loops(links: DataFrame) -> DataFrame:
     return links.filter("src = dst").groupBy("kind").agg(F.count("*").alias("self_loops"))
 
 
-def example_cycle(links: DataFrame, members: list[str]) -> DataFrame:
-    """(path, hops): the shortest closed walk through the least member of one component."""
+def example_cycle(links: DataFrame, members: list[str], local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """(path, hops): the shortest closed walk through the least member of one component, the least array among those.
+
+    Up to ``local_edges`` edges one task walks them, as a cycle takes as many steps as it is long; beyond,
+    a join a step does.
+    """
     spark, first = links.sparkSession, min(members)
-    inside = links.filter(F.col("src").isin(members) & F.col("dst").isin(members) & (F.col("src") != F.col("dst")))
-    nexts = inside.filter(F.col("src") == first).select(F.col("dst").alias("node"))
-    walk = shortest_path(inside, nexts, spark.createDataFrame([(first,)], "node string"), len(members))
-    return walk.select(F.concat(F.array(F.lit(first)), "path").alias("path"), (F.col("hops") + 1).alias("hops"))
+    named = spark.createDataFrame([(m,) for m in members], "node string")
+    inside = links.filter("src <> dst").join(named.withColumnRenamed("node", "src"), "src", "left_semi")
+    inside = cut(inside.join(named.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct())
+    if inside.count() > local_edges:
+        nexts = inside.filter(F.col("src") == first).select(F.col("dst").alias("node"))
+        walk = shortest_path(inside, nexts, spark.createDataFrame([(first,)], "node string"), len(members))
+        return walk.select(F.concat(F.array(F.lit(first)), "path").alias("path"), (F.col("hops") + 1).alias("hops"))
+
+    def run(batches):
+        edges = pd.concat([pd.DataFrame({"src": [], "dst": []}), *batches])
+        after: dict[str, list[str]] = defaultdict(list)
+        for a, b in zip(edges["src"], edges["dst"], strict=True):
+            after[a].append(b)
+        front, seen = {first: [first]}, set()
+        while front:
+            grown: dict[str, list[str]] = {}
+            for node in sorted(front, key=front.get):
+                for x in after.get(node, ()):
+                    if x not in seen and x not in grown:
+                        grown[x] = [*front[node], x]
+            if first in grown:
+                yield pd.DataFrame({"path": [grown[first]], "hops": [len(grown[first]) - 1]})
+                return
+            seen |= set(grown)
+            front = grown
+
+    return inside.repartition(1).mapInPandas(run, "path array<string>, hops int")
 
 
 def transitive_bases(bases: DataFrame, depth: int = 100) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import predicates, symbols, text
-from strandline.functions.vector import cosine
+from strandline.functions.vector import cosine, nearest_rows
 from strandline.params import DEFAULTS, Params
-from strandline.sources.tables import tokens
+from strandline.sources.tables import broadcast_if_small, corpus_stats, cut, postings, tokens
 
 
 def clamp_k(k: object, default: int = 8, most: int = 50) -> int:
@@ -54,19 +54,61 @@ def vector_top(chunks: DataFrame, query: Column, n: int, id_col: str = "id", vec
 
 
 def vector_top_batch(
-    chunks: DataFrame, queries: DataFrame, n: int, id_col: str = "id", vector_col: str = "embedding"
-) -> DataFrame:
-    """(query_id, id, similarity, vec_rank) for a bounded set of query vectors (query_id, query_vector)."""
-    pairs = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(queries)
-    scored = pairs.select("query_id", "id", cosine(F.col("v"), F.col("query_vector")).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("vec_rank", F.row_number().over(order)).filter(F.col("vec_rank") <= n)
-
+    chunks: DataFrame, queries: DataFrame, n: int, id_col: str = "id", vector_col: str = "embedding", digits: int | None = None,
+    skip_equal: bool = False, group_bytes: int = 16_000_000,
+) -> DataFrame:
+    """(query_id, id, similarity, vec_rank): the n nearest of every query vector (query_id, query_vector), by cosine.
 
-def bm25(postings: DataFrame, stats: DataFrame, terms: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    Queries go to the chunks in groups of about ``group_bytes``, one broadcast each; a task multiplies
+    blocks of rows with a group and gives back the n best of its rows, ties by id included.  Similarity
+    is rounded to ``digits`` before ranking; ``skip_equal`` leaves out the chunk whose id is the query's.
+    """
+    spark = chunks.sparkSession
+    asked = queries.select("query_id", F.col("query_vector").cast("array<double>").alias("query_vector"))
+    need = asked.agg(F.sum(8 * (F.size("query_vector") + 8)).alias("b")).first().b or 0
+    groups, out = 1 + need // group_bytes, None
+    kinds = dict(chunks.dtypes)
+    rows = chunks.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {kinds[id_col]}, similarity double"
+    for g in range(groups):
+        mine = asked if groups == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)
+        sent = spark.sparkContext.broadcast(mine.toArrow().combine_chunks())
+        found = rows.mapInArrow(nearest_rows(sent, n, digits, skip_equal), schema)
+        out = found if out is None else out.union(found)
+    return ranked(out, "similarity", "vec_rank", n, ["query_id"])
+
+
+def bm25_over(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "fts_text", params: Params = DEFAULTS) -> DataFrame:
+    """``bm25`` over texts without stored postings: only asked terms are counted."""
+    found = cut(postings(docs, id_col, text_col, only=terms))
+    return bm25(found, corpus_stats(docs, text_col), terms, params)
+
+
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(item_id, id) of texts (id, text) that contain a passage (item_id, passage) as it stands.
+
+    Inner words of a passage are words of every text that contains it, so texts meet passages by the
+    passage's longest inner word and are compared then; passages without one meet every text.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
+    inner = words(F.col("passage"))
+    inner = F.slice(inner, F.lit(2), F.greatest(F.size(inner) - 2, F.lit(0)))
+    longest = F.get(F.array_sort(inner, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a))
+                                 .otherwise(F.when(a < b, -1).when(a > b, 1).otherwise(0))), F.lit(0))
+    keyed = cut(passages.select("item_id", "passage", longest.alias("word")))
+    few = broadcast_if_small(keyed.filter("word IS NOT NULL"))
+    texts = docs.select("id", "text", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    met = texts.join(few, "word").filter(F.contains("text", "passage")).select("item_id", "id")
+    short = keyed.filter("word IS NULL")
+    if not short.limit(1).count():
+        return met
+    return met.union(docs.join(broadcast_if_small(short), F.contains(F.col("text"), F.col("passage"))).select("item_id", "id"))
+
+
+def bm25(found: DataFrame, stats: DataFrame, terms: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """(query_id, id, score) of (query_id, term): idf = ln(1 + (N - df + .5) / (df + .5))."""
     wanted = terms.select("query_id", "term").distinct()
-    hits = postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    hits = found.join(broadcast_if_small(wanted.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     k1, b = params.bm25_k1, params.bm25_b
@@ -186,7 +228,7 @@ def embed(chunks: DataFrame, model: Callable[[pd.Series], pd.Series] | None, tex
 
 
 def search(
-    chunks: DataFrame, postings: DataFrame, stats: DataFrame, query: str, query_vector: list[float], k: int = 8,
+    chunks: DataFrame, stored: DataFrame, stats: DataFrame, query: str, query_vector: list[float], k: int = 8,
     path_prefix: str | None = None, language: str | None = None, notes: bool = False, degrees: DataFrame | None = None,
     params: Params = DEFAULTS,
 ) -> DataFrame:
@@ -200,7 +242,7 @@ def search(
     vector = vector_top(rows, F.array(*map(F.lit, query_vector)), width)
     if weight > 0:
         terms = query_terms(spark.createDataFrame([(0, query)], "query_id int, query string"))
-        scored = bm25(postings, stats, terms, params).join(rows.select("id"), "id", "left_semi")
+        scored = bm25(stored, stats, terms, params).join(rows.select("id"), "id", "left_semi")
         lexical = ranked(scored.orderBy(F.desc("score"), "id").limit(width), "score", "fts_rank", width)
     else:
         lexical = spark.createDataFrame([], "id string, fts_rank int")

@@ -12,9 +12,14 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``; a temporary folder where it is unset and one machine runs all."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured.rstrip("/") if configured else _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="cut-"))
+    if configured:
+        return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="cut-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,6 +29,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the cluster has cores is dealt to all of them.
+
+    Splits are some megabytes at least, so what is shuffled is a few megabytes a core; larger scans, and
+    plans that shuffle anyway, stay as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    planned = rows._jdf.queryExecution()
+    if planned.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return rows
+    return rows.repartition(cores) if planned.toRdd().getNumPartitions() < cores else rows
+
+
+#: Rows of a side that goes to every task.
+SMALL_ROWS = 1_000_000
+
+
+def broadcast_if_small(rows: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """Sent to every task if it is at most so many rows, counted; else joined by a shuffle."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def manifest(chunks: DataFrame) -> DataFrame:
     """(path, mtime_ms): the newest finite time of each path."""
     return chunks.filter(F.col("mtime_ms").isNotNull()).groupBy("path").agg(F.max("mtime_ms").alias("mtime_ms"))
@@ -66,6 +93,31 @@ def split_by_cache(chunks: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     return rows.join(vectors, "content_hash"), rows.join(vectors, "content_hash", "left_anti")
 
 
+def write_meta(spark: SparkSession, values: dict[str, str], root: str) -> None:
+    """Replace the key-value table below a folder; readers see the old or the new one."""
+    from strandline.sources.sinks import write_version
+
+    write_version(spark.createDataFrame(sorted(values.items()), "key string, value string"), root)
+
+
+def read_meta(spark: SparkSession, root: str) -> dict[str, str]:
+    from strandline.sources.sinks import read_version
+
+    return meta_map(read_version(spark, root))
+
+
+def exists(spark: SparkSession, root: str) -> bool:
+    """Whether a version of a table was ever written below a folder."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def upsert_edges(stored: DataFrame, new: DataFrame, paths: DataFrame) -> DataFrame:
+    """Edges of other files, and the new ones of these: keyed by ``from_path``."""
+    gone = paths.select(F.col("path").alias("from_path"))
+    return evict(stored, gone, "from_path").unionByName(new, allowMissingColumns=True)
+
+
 def meta_map(meta: DataFrame) -> dict[str, str]:
     """The key-value table on the driver; a row for each of a handful of keys."""
     return {r["key"]: r["value"] for r in meta.collect()}
@@ -95,16 +147,25 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "fts_text") -> DataFrame:
-    """(term, id, tf, doc_len): one row for each term of a chunk."""
+def postings(chunks: DataFrame, id_col: str = "id", text_col: str = "fts_text", only: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, doc_len): one row for each term of a chunk, of those in ``only`` (term) where given."""
     words = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words"))
     each = words.select("id", F.size("words").alias("doc_len"), F.explode("words").alias("term"))
+    if only is not None:
+        each = each.join(broadcast_if_small(only.select("term").distinct()), "term", "left_semi")
     return each.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf")).select("term", "id", "tf", "doc_len")
 
 
+def refresh_postings(stored: DataFrame, changed: DataFrame, deleted: DataFrame, id_col: str = "id", text_col: str = "fts_text") -> DataFrame:
+    """Stored postings with those of deleted ids gone and those of changed chunks made again; others are not read as text."""
+    gone = changed.select(F.col(id_col).alias("id")).union(deleted.select(F.col(id_col).alias("id")))
+    return evict(stored, gone, "id").unionByName(postings(changed, id_col, text_col))
+
+
 def corpus_stats(chunks: DataFrame, text_col: str = "fts_text") -> DataFrame:
     """(n_docs, avg_len): one row."""
-    return chunks.agg(F.count("*").alias("n_docs"), F.avg(F.size(tokens(F.col(text_col)))).alias("avg_len"))
+    length = F.regexp_count(F.lower(F.col(text_col)), F.lit("[a-z0-9]+"))
+    return chunks.agg(F.count("*").alias("n_docs"), F.avg(length).alias("avg_len"))
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:

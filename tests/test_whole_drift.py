@@ -31,6 +31,6 @@ def test_documents_with_comments_and_braces_are_graded(spark, tmp_path):
         grade = "removed" if k % 7 == 1 else "signature" if sig(t) != sig(now) else "body" if _body(t) != _body(now) else None
         if grade:
             want.add((str(k), grade))
-    got = {(r.symbol, r.grade) for r in q.queries()["drift_grades_all"](spark, str(tmp_path)).collect()}
+    got = {(r.symbol, r.grade) for r in q.queries()["drift_grades"](spark, str(tmp_path)).collect()}
     assert got == want
     assert ("9", "body") in got and ("23", "body") not in got

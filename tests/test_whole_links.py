@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from strandline.operators import graph
 from strandline.plans import queries as q
 
 
@@ -35,26 +36,27 @@ def test_all_links_are_used(spark, fixture):
     path, links = fixture
     run = lambda name: q.queries()[name](spark, path).collect()
     assert max(Counter(a for a, _ in links).values()) > 2
-    assert {r.node: r.degree for r in run("degree_all")} == Counter(x for e in links for x in e)
-    assert {r.node: r.depth for r in run("impact_all")} == {n: d for n, d in _reach(links, "3", 3).items() if d}
+    assert {r.node: r.degree for r in run("degree")} == Counter(x for e in links for x in e)
+    assert {r.node: r.depth for r in run("impact")} == {n: d for n, d in _reach(links, "3", 3).items() if d}
     both = {*links, *((b, a) for a, b in links)}
-    assert {r.node: r.depth for r in run("ego_graph_all")} == _reach(both, "7", 2)
+    assert {r.node: r.depth for r in run("ego_graph")} == _reach(both, "7", 2)
     far = _reach(links, "3", 8).get(max(b for _, b in links))
-    found = run("shortest_path_all")
+    found = run("shortest_path")
     assert [r.hops for r in found] == ([] if far is None else [far])
     for r in found:
         steps = r.path.split(">")
         assert all(e in links for e in zip(steps, steps[1:], strict=False))
     every = {n: set(_reach(links, n, 99)) for e in links for n in e}
     want = {n: frozenset(m for m in every[n] if n in every[m]) for n in every}
-    parts = defaultdict(set)
-    for r in run("strong_components_all"):
-        parts[r.component].add(r.node)
-    assert {frozenset(p) for p in parts.values()} == set(want.values())
+    for found in (graph.strong_components(q._links(spark, path)), graph.strong_components(q._links(spark, path), 0)):
+        parts = defaultdict(set)
+        for r in found.collect():
+            parts[r.component].add(r.node)
+        assert {frozenset(p) for p in parts.values()} == set(want.values()) and all(min(p) == c for c, p in parts.items())
     brand = lambda n: f"b{int(n) % 3}"
     count, worst = Counter(), defaultdict(bool)
     for (a, b), conf in links.items():
         if brand(a) != brand(b):
             count[brand(a), brand(b)] += 1
             worst[brand(a), brand(b)] |= conf == "ambiguous"
-    assert {((r.source, r.target), r["count"], r.worst_is_ambiguous) for r in run("rollup_brands_all")} == {(k, n, worst[k]) for k, n in count.items()}
+    assert {((r.source, r.target), r["count"], r.worst_is_ambiguous) for r in run("rollup_brands")} == {(k, n, worst[k]) for k, n in count.items()}
