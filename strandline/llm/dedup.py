@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from strandline.llm import _text
 from strandline.llm._ranges import largest, matched, numbered
 from strandline.llm._scratch import Scratch
+from strandline.sources.tables import spread
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -251,9 +252,7 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = Scratch(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")
-    )
+    source = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")))
     signed = scratch.save(
         source.mapInArrow(
             _signature_batches(bands, rows), "doc_id long, text_hash long, fp long, n long, bands array<long>"

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import _text
 from strandline.llm._license_rules import RULES
+from strandline.sources.tables import spread
 
 #: Base phrases and their labels.
 PHRASES = {
@@ -180,5 +181,5 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row with its words, base places, labels, score and the detections left."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     return source.mapInArrow(_scan_batches, _SCHEMA)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import _text
 from strandline.llm._scratch import Scratch
+from strandline.sources.tables import spread
 
 BITS = 15
 DIMS = 16
@@ -255,7 +256,7 @@ def fit(
 ) -> Model:
     """Count the words of all documents, then train on all tokens."""
     scratch = Scratch(docs.sparkSession)
-    source = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    source = spread(docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")))
     words = source.mapInArrow(_count_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     words = scratch.save(words, "words")
     network = Network(bits, dims, side)
@@ -327,9 +328,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A row that was not counted there is scored as if it had been: no count falls below none.
     """
-    source = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
-    )
+    named = F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
+    source = spread(docs.select(*named)).withColumn("row", F.monotonically_increasing_id())
     run = _score_batches(model.network, model.head, model.head_n, model.noise, model.noise_share)
     # Written, so that rows keep their numbers and texts are read once.
     kinds = "row long, doc_id long, n_tokens long, part double, others array<long>, times array<int>"

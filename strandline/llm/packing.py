@@ -38,6 +38,7 @@ from strandline.llm import _text
 from strandline.llm._bpe import WordBpe
 from strandline.llm._ranges import numbered, with_prefix_sums
 from strandline.llm._scratch import Scratch
+from strandline.sources.tables import spread
 
 WINDOW = 4096
 END_ID = 2
@@ -281,7 +282,7 @@ def pack(
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     pieces = scratch.save(
         source.mapInArrow(_piece_batches(vocabulary or vocabulary_path(), window, end_id), _PIECE), "pieces"
     )

@@ -11,7 +11,10 @@ all rows and whole texts.
 
 Defined results.  Null or empty text: the score of the bias alone.  Null ids count as the empty text
 in the fold rule.  No labels, or labels of one kind: every score is that kind's share (0.5 without
-labels).  Repeated ids are trained on once, by the least text.  Empty table: no rows.
+labels).  Repeated ids are trained on once, by the least text, and each row is scored.  Empty table: no
+rows.  Very long texts are read whole.  A score of exactly 0.5 is label 1.  The fit and the scores read
+the named columns only, and ``keep_good`` passes rows on as they are, so further columns of any name do
+no harm.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import _text
 from strandline.llm.toxicity import filtering, fold, labelled_sample, scorer
+from strandline.sources.tables import spread
 
 BITS = 17
 DIMS = 8
@@ -186,7 +190,7 @@ def fit(
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     scored = source.mapInArrow(scorer(model, lower=False), "doc_id long, score double")
     return scored.select(
         "doc_id",
@@ -198,4 +202,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that are predicted good."""
-    return docs.mapInArrow(filtering(model, False, text_col, keep_high=True), docs.schema)
+    return spread(docs).mapInArrow(filtering(model, False, text_col, keep_high=True), docs.schema)

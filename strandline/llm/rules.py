@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import _text
 from strandline.llm._scratch import Scratch
+from strandline.sources.tables import spread
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -110,9 +111,8 @@ def document_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source"
 ) -> DataFrame:
     """(doc_id, host, the counts, base_failed) of each row."""
-    source = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")
-    )
+    named = F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")
+    source = spread(docs.select(*named))
     counted = source.mapInArrow(
         _count_batches, "doc_id long, host string, " + ", ".join(f"{c} long" for c in _COUNTS)
     )

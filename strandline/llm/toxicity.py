@@ -10,7 +10,10 @@ whole texts.
 
 Defined results.  Null or empty text: the score of no features.  Null ids count as the empty text
 in the fold rule.  No usable labels, or labels of one kind: every score is that kind's share (0.5
-if there are no labels).  Repeated ids are trained on once, by the least text.  Empty table: no rows.
+if there are no labels).  Repeated ids are trained on once, by the least text, and each row is scored.
+Empty table: no rows.  Very long texts are read whole.  A score of exactly 0.5 is label 1.  The fit and
+the scores read the named columns only, and ``drop_toxic`` passes rows on as they are, so further columns
+of any name do no harm.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm import _text
+from strandline.sources.tables import spread
 
 BITS = 26
 MAX_TRAIN = 8192
@@ -43,12 +47,14 @@ def fold(id_col: Column, folds: int) -> Column:
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int, id_col: str, text_col: str
 ) -> DataFrame:
-    """(doc_id, y, text) of at most ``bound`` labelled rows outside the held-out fold."""
+    """(doc_id, y, text) of at most ``bound`` labelled rows outside the held-out fold; labels without a row count for nothing."""
+    present = docs.select(F.col(id_col).cast("long").alias("l_id"))
     ids = (
         labels.select(F.col(id_col).cast("long").alias("l_id"), F.col(label).cast("int").alias("y"))
         .filter(F.col("l_id").isNotNull() & F.col("y").isNotNull() & (fold(F.col("l_id"), folds) != held_out))
         .groupBy("l_id")
         .agg(F.max("y").alias("y"))
+        .join(present, "l_id", "left_semi")
         .orderBy(F.xxhash64("l_id"), "l_id")
         .limit(bound)
     )
@@ -206,7 +212,7 @@ def scorer(model, lower: bool = True):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
     scored = source.mapInArrow(scorer(model), "doc_id long, score double")
     return scored.select(
         "doc_id",
@@ -232,4 +238,4 @@ def filtering(model, lower: bool, text_col: str, keep_high: bool):
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not predicted toxic."""
-    return docs.mapInArrow(filtering(model, True, text_col, keep_high=False), docs.schema)
+    return spread(docs).mapInArrow(filtering(model, True, text_col, keep_high=False), docs.schema)
