@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs.  All stages but the last return the columns of ``documents``.
+
+Defined results, in every stage.  Null and empty texts: scored by the classifiers as texts without
+features, one class of near copies, size 0 and so no place in the mix, the end id alone in the packing.
+Null ids and sources: values like others.  Repeated rows: each is scored; near copies of each other; one
+stays.  Ties: as the operators say.  An empty table: an empty table.  Very long texts are read whole.
+Further columns of any name travel along as they are.
 """
 
 from __future__ import annotations
