@@ -126,7 +126,8 @@ def markdown(path: str, content: str, params: Params = DEFAULTS) -> list[Chunk]:
 
 _UNIT = re.compile(
     r"^[ \t]*(?:export\s+|pub(?:lic)?\s+|private\s+|protected\s+|static\s+|async\s+|default\s+|abstract\s+)*"
-    r"(?:(?:function|class|interface|struct|enum|trait|impl|fn|func|namespace)\b[^\n;{]*?([A-Za-z_$][\w$]*)[^\n;{]*"
+    r"(?:func\s*\([^()\n]*\)\s*([A-Za-z_]\w*)[^\n;{]*"
+    r"|(?:function|class|interface|struct|enum|trait|impl|fn|func|namespace|type)\b[^\n;{]*?([A-Za-z_$][\w$]*)[^\n;{]*"
     r"|[A-Za-z_][\w:<>,*& \t]*?[ \t*&]([A-Za-z_]\w*)[ \t]*\([^;{}]*\)[^;{}\n]*)\{",
     re.M,
 )
@@ -179,7 +180,7 @@ def units(language: str, content: str) -> list[tuple[int, int, str]]:
     found, at = [], 0
     while m := _UNIT.search(content, at):
         end = _close(content, m.end() - 1)
-        found.append((m.start(), end, m.group(1) or m.group(2)))
+        found.append((m.start(), end, m.group(1) or m.group(2) or m.group(3)))
         at = max(end, m.end())
     return found
 

@@ -1,6 +1,6 @@
 """Extraction of calls, imports, wikilinks, method sets, class hierarchies and fields from source text.
 
-Python is parsed; other languages are scanned with bounded patterns.
+Python is parsed; of other languages brackets are paired and names before them are read.
 """
 
 from __future__ import annotations
@@ -13,24 +13,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_KEYWORDS = {"if", "for", "while", "switch", "return", "catch", "function", "sizeof", "new", "delete", "throw", "await", "typeof", "super", "import", "func", "fn", "match", "def", "class", "else", "do", "go", "defer"}
+from strandline.operators.receivers import SMART, Layout, reserved
+
 _CALL = re.compile(r"(?:([A-Za-z_$][\w$]*)\s*(\.|->|::)\s*)?([A-Za-z_$][\w$]*)\s*\(")
-_CLASS = re.compile(r"\b(?:class|struct|interface|trait)\s+([A-Za-z_]\w*)([^{};\n]{0,300})\{")
-_VIRTUAL = re.compile(r"\bvirtual\b[^;{}()\n]{0,120}?\b([A-Za-z_]\w*)\s*\(")
-_OVERRIDE = re.compile(r"\b([A-Za-z_]\w*)\s*\([^;{}]{0,200}\)\s*(?:const\s*)?(?:noexcept\s*)?override\b")
-_FIELD = re.compile(r"^[ \t]*(?:mutable\s+|const\s+|static\s+)*([A-Za-z_][\w:]*(?:<[^;<>]{1,80}>)?)\s*[*&]?\s+([A-Za-z_]\w*)\s*(?:=[^;]*)?;", re.M)
-_GO_METHOD = re.compile(r"^func\s*\(\s*(?:\w+\s+)?\*?\s*(\w+)\s*\)\s*(\w+)\s*\(", re.M)
-_GO_INTERFACE = re.compile(r"^type\s+(\w+)\s+interface\s*\{([^}]*)\}", re.M)
-_SMART = ("unique_ptr", "shared_ptr", "weak_ptr", "optional")
+_FIELD = re.compile(r"^[ \t]*(?:mutable\s+|const\s+|static\s+)*([A-Za-z_][\w:]*(?:<[^;<>\n]*>)?)\s*[*&]?\s+([A-Za-z_]\w*)\s*(?:=[^;]*)?;", re.M)
+_GO_METHOD = re.compile(r"^func\s*\(\s*(?:\w+\s+)?\*?\s*(\w+)[^()\n]*\)\s*(\w+)\s*\(", re.M)
+_GO_TYPE = re.compile(r"^type\s+(\w+)\s+(interface|struct)\s*\{", re.M)
 
 CALL_SCHEMA = (
     "kind string, from_path string, line int, from_symbol string, ref_name string, spec string, is_method boolean, "
-    "receiver string, receiver_type string, enclosing_class string, local_target string, alias string"
+    "receiver string, receiver_type string, receiver_factory string, member_op string, enclosing_class string, local_target string, "
+    "alias string"
 )
 
 
 def _row(kind: str, path: str, line: int, **rest) -> dict:
-    base = dict.fromkeys(("from_symbol", "ref_name", "spec", "receiver", "receiver_type", "enclosing_class", "local_target", "alias"))
+    base = dict.fromkeys(("from_symbol", "ref_name", "spec", "receiver", "receiver_type", "receiver_factory", "member_op", "enclosing_class", "local_target", "alias"))
     return {"kind": kind, "from_path": path, "line": line, "is_method": False, **base, **rest}
 
 
@@ -60,7 +58,7 @@ class _Python(ast.NodeVisitor):
         elif isinstance(node.func, ast.Attribute):
             owner = node.func.value.id if isinstance(node.func.value, ast.Name) else None
             kind = self.cls[-1] if owner == "self" and self.cls else None
-            self.rows.append(_row("calls", self.path, node.lineno, ref_name=node.func.attr, receiver=owner, receiver_type=kind, **where) | {"is_method": True})
+            self.rows.append(_row("calls", self.path, node.lineno, ref_name=node.func.attr, receiver=owner, receiver_type=kind, member_op=".", **where) | {"is_method": True})
         self.generic_visit(node)
 
     def visit_Import(self, node: ast.Import) -> None:
@@ -98,8 +96,6 @@ def _blank_comments(content: str) -> str:
 
 def braced_edges(path: str, language: str, content: str) -> list[dict]:
     """Approximate calls and imports of C-family languages."""
-    from strandline.operators.chunking import units
-
     bare = _blank_comments(content)
     rows: list[dict] = []
     for pattern in _IMPORTS if language in ("javascript", "typescript", "tsx") else ():
@@ -112,19 +108,26 @@ def braced_edges(path: str, language: str, content: str) -> list[dict]:
         for m in _INCLUDE.finditer(bare):
             spec = ("./" if m.group(1) == '"' else "") + m.group(2)
             rows.append(_row("imports", path, bare[: m.start()].count("\n") + 1, spec=spec, ref_name=m.group(2)))
-    spans = units(language, bare)
-    classes = [(m.start(), m.end(), m.group(1)) for m in _CLASS.finditer(bare)]
+    layout, skip = Layout(bare, language), reserved(language)
     for m in _CALL.finditer(bare):
         name, owner = m.group(3), m.group(1)
         before = bare[max(0, m.start() - 12) : m.start()]
-        if name in _KEYWORDS or re.search(r"\b(function|func|fn|def|class|new)\s+$", before):
-            continue
-        around = next(((a, b, n) for a, b, n in spans if a <= m.start() < b), None)
-        if around and around[2] == name and bare[around[0] : m.start()].count("{") == 0:
+        if (name in skip and owner is None) or m.start(3) in layout.names or layout.declares(m) or re.search(r"\b(function|func|fn|def|class|new)\s+$", before):
             continue
-        cls = next((n for a, b, n in reversed(classes) if a <= m.start() and around and around[0] <= a), None)
-        kind = cls if owner in ("this", "self") else None
-        found = _row("calls", path, bare[: m.start()].count("\n") + 1, ref_name=name, from_symbol=around[2] if around else None, receiver=owner, receiver_type=kind, enclosing_class=cls)
+        around = layout.around(m.start())
+        cls = (around.owner if around else None) or layout.class_at(m.start())
+        kind = factory = local = None
+        if owner in ("this", "self"):
+            kind = cls
+        elif owner is not None and m.group(2) != "::":
+            kind, made = (layout.bindings(around) if around else {}).get(owner, (None, False))
+            if made:
+                kind, factory = None, kind
+            if name in layout.literals.get(owner, ()):
+                local = name
+        elif m.group(2) == "::":
+            kind = owner
+        found = _row("calls", path, bare[: m.start()].count("\n") + 1, ref_name=name, from_symbol=around.name if around else None, receiver=owner, receiver_type=kind, receiver_factory=factory, member_op=m.group(2), enclosing_class=cls, local_target=local)
         rows.append(found | {"is_method": owner is not None})
     return rows
 
@@ -159,55 +162,99 @@ def wikilinks(notes: DataFrame) -> DataFrame:
     return each.select(kind.alias("kind"), F.col("path").alias("from_path"), "line", target.alias("target")).filter("target <> ''")
 
 
+def _statement_before(text: str, at: int) -> str:
+    """What stands before a place since the last brace or semicolon."""
+    return text[max(text.rfind(c, 0, at) for c in ";{}") + 1 : at]
+
+
+def _fields(body: str, language: str) -> Iterator[tuple[str, str, bool]]:
+    """(name, type, wrapped) of member declarations."""
+    if language in ("typescript", "tsx", "javascript"):
+        for name, kind in re.findall(r"(?:^|[;{}(,])\s*(?:(?:public|private|protected|readonly|static)\s+)*([\w$]+)\s*[?!]?\s*:\s*([A-Z][\w$]*)", body):
+            yield name, kind, False
+        return
+    for kind, name in _FIELD.findall(body):
+        inner = re.match(r"(?:\w+::)*(\w+)<\s*(?:const\s+)?([\w:]+)", kind)
+        smart = bool(inner and inner.group(1) in SMART)
+        real = inner.group(2) if inner and smart else kind
+        if real not in ("return", "using", "typedef", "delete", "throw"):
+            yield name, real.split("::")[-1].split("<")[0], smart
+
+
 def type_facts(path: str, language: str, content: str) -> list[dict]:
-    """Rows (fact, owner, name, detail): methods, bases, fields, virtuals, overrides, interface methods, returns."""
+    """Rows (fact, owner, name, detail): classes, methods, bases, fields, virtuals, overrides, interface methods, returns.
+
+    The detail of a field is its type, with ``*`` before it where only ``->`` reaches it.
+    """
     bare = _blank_comments(content)
     out: list[dict] = []
-    add = lambda fact, owner, name, detail=None: out.append({"fact": fact, "path": path, "owner": owner, "name": name, "detail": detail})
+    seen: set[tuple] = set()
+
+    def add(fact: str, owner: str | None, name: str | None, detail: str | None = None) -> None:
+        if (fact, owner, name, detail) not in seen:
+            seen.add((fact, owner, name, detail))
+            out.append({"fact": fact, "path": path, "language": language, "owner": owner, "name": name, "detail": detail})
+
+    layout = Layout(bare, language)
     if language == "go":
         for m in _GO_METHOD.finditer(bare):
             add("method", m.group(1), m.group(2))
-        for m in _GO_INTERFACE.finditer(bare):
-            names = re.findall(r"^\s*(\w+)\s*\(", m.group(2), re.M)
-            for n in names or [None]:
-                add("interface", m.group(1), n)
+        for m in _GO_TYPE.finditer(bare):
+            body = bare[m.end() : layout.pair.get(m.end() - 1, len(bare))]
+            if m.group(2) == "interface":
+                for n in re.findall(r"(?:^|[;\n])\s*(\w+)\s*\(", body) or [None]:
+                    add("interface", m.group(1), n)
+            else:
+                for name, kind in re.findall(r"^\s*(\w+)\s+\*?([\w.]+)\s*(?:`[^`]*`)?\s*$", body, re.M):
+                    add("field", m.group(1), name, kind.split(".")[-1])
+        for f in layout.functions:
+            if f.owner is None and f.result:
+                add("returns", None, f.name, f.result)
         return out
-    from strandline.operators.chunking import _close
-
-    for m in _CLASS.finditer(bare):
-        name, tail = m.group(1), m.group(2)
-        body = bare[m.end() : _close(bare, m.end() - 1)]
-        clause = tail.replace("extends", ",").replace("implements", ",").split(":", 1)[-1]
-        for b in re.findall(r"[A-Za-z_][\w:]*", re.sub(r"<[^<>]*>|\b(public|private|protected|virtual)\b", " ", clause)):
-            add("base", name, b.split("::")[-1])
-        for v in _VIRTUAL.findall(body):
-            add("virtual", name, v)
-        for o in _OVERRIDE.findall(body):
-            add("override", name, o)
-        for kind, field in _FIELD.findall(body):
-            inner = re.match(r"(?:\w+::)*(\w+)<\s*(?:const\s+)?([\w:]+)", kind)
-            real = inner.group(2) if inner and inner.group(1) in _SMART else kind
-            if real not in ("return", "using", "typedef", "delete", "throw"):
-                add("field", name, field, real.split("::")[-1].split("<")[0])
-        for f in re.findall(r"^\s*(?:[\w:<>,*&~ \t]+[ \t*&])?([A-Za-z_]\w*)\s*\([^;{}]*\)[^;{}]*\{", body, re.M):
-            if f not in _KEYWORDS:
-                add("method", name, f)
-    for kind, owner, f in re.findall(r"^([A-Za-z_][\w:<>*& \t]*?)[ \t*&]+([A-Za-z_]\w*)::(~?[A-Za-z_]\w*)\s*\([^;{}]*\)[^;{}]*\{", bare, re.M):
-        add("method", owner, f, kind.strip())
-    for kind, f in re.findall(r"^(?:static\s+|inline\s+)*([A-Z]\w*)[ \t]*[*&]?[ \t]+([a-z_]\w*)\s*\(", bare, re.M):
-        add("returns", None, f, kind)
+    for start, end, word, name, clause in layout.classes:
+        body = bare[start + 1 : end]
+        add("class", name, name)
+        # C++ keeps its bases behind a colon, other languages behind words.
+        written = clause.split(":", 1)[1] if ":" in clause and language not in ("typescript", "tsx", "javascript") else re.sub(r"^\s*<[^{}]*?>", " ", clause)
+        written = re.sub(r"\b(?:extends|implements)\b", ",", written)
+        for b in re.findall(r"[A-Za-z_$][\w:$.]*", re.sub(r"<[^<>]*>|\b(?:public|private|protected|virtual|final|abstract)\b", " ", written)):
+            add("base", name, re.split(r"::|\.", b)[-1])
+        if word == "interface":
+            for n in re.findall(r"(?:^|[;\n{])\s*(?:readonly\s+)?([A-Za-z_$][\w$]*)\s*\??\s*(?:<[^<>]*>)?\s*[(:]", body) or [None]:
+                add("interface", name, n)
+        for m in re.finditer(r"\bvirtual\b", body):
+            called = re.match(r"[^;{}()]*?([A-Za-z_]\w*)\s*\(", body[m.end() :])
+            if called:
+                add("virtual", name, called.group(1))
+        for m in re.finditer(r"\boverride\b", body):
+            called = re.search(r"([A-Za-z_]\w*)\s*\(", _statement_before(body, m.start()))
+            if called:
+                add("override", name, called.group(1))
+        for n, kind, smart in _fields(body, language):
+            add("field", name, n, ("*" if smart else "") + kind)
+    for f in layout.functions:
+        if f.owner:
+            add("method", f.owner, f.name)
+        add("callable", None, f.name)
+        if f.result and f.result not in ("void", "auto"):
+            add("returns", None, f.name, f.result)
+    for f in re.findall(r"^(?:static\s+|inline\s+)*([A-Z]\w*)[ \t]*[*&]?[ \t]+([a-z_]\w*)\s*\(", bare, re.M) if language in ("c", "cpp") else ():
+        add("returns", None, f[1], f[0])
     return out
 
 
+TYPE_SCHEMA = "fact string, path string, language string, owner string, name string, detail string"
+
+
 def extract_types(files: DataFrame) -> DataFrame:
-    """(fact, path, owner, name, detail) of (path, language, content)."""
+    """(fact, path, language, owner, name, detail) of (path, language, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for p, g, t in zip(batch["path"], batch["language"], batch["content"], strict=True) if t is not None for r in type_facts(p, g, t)]
-            yield pd.DataFrame(rows, columns=["fact", "path", "owner", "name", "detail"])
+            yield pd.DataFrame(rows, columns=["fact", "path", "language", "owner", "name", "detail"])
 
-    return files.select("path", "language", "content").mapInPandas(run, "fact string, path string, owner string, name string, detail string")
+    return files.filter("language NOT IN ('python', 'markdown')").select("path", "language", "content").mapInPandas(run, TYPE_SCHEMA)
 
 
 def inventory(chunks: DataFrame, notes: bool = False) -> DataFrame:

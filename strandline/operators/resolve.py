@@ -91,6 +91,54 @@ def typed_methods(calls: DataFrame, methods: DataFrame, distinct_paths: bool = F
     return single.select("call_id", F.col("site.path").alias("to_path"), F.col("site.lines").alias("to_lines"), F.array().cast("array<string>").alias("candidates"))
 
 
+#: File endings whose calls a language's tiers look at.
+TIER_FILES = {"go": r"\.go$", "cpp": r"(?i)\.(c|cc|cpp|cxx|h|hh|hpp|hxx|hlsl|hlsli|metal)$", "ts": r"(?i)\.[cm]?[jt]sx?$"}
+
+
+def of_language(calls: DataFrame, language: str) -> DataFrame:
+    """Member calls that are still ambiguous, in files of a language."""
+    return calls.filter((F.col("conf") == "ambiguous") & F.col("is_method") & F.col("from_path").rlike(TIER_FILES[language]))
+
+
+def factory_types(calls: DataFrame, returns: DataFrame) -> DataFrame:
+    """Receiver types from factories (name, type) with one return type only, where there is no other type."""
+    unique = returns.groupBy(F.col("name").alias("receiver_factory")).agg(F.count_distinct("type").alias("n"), F.min("type").alias("made")).filter("n = 1").drop("n")
+    rows = calls.join(unique, "receiver_factory", "left")
+    return rows.withColumn("receiver_type", F.coalesce("receiver_type", "made")).drop("made").select(*calls.columns)
+
+
+def _no_site() -> list[Column]:
+    none = F.lit(None).cast("string")
+    return [none.alias("to_path"), none.alias("to_lines")]
+
+
+def class_files(calls: DataFrame, classes: DataFrame, callables: DataFrame) -> DataFrame:
+    """Calls (receiver_type, ref_name) whose class and method are declared together in exactly one file.
+
+    Classes: (type, path); callables: (name, path, lines).  The files of both are intersected, as a class
+    and its methods stand in one file however it is cut.
+    """
+    typed = calls.filter("receiver_type IS NOT NULL").select("call_id", F.col("receiver_type").alias("type"), F.col("ref_name").alias("name"))
+    both = typed.join(classes.select("type", "path").distinct(), "type").join(callables, ["name", "path"])
+    one = both.groupBy("call_id").agg(F.count_distinct("path").alias("n"), F.min(F.struct("path", "lines")).alias("site")).filter("n = 1")
+    return one.select("call_id", F.col("site.path").alias("to_path"), F.col("site.lines").alias("to_lines"), F.array().cast("array<string>").alias("candidates"))
+
+
+def class_dispatch(calls: DataFrame, bases: DataFrame, classes: DataFrame, callables: DataFrame) -> DataFrame:
+    """Calls on a type that other classes implement or extend: the files of those that define the method, and its own.
+
+    Bases: (name, base).  Without an implementing file the call is left to ``class_files``.
+    """
+    typed = calls.filter("receiver_type IS NOT NULL").select("call_id", "receiver_type", F.col("ref_name").alias("name"))
+    heirs = bases.select(F.col("base").alias("receiver_type"), F.col("name").alias("type"), F.lit(True).alias("heir")).distinct()
+    own = typed.select("receiver_type").distinct().select("receiver_type", F.col("receiver_type").alias("type"), F.lit(False).alias("heir"))
+    family = heirs.unionByName(own)
+    sites = classes.select("type", "path").distinct().join(callables.select("name", "path").distinct(), "path")
+    met = typed.join(family, "receiver_type").join(sites, ["type", "name"])
+    found = met.groupBy("call_id").agg(F.bool_or("heir").alias("open"), F.sort_array(F.collect_set("path")).alias("candidates")).filter("open")
+    return found.select("call_id", *_no_site(), "candidates")
+
+
 def implementers(interfaces: DataFrame, methods: DataFrame) -> DataFrame:
     """(interface, type): types whose methods cover an interface's; an interface without methods fits every type.
 
@@ -127,13 +175,20 @@ def virtual_dispatch(calls: DataFrame, ancestors: DataFrame, methods: DataFrame)
 
 
 def field_receivers(calls: DataFrame, fields: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """Receiver types from fields: the class's own field, else that of the nearest base.  Fields: (class, field, type)."""
+    """Receiver types from fields: the class's own field, else that of the nearest base.
+
+    Fields: (class, field, type); a type behind ``*`` is reached by ``->`` only (``member_op`` of the call).
+    """
     lineage = ancestors.select(F.col("name").alias("enclosing_class"), F.col("base").alias("class"), "depth").union(
         fields.select(F.col("class").alias("enclosing_class"), "class", F.lit(0).alias("depth")).distinct())
     seen = lineage.join(fields, "class").groupBy("enclosing_class", F.col("field").alias("receiver")).agg(
         F.min_by("type", F.struct("depth", "class")).alias("field_type"))
     rows = calls.join(seen, ["enclosing_class", "receiver"], "left")
-    return rows.withColumn("receiver_type", F.coalesce("receiver_type", "field_type")).drop("field_type").select(*calls.columns)
+    wrapped = F.col("field_type").startswith("*")
+    if "member_op" in calls.columns:
+        rows = rows.withColumn("field_type", F.when(~wrapped | (F.col("member_op") == "->"), F.col("field_type")))
+    plain = F.regexp_replace("field_type", r"^\*", "")
+    return rows.withColumn("receiver_type", F.coalesce("receiver_type", plain)).drop("field_type").select(*calls.columns)
 
 
 def covering_chunk(calls: DataFrame, chunks: DataFrame) -> DataFrame:

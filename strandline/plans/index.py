@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline import schemas
-from strandline.functions import text
+from strandline.functions import symbols, text
 from strandline.operators import chunking, extract, resolve, search
 from strandline.params import DEFAULTS, Params
 from strandline.sources import tables
@@ -29,6 +29,8 @@ class Index:
     stats: DataFrame
     meta: dict[str, str]
     counters: dict[str, int]
+    found: DataFrame | None = None
+    facts: DataFrame | None = None
 
 
 def _features(chunks: DataFrame, params: Params) -> DataFrame:
@@ -55,29 +57,62 @@ def chunk_and_embed(files: DataFrame, cache: DataFrame | None, model: Model | No
     return tables.cut(done.select(*schemas.CHUNKS.fieldNames())), reused, total - reused
 
 
-def build_edges(files: DataFrame, chunks: DataFrame, notes: DataFrame) -> DataFrame:
-    """All edges of the files: extraction, then the resolution tiers in order."""
-    found = tables.cut(extract.extract_edges(files).withColumn("call_id", F.xxhash64("from_path", "line", "ref_name", "kind", "receiver", "from_symbol")))
-    defs = extract.inventory(chunks).select("name", "path", F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string")).alias("lines"))
+def extract_all(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raw calls and imports, type facts) of files; what a file gives depends on the file alone."""
+    found = extract.extract_edges(files).withColumn("call_id", F.xxhash64("from_path", "line", "ref_name", "kind", "receiver", "from_symbol"))
+    return tables.cut(found), tables.cut(extract.extract_types(files))
+
+
+def definitions(chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """(name, path, lines): the chunks that declare a name, by keyword, body or span; Go methods by their receiver."""
+    lines = F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string")).alias("lines")
+    names = F.array_union(symbols.declared_symbols("text"), F.transform("symbols", lambda s: s["name"]))
+    declared = chunks.select(F.explode(names).alias("name"), "path", lines)
+    methods = facts.filter("fact = 'method' AND language = 'go'").select("name", "path").distinct()
+    held = chunks.select("path", "text", lines).join(methods, "path").filter(F.contains("text", F.concat("name", F.lit("("))))
+    return declared.unionByName(held.select("name", "path", "lines")).distinct()
+
+
+def resolve_edges(found: DataFrame, facts: DataFrame, chunks: DataFrame, notes: DataFrame) -> DataFrame:
+    """All edges: the resolution tiers in order over raw calls and imports, those of each language over its own files."""
+    from strandline.operators.graph import transitive_bases
+
+    defs = tables.cut(definitions(chunks, facts))
     imports = resolve.resolve_imports(found.filter("kind = 'imports'"))
     named = imports.filter("to_path IS NOT NULL").select("from_path", F.coalesce("alias", "ref_name").alias("name"), F.col("to_path").alias("stem"))
-    calls = resolve.resolve_calls(found.filter("kind = 'calls'").dropDuplicates(["call_id"]), defs, named)
-    facts = tables.cut(extract.extract_types(files))
-    methods = facts.filter("fact = 'method'").select(F.col("owner").alias("type"), "name", "path").distinct()
-    flags = facts.filter("fact IN ('virtual', 'override')").groupBy(F.col("owner").alias("type"), "name").agg(
-        F.max((F.col("fact") == "virtual")).alias("is_virtual"), F.max((F.col("fact") == "override")).alias("is_override"))
-    methods = methods.join(flags, ["type", "name"], "left").na.fill(False, ["is_virtual", "is_override"])
-    methods = methods.join(defs.select("name", "path", "lines"), ["name", "path"], "left")
-    from strandline.operators.graph import transitive_bases
+    calls = tables.cut(resolve.resolve_calls(found.filter("kind = 'calls'").dropDuplicates(["call_id"]), defs, named))
+
+    def of(language: str, fact: str) -> DataFrame:
+        wanted = {"go": ["go"], "cpp": ["c", "cpp", "hlsl", "glsl"], "ts": ["typescript", "tsx", "javascript"]}[language]
+        return facts.filter((F.col("fact") == fact) & F.col("language").isin(*wanted))
+
+    def methods_of(language: str) -> DataFrame:
+        rows = of(language, "method").select(F.col("owner").alias("type"), "name", "path").distinct()
+        return rows.join(defs, ["name", "path"], "left")
+
+    go = methods_of("go")
+    calls = resolve.upgrade(calls, resolve.typed_methods(resolve.of_language(calls, "go"), go), "resolved")
+    interfaces = of("go", "interface").select(F.col("owner").alias("interface"), F.col("name").alias("method"))
+    calls = tables.cut(resolve.upgrade(calls, resolve.interface_dispatch(resolve.of_language(calls, "go"), interfaces, go), "dispatch"))
+
+    flags = of("cpp", "virtual").union(of("cpp", "override")).groupBy(F.col("owner").alias("type"), "name").agg(
+        F.max(F.col("fact") == "virtual").alias("is_virtual"), F.max(F.col("fact") == "override").alias("is_override"))
+    cpp = methods_of("cpp").join(flags, ["type", "name"], "left").na.fill(False, ["is_virtual", "is_override"])
+    ancestors = transitive_bases(of("cpp", "base").select(F.col("owner").alias("name"), F.col("name").alias("base")))
+    fields = of("cpp", "field").select(F.col("owner").alias("class"), F.col("name").alias("field"), F.col("detail").alias("type"))
+    returns = of("cpp", "returns").select("name", F.col("detail").alias("type"))
+    typed = resolve.factory_types(resolve.field_receivers(resolve.of_language(calls, "cpp"), fields, ancestors), returns)
+    typed = tables.cut(typed)
+    calls = resolve.upgrade(calls, resolve.virtual_dispatch(typed.filter("receiver_factory IS NULL"), ancestors, cpp), "dispatch")
+    calls = tables.cut(resolve.upgrade(calls, resolve.typed_methods(typed, cpp, distinct_paths=True), "resolved"))
+
+    classes = of("ts", "class").select(F.col("name").alias("type"), "path")
+    callables = of("ts", "callable").select("name", "path").distinct().join(defs, ["name", "path"])
+    bases = of("ts", "base").select(F.col("owner").alias("name"), F.col("name").alias("base"))
+    concrete = classes.join(of("ts", "interface").select(F.col("owner").alias("type")).distinct(), "type", "left_anti")
+    calls = resolve.upgrade(calls, resolve.class_dispatch(resolve.of_language(calls, "ts"), bases, concrete, callables), "dispatch")
+    calls = tables.cut(resolve.upgrade(calls, resolve.class_files(resolve.of_language(calls, "ts"), concrete, callables), "resolved"))
 
-    ancestors = transitive_bases(facts.filter("fact = 'base'").select(F.col("owner").alias("name"), F.col("name").alias("base")))
-    fields = facts.filter("fact = 'field'").select(F.col("owner").alias("class"), F.col("name").alias("field"), F.col("detail").alias("type"))
-    calls = tables.cut(resolve.field_receivers(calls, fields, ancestors))
-    interfaces = facts.filter("fact = 'interface'").select(F.col("owner").alias("interface"), F.col("name").alias("method"))
-    calls = resolve.upgrade(calls, resolve.typed_methods(calls, methods), "resolved")
-    calls = tables.cut(resolve.upgrade(calls, resolve.interface_dispatch(calls, interfaces, methods), "dispatch"))
-    calls = resolve.upgrade(calls, resolve.virtual_dispatch(calls, ancestors, methods), "dispatch")
-    calls = tables.cut(resolve.upgrade(calls, resolve.typed_methods(calls, methods, distinct_paths=True), "resolved"))
     calls = calls.join(resolve.covering_chunk(calls, chunks), "call_id", "left")
     links = resolve.resolve_wikilinks(extract.wikilinks(notes), notes.select("path"))
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
@@ -107,32 +142,53 @@ def promote_ambiguous(edges: DataFrame, chunks: DataFrame, params: Params) -> Da
     )
 
 
-def build(files: DataFrame, previous: Index | None = None, model: Model | None = None, identity: str = "hash", params: Params = DEFAULTS) -> Index:
+def build(files: DataFrame, previous: Index | None = None, model: Model | None = None, identity: str = "hash", params: Params = DEFAULTS, only: DataFrame | None = None) -> Index:
     """An index of (path, mtime_ms, content).
 
     With a previous index of the same embedding identity and schema, only new and changed files are
-    chunked and embedded; vanished ones are evicted first.  Edges are resolved set-wise over all files,
-    so a refresh gives the edges of a rebuild.
+    chunked, embedded, tokenised and scanned for calls and types; vanished ones are evicted first.  With
+    ``only`` (path), other files are taken as they were, whatever the listing says of them.  Edges are
+    resolved set-wise over the raw calls of all files, so a refresh gives the edges of a rebuild.
     """
-    spark: SparkSession = files.sparkSession
     if "language" not in files.columns:
         files = files.withColumn("language", language_of(F.col("path")))
     drifted = previous is not None and bool(schemas.missing(previous.chunks.columns, schemas.CHUNKS))
     if previous is None or drifted or previous.meta.get("embedKey") != identity:
         chunks, reused, embedded = chunk_and_embed(files, None, model, params)
-        counters = {"scanned": files.count(), "skipped": 0, "evicted": 0}
+        found, facts = extract_all(files)
+        stored = tables.cut(tables.postings(chunks))
+        scanned = files.count()
+        counters = {"scanned": scanned, "skipped": 0, "evicted": 0, "extracted": scanned}
     else:
-        state = tables.cut(tables.diff_manifest(files, tables.manifest(previous.chunks)))
+        known = tables.manifest(previous.chunks)
+        state = tables.diff_manifest(files, known)
+        if only is not None:
+            state = state.join(only.select("path").distinct(), "path", "left_semi")
+        state = tables.cut(state)
         changed, deleted = state.filter("state = 'changed'"), state.filter("state = 'deleted'")
-        kept = tables.evict(previous.chunks, changed.union(deleted))
-        fresh, reused, embedded = chunk_and_embed(files.join(changed, "path", "left_semi"), previous.chunks, model, params)
+        gone = tables.cut(changed.union(deleted))
+        fresh_files = files.join(changed, "path", "left_semi")
+        old = previous.chunks.join(gone.select("path").distinct(), "path", "left_semi").select("id")
+        kept = tables.evict(previous.chunks, gone)
+        fresh, reused, embedded = chunk_and_embed(fresh_files, previous.chunks, model, params)
         chunks = tables.cut(kept.unionByName(fresh))
-        counters = {"scanned": files.count(), "skipped": state.filter("state = 'unchanged'").count(), "evicted": deleted.count()}
+        new_found, new_facts = extract_all(fresh_files)
+        found, facts = tables.cut(tables.upsert_edges(previous.found, new_found, gone)), tables.cut(tables.evict(previous.facts, gone).unionByName(new_facts))
+        stored = tables.cut(tables.refresh_postings(previous.postings, fresh, old))
+        counters = {"scanned": files.count(), "skipped": state.filter("state = 'unchanged'").count(), "evicted": deleted.count(), "extracted": changed.count()}
     counters |= {"chunks": chunks.count(), "reused": reused, "embedded": embedded}
-    edges = promote_ambiguous(build_edges(files, chunks, files.filter("language = 'markdown'")), chunks, params)
-    meta = {"embedKey": identity, "version": "1"}
-    del spark
-    return Index(chunks, tables.cut(edges), tables.cut(tables.postings(chunks)), tables.corpus_stats(chunks), meta, counters)
+    notes = files.filter("language = 'markdown'")
+    if only is not None and previous is not None:
+        paths = chunks.select("path").distinct()
+        notes = notes.join(paths, "path", "left_semi")
+    edges = promote_ambiguous(resolve_edges(found, facts, chunks, notes), chunks, params)
+    meta = {"embedKey": identity, "version": "2"}
+    return Index(chunks, tables.cut(edges), stored, tables.corpus_stats(chunks), meta, counters, found, facts)
+
+
+def refresh(files: DataFrame, previous: Index, paths: DataFrame, **options) -> Index:
+    """A targeted refresh: of the named paths (path), those that exist are looked at and the others evicted."""
+    return build(files, previous, only=paths, **options)
 
 
 def status(index: Index, now_ms: int) -> DataFrame:
