@@ -48,6 +48,7 @@ BATCH = 1024
 NEGATIVES = 64
 TOP, SAMPLED = 64, 64
 UNSEEN = 0.5
+MOST = 60.0
 HEAD = 65_536
 HELD_WORDS = 1_000_000
 SEED = 5
@@ -90,16 +91,16 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sides(found: _text.Words, bits: int, side: int = SIDE) -> tuple[np.ndarray, np.ndarray]:
     """(bucket of each token, buckets of its neighbours): ``1 << bits`` stands beyond a document's ends."""
-    token = _bucket(found, bits)
-    edge, n = 1 << bits, len(token)
-    first = np.repeat(found.doc_first[:-1], found.count)
-    last = np.repeat(found.doc_first[1:], found.count)
-    at = np.arange(n)
-    around = np.empty((n, 2 * side), np.int64)
-    for k, shift in enumerate([*range(-side, 0), *range(1, side + 1)]):
-        place = at + shift
-        inside = (place >= first) & (place < last)
-        around[:, k] = np.where(inside, token[np.clip(place, 0, max(n - 1, 0))], edge) if n else edge
+    token = _bucket(found, bits).astype(np.int32)
+    # Every document stands between ``side`` edges on either end of one array.
+    rows = len(found.count)
+    padded = np.full(len(token) + side * (rows + 1), 1 << bits, np.int32)
+    at = np.arange(len(token)) + side * (1 + found.doc())
+    padded[at] = token
+    shifts = [*range(-side, 0), *range(1, side + 1)]
+    around = np.empty((len(token), 2 * side), np.int32)
+    for k, shift in enumerate(shifts):
+        around[:, k] = padded[at + shift]
     return token, around
 
 
@@ -124,10 +125,16 @@ class Network:
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         """The tanh layer with a one for the bias."""
-        total = np.broadcast_to(self.place[-1], (len(around), self.dims)).copy()
+        out = np.empty((len(around), self.dims + 1), self.words.dtype)
+        out[:, -1] = 1
+        total = np.zeros((len(around), self.dims), self.words.dtype)
+        total += self.place[-1]
         for k in range(2 * self.side):
-            total += self.words[around[:, k]] * self.place[k]
-        return np.concatenate([np.tanh(total), np.ones((len(around), 1), np.float32)], axis=1)
+            part = self.words.take(around[:, k], axis=0)
+            part *= self.place[k]
+            total += part
+        np.tanh(total, out=out[:, :-1])
+        return out
 
     def table(self) -> np.ndarray:
         """All rows, one under the other, of ``dims + 1`` columns."""
@@ -153,36 +160,45 @@ class Trainer:
         self.loss = self.tokens = 0.0
 
     def _move(self, target: np.ndarray, base: int, rows: np.ndarray, grads: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows)
         rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        total = np.add.reduceat(grads[order], first, axis=0)
+        total = np.add.reduceat(grads.take(order, axis=0), first, axis=0)
         times, rows = np.diff(np.append(first, len(rows))), rows[first]
         self.used[base + rows] += times
-        self.speed[base + rows] += (total**2).mean(axis=1)
-        target[rows] -= (self.rate / np.sqrt(self.speed[base + rows]))[:, None].astype(np.float32) * total
+        speed = self.speed[base + rows] + np.einsum("ij,ij->i", total, total) / total.shape[1]
+        self.speed[base + rows] = speed
+        total *= (self.rate / np.sqrt(speed)).astype(total.dtype)[:, None]
+        target[rows] -= total
 
     def step(self, token: np.ndarray, around: np.ndarray, negatives: np.ndarray) -> None:
         net, n = self.net, len(token)
         hidden = net.hidden(around)
-        good, bad = net.out[token], net.out[negatives]
-        logits = np.concatenate([(good * hidden).sum(axis=1, keepdims=True), hidden @ bad.T], axis=1)
-        logits -= logits.max(axis=1, keepdims=True)
-        share = np.exp(logits)
-        share /= share.sum(axis=1, keepdims=True)
-        self.loss -= float(np.log(share[:, 0] + 1e-30).sum())
+        good, bad = net.out.take(token, axis=0), net.out.take(negatives, axis=0)
+        own = np.exp(np.minimum(np.einsum("ij,ij->i", good, hidden), MOST))
+        share = hidden @ bad.T
+        np.minimum(share, MOST, out=share)
+        np.exp(share, out=share)
+        total = share.sum(axis=1)
+        total += own
+        own /= total
+        share /= total[:, None]
+        self.loss -= float(np.log(own + 1e-30).sum())
         self.tokens += n
-        share[:, 0] -= 1
-        back = share[:, :1] * good + share[:, 1:] @ bad
-        inner = back[:, : net.dims] * (1 - hidden[:, : net.dims] ** 2)
+        own -= 1
+        good *= own[:, None]
+        inner = (good + share @ bad)[:, : net.dims]
+        inner *= 1 - hidden[:, : net.dims] ** 2
         place = np.empty_like(net.place)
-        grads = np.empty((2 * net.side, n, net.dims), np.float32)
+        grads = np.empty((2 * net.side, n, net.dims), inner.dtype)
         for k in range(2 * net.side):
-            grads[k] = inner * net.place[k]
-            place[k] = (inner * net.words[around[:, k]]).sum(axis=0)
+            np.multiply(inner, net.place[k], out=grads[k])
+            place[k] = np.einsum("ij,ij->j", inner, net.words.take(around[:, k], axis=0))
         place[-1] = inner.sum(axis=0)
         first = len(net.words)
-        self._move(net.out, first, np.concatenate([token, negatives]), np.concatenate([share[:, :1] * hidden, share[:, 1:].T @ hidden]))
+        against = share.T @ hidden
+        hidden *= own[:, None]
+        self._move(net.out, first, np.concatenate([token, negatives]), np.concatenate([hidden, against]))
         self._move(net.words, 0, around.T.ravel(), grads.reshape(-1, net.dims))
         self._move(net.place, first + len(net.out), np.arange(len(place)), place / n)
 
@@ -282,14 +298,14 @@ def fit(
 def token_scores(network: Network, token: np.ndarray, around: np.ndarray, noise: np.ndarray, share: np.ndarray) -> np.ndarray:
     """s(token, sides) - log of the sum over words, for each token."""
     out = np.empty(len(token))
-    against, log_share = network.out[noise].T, np.log(share).astype(np.float32)
+    against, share = np.ascontiguousarray(network.out[noise].T), share.astype(np.float32)
     for k in range(0, len(token), BATCH):
         part = slice(k, k + BATCH)
         hidden = network.hidden(around[part])
-        others = hidden @ against + log_share
-        most = others.max(axis=1)
-        total = most + np.log(np.exp(others - most[:, None]).sum(axis=1))
-        out[part] = (network.out[token[part]] * hidden).sum(axis=1) - total
+        others = hidden @ against
+        np.minimum(others, MOST, out=others)
+        np.exp(others, out=others)
+        out[part] = np.einsum("ij,ij->i", network.out.take(token[part], axis=0), hidden) - np.log(others @ share)
     return out
 
 
@@ -300,12 +316,13 @@ def _score_batches(network: Network, head: np.ndarray, head_n: np.ndarray, noise
             value = _text.sum_by_doc(token_scores(network, token, around, noise, share), found.doc_first)
             # Distinct words of each document with how often they occur there.
             doc, word = found.doc(), found.hash.view(np.int64)
-            order = np.lexsort((word, doc))
-            doc, word = doc[order], word[order]
-            new = np.ones(len(word), bool)
-            new[1:] = (word[1:] != word[:-1]) | (doc[1:] != doc[:-1])
-            first = np.flatnonzero(new)
-            times, doc, word = np.diff(np.append(first, len(word))), doc[first], word[first]
+            both = _text.mix64(found.hash + _text.mix64(doc.astype(_U64)))  # one number for word and document
+            order = np.argsort(both)
+            both = both[order]
+            first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+            times, at = np.diff(np.append(first, len(both))), order[first]
+            again = np.argsort(doc[at], kind="stable")
+            times, doc, word = times[again], doc[at][again], word[at][again]
             at = np.minimum(np.searchsorted(head, word), max(len(head) - 1, 0))
             known = head[at] == word if len(head) else np.zeros(len(word), bool)
             value += np.bincount(doc[known], times[known] * np.log(np.maximum(head_n[at[known]] - times[known], 0) + UNSEEN), part.rows)
