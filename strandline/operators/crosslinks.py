@@ -53,9 +53,10 @@ def _head(column: str) -> Column:
     return F.array_join(F.slice(text.lines(column), 1, 5), "\n")
 
 
-def reverse_links(links: DataFrame, path: str, symbols: list[str], cap: int = DEFAULTS.related_notes_cap) -> DataFrame:
-    """(note, via): notes that refer to a file's symbols, then to the file; one row a note."""
-    hits = links.filter((F.col("path") == path) & (F.col("symbol").isin(symbols) | (F.col("kind") == "file")))
+def reverse_links(links: DataFrame, path: str, symbols: DataFrame, cap: int = DEFAULTS.related_notes_cap) -> DataFrame:
+    """(note, via): notes that refer to a file's symbols (symbol), then to the file; one row a note."""
+    mine = links.filter(F.col("path") == path)
+    hits = mine.filter("kind = 'symbol'").join(symbols.select("symbol").distinct(), "symbol", "left_semi").unionByName(mine.filter("kind = 'file'"))
     ranked = first_by(hits, ["note"], F.when(F.col("kind") == "symbol", 0).otherwise(1), F.desc("rank"), "symbol")
     order = F.when(F.col("kind") == "symbol", 0).otherwise(1)
     return ranked.orderBy(order, "note").limit(cap).select("note", F.coalesce("symbol", "path").alias("via"))
@@ -169,6 +170,12 @@ def drift_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("note", "severity").agg(F.count("*").alias("n"))
 
 
+def report_for(found: DataFrame, note: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(drift rows, one row with how many notes and links are stale), of one note where named."""
+    rows = found if note is None else found.filter(F.col("note") == note)
+    return rows, rows.agg(F.count_distinct("note").alias("stale_notes"), F.count("*").alias("stale_links"))
+
+
 def refs_table(rows: DataFrame) -> DataFrame:
     """(note, table): a Markdown table of each note's references."""
     line = F.concat(F.lit("| "), F.coalesce("symbol", F.lit("")), F.lit(" | "), F.col("path"), F.lit(" | "), F.coalesce("lines", F.lit("")), F.lit(" |"))

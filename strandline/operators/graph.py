@@ -335,6 +335,48 @@ def cap_by_degree(nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataF
     return kept, inside, nodes.agg((F.count("*") - F.lit(limit)).alias("d")).select(F.greatest("d", F.lit(0)).alias("dropped"))
 
 
+def node_ids(edges: DataFrame) -> tuple[Column, Column]:
+    """The typed nodes at both ends of an edge: code, ``note:``, ``ext:``, ``amb:`` and ``disp:``."""
+    noted = F.col("kind").isin("links", "embeds")
+    named = F.coalesce("ref_name", F.lit("?"))
+    source = F.when(noted, F.concat(F.lit("note:"), "from_path")).otherwise(node_key(F.col("from_path"), F.col("from_symbol")))
+    target = (
+        F.when(F.col("conf") == "external", F.concat(F.lit("ext:"), named))
+        .when(F.col("conf") == "ambiguous", F.concat(F.lit("amb:"), named))
+        .when(F.col("conf") == "dispatch", F.concat(F.lit("disp:"), named))
+        .when(noted, F.concat(F.lit("note:"), "to_path"))
+        .otherwise(node_key(F.col("to_path"), F.col("to_symbol")))
+    )
+    return source, target
+
+
+def node_references(edges: DataFrame, file_level: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((node, path, line), (node, candidate)): where the edges of a node stand, and the files it may mean.
+
+    Nodes that merge into one file keep the distinct rows of all of them.  A row each, so a node with many
+    edges is no array.
+    """
+    source, target = node_ids(edges)
+    key = file_of if file_level else (lambda c: c)
+    line = F.split("from_lines", "-")[0].cast("int")
+    rows = edges.select(key(source).alias("source"), key(target).alias("target"), "from_path", line.alias("line"), "candidates", "conf")
+    rows = rows.filter("target IS NOT NULL")
+    ends = rows.select(F.explode(F.array("source", "target")).alias("node"), F.col("from_path").alias("path"), "line")
+    listed = rows.filter("conf IN ('ambiguous', 'dispatch')").select(F.col("target").alias("node"), F.explode("candidates").alias("candidate"))
+    return ends.distinct(), listed.distinct()
+
+
+def cluster_index(nodes: DataFrame, space: int = 16384) -> DataFrame:
+    """(cluster, size, place, x, y): clusters of (node, cluster) by size, then name, on a square grid that fills the space."""
+    sizes = nodes.groupBy("cluster").agg(F.count("*").alias("size"))
+    placed = sizes.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), "cluster")) - 1)
+    columns = F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*").over(Window.partitionBy()))))
+    placed = placed.withColumn("columns", columns).withColumn("cell", F.floor(F.lit(space) / (F.col("columns") + 1)))
+    x = (F.col("place") % F.col("columns") + 0.5) * F.col("cell")
+    y = (F.floor(F.col("place") / F.col("columns")) + 0.5) * F.col("cell")
+    return placed.select("cluster", "size", "place", x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+
 def visual_graph(edges: DataFrame, kinds: list[str] | None = None, confs: list[str] | None = None, path_prefix: str | None = None,
                  focus: str | None = None, depth: int = 2, file_level: bool = False, limit: int = 200) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) for drawing: filter, typed nodes, then a focus or the best connected part, with degree and cluster."""
@@ -345,15 +387,7 @@ def visual_graph(edges: DataFrame, kinds: list[str] | None = None, confs: list[s
         rows = rows.filter(F.col("conf").isin(*confs))
     if path_prefix:
         rows = rows.filter(F.col("from_path").startswith(path_prefix))
-    noted = F.col("kind").isin("links", "embeds")
-    source = F.when(noted, F.concat(F.lit("note:"), "from_path")).otherwise(node_key(F.col("from_path"), F.col("from_symbol")))
-    target = (
-        F.when(F.col("conf") == "external", F.concat(F.lit("ext:"), F.coalesce("ref_name", F.lit("?"))))
-        .when(F.col("conf") == "ambiguous", F.concat(F.lit("amb:"), F.coalesce("ref_name", F.lit("?"))))
-        .when(F.col("conf") == "dispatch", F.concat(F.lit("disp:"), F.coalesce("ref_name", F.lit("?"))))
-        .when(noted, F.concat(F.lit("note:"), "to_path"))
-        .otherwise(node_key(F.col("to_path"), F.col("to_symbol")))
-    )
+    source, target = node_ids(rows)
     mapped = rows.select(source.alias("src"), target.alias("dst"), "kind", "conf").filter("dst IS NOT NULL")
     if focus is not None:
         all_nodes = mapped.select(F.col("src").alias("node")).union(mapped.select(F.col("dst").alias("node"))).distinct()

@@ -259,6 +259,35 @@ def search(
     )
 
 
+def compact(hits: DataFrame) -> DataFrame:
+    """Hits without their snippets."""
+    return hits.drop("snippet")
+
+
+def search_batch(
+    chunks: DataFrame, stored: DataFrame, stats: DataFrame, queries: DataFrame, vectors: DataFrame, k: int = 8, notes: bool = False,
+    params: Params = DEFAULTS,
+) -> DataFrame:
+    """``search`` of many queries (query_id, query) with their vectors (query_id, query_vector), in one plan."""
+    limit = clamp_k(k)
+    width = fanout(limit)
+    weights = [F.lit(x) for kind in ("symbol", "mixed", "plain") for x in (kind, float(lexical_weight(kind, params)))]
+    asked = cut(query_kind(queries).withColumn("weight", F.create_map(*weights)[F.col("kind")]))
+    vector = vector_top_batch(chunks, vectors, width).select("query_id", "id", "vec_rank")
+    scored = bm25(stored, stats, cut(query_terms(asked.filter("weight > 0"))), params).join(chunks.select("id"), "id", "left_semi")
+    lexical = ranked(scored, "score", "fts_rank", width, ["query_id"]).select("query_id", "id", "fts_rank")
+    info = chunks.select("id", "path", "line_start", "line_end", "language", "text")
+    both = vector.join(lexical, ["query_id", "id"], "full").join(asked, "query_id").join(info, "id")
+    both = both.withColumn("prior", predicates.path_prior(F.col("path"), F.col("query"), params.test_penalty, notes))
+    both = both.withColumn("score", rrf(F.col("weight")) * F.col("prior"))
+    top = ranked(both, "score", "rank", limit, ["query_id"])
+    lines = F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string"))
+    return top.select(
+        "query_id", "query", "rank", "id", "path", lines.alias("lines"), "language", text.floor_to("score", 4).alias("score"),
+        "vec_rank", "fts_rank", F.when(F.col("prior") != 1, F.col("prior")).alias("prior"), text.snippet("text").alias("snippet"),
+    )
+
+
 def margin_confidence(hits: DataFrame, keys: list[str] | None = None, params: Params = DEFAULTS) -> DataFrame:
     """(keys, margin, confidence) from the two best hits (rank, score, vec_rank)."""
     order = Window.partitionBy(*(keys or [])).orderBy("rank")

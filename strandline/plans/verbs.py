@@ -13,6 +13,7 @@ from strandline.operators import search as hybrid
 from strandline.params import DEFAULTS, Params
 from strandline.plans.index import Index
 from strandline.sources import tables
+from strandline.sources.files import lines_of_code
 
 
 class Ambiguous(ValueError):
@@ -137,7 +138,7 @@ def cochange(index: Index | None, commits: DataFrame, params: Params = DEFAULTS)
 
 
 def hotspots(commits: DataFrame, files: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    loc = files.select(F.col("path").alias("file"), text.line_count("content").alias("loc"))
+    loc = lines_of_code(files)
     return gitmetrics.hotspots(gitmetrics.commit_files(commits), loc, params=params)
 
 
@@ -148,7 +149,7 @@ def code_links(notes: Index, code: Index) -> DataFrame:
 
 
 def notes_for(links_: DataFrame, code: Index, path: str) -> DataFrame:
-    names = [r["name"] for r in extract.inventory(code.chunks.filter(F.col("path") == path)).select("name").collect()]
+    names = extract.inventory(code.chunks.filter(F.col("path") == path)).select(F.col("name").alias("symbol")).distinct()
     return crosslinks.reverse_links(links_, path, names)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import predicates
-from strandline.functions.text import slice_lines
+from strandline.functions.text import line_count, slice_lines
 
 #: Indexable extensions and their language; those without a grammar stand for themselves.
 LANGUAGES = {
@@ -52,6 +52,17 @@ def stat_paths(listing: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFr
     return listing.join(asked, "path", "left_semi"), asked.join(listing.select("path"), "path", "left_anti")
 
 
+def inside(path: Column) -> Column:
+    """A path that does not leave the collection."""
+    return ~F.array_contains(F.split(path, "/"), "..") & ~path.startswith("/")
+
+
+def lines_of_code(files: DataFrame, max_bytes: int = 2 * 1024 * 1024) -> DataFrame:
+    """(file, loc) of (path, content): files beyond the size and paths outside the collection are left out."""
+    fit = files.filter(inside(F.col("path")) & (F.octet_length("content") <= max_bytes))
+    return fit.select(F.col("path").alias("file"), line_count("content").alias("loc"))
+
+
 def read_span(files: DataFrame, path: str, first: int, last: int, context: int = 0) -> DataFrame:
     """(path, line_start, line_end, text): a clamped span with up to 50 lines around it."""
     if ".." in path.split("/") or path.startswith("/"):

@@ -30,8 +30,15 @@ def mermaid(edges: DataFrame, limit: int = 40) -> DataFrame:
     )
 
 
-def html_graph(nodes: DataFrame, edges: DataFrame, title: str) -> str:
-    """A page with the graph's data and a list view; for capped graphs (see ``cap_by_degree``)."""
+#: Rows that a page holds.
+MOST_DRAWN = 20_000
+
+
+def html_graph(nodes: DataFrame, edges: DataFrame, title: str, most: int = MOST_DRAWN) -> str:
+    """A page with the graph's data and a list view; for capped graphs (see ``cap_by_degree``), others are refused."""
+    for rows in (nodes, edges):
+        if rows.limit(most + 1).count() > most:
+            raise ValueError(f"a page holds at most {most} nodes and {most} edges: cap the graph by degree first")
     data = {"nodes": [r.asDict(True) for r in nodes.collect()], "edges": [r.asDict(True) for r in edges.collect()]}
     rows = "".join(f"<li>{html.escape(str(n['label']))} ({n['degree']})</li>" for n in data["nodes"])
     payload = json.dumps(data).replace("</", "<\\/")

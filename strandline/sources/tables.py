@@ -73,7 +73,7 @@ def upsert(stored: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
 
 
 def evict(stored: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:
-    return stored.join(gone.select(key).distinct(), key, "left_anti")
+    return stored.join(gone.select(key).distinct(), key, "left_anti").select(*stored.columns)
 
 
 def chunks_of(chunks: DataFrame, path: str) -> DataFrame:

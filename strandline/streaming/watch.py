@@ -6,6 +6,7 @@ passed.  ``TIMESTAMP_NTZ`` columns are cast, as watermarks need an instant.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -54,22 +55,37 @@ def last_events(batch: DataFrame) -> DataFrame:
 
 
 class Busy(RuntimeError):
-    """The source is in the middle of an operation: the batch is not committed and comes again."""
+    """The source stayed in the middle of an operation: the batch is not committed and comes again."""
+
+
+def wait_until_free(busy: Callable[[], bool], poll: float = 1.0, patience: float = 600.0) -> float:
+    """Seconds waited until ``busy`` says no; ``Busy`` after ``patience`` of them."""
+    waited = 0.0
+    while busy():
+        if waited >= patience:
+            raise Busy
+        time.sleep(poll)
+        waited += poll
+    return waited
 
 
 def refresh_on_change(
     events: DataFrame, refresh: Callable[[DataFrame, DataFrame], None], checkpoint: str, busy: Callable[[], bool] = lambda: False, once: bool = False,
+    poll: float = 1.0, patience: float = 600.0, stale_tables: tuple[str, ...] = (),
 ) -> StreamingQuery:
-    """Call ``refresh(changed, deleted)`` for each micro-batch; while busy the batch fails and is retried on restart."""
+    """Call ``refresh(changed, deleted)`` for each micro-batch, then drop what is cached of ``stale_tables``.
+
+    While the source is busy the batch waits and events gather for the next one; the stream goes on.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
-        if busy():
-            raise Busy
+        wait_until_free(busy, poll, patience)
         last = last_events(batch).persist()
         try:
             if last.limit(1).count():
                 refresh(last.filter("event <> 'unlink'").select("path"), last.filter("event = 'unlink'").select("path"))
-                batch.sparkSession.catalog.clearCache()
+                for name in stale_tables:
+                    batch.sparkSession.catalog.refreshTable(name)
         finally:
             last.unpersist()
 
