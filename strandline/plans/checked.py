@@ -332,7 +332,7 @@ def community_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT item_id AS query_id, text AS query, CASE WHEN regexp_matches(trim(text, E' \\n\\t\\r\\f\\v'), '^[A-Za-z_$][A-Za-z0-9_$]*$') THEN 'symbol'
+WITH k AS (SELECT item_id AS query_id, text AS query, CASE WHEN regexp_matches(trim(text, (E' \\n\\t\\r\\f' || chr(11))), '^[A-Za-z_$][A-Za-z0-9_$]*$') THEN 'symbol'
     WHEN len(list_filter(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$.]*'), lambda t: regexp_matches(t, '[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z]_[A-Za-z0-9]|[A-Za-z][0-9]|[0-9][A-Za-z]|[A-Za-z0-9_][.][A-Za-z0-9_]'))) > 0
     THEN 'mixed' ELSE 'plain' END AS kind FROM benchmark),
 z AS (SELECT *, CASE kind WHEN 'plain' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM k),
@@ -452,7 +452,7 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH d AS (SELECT doc_id, {_PATH_SQL} AS path, text, rtrim(substr(regexp_extract(text, '[^ \\t\\n\\r\\f\\v][^\\n]*'), 1, 120)) AS head FROM documents),
 x AS (SELECT *, path || ' › ' || 'S › T — ' || head AS prefix, regexp_replace(path, '[^A-Za-z0-9]+', ' ', 'g') AS words FROM d)
 SELECT doc_id, prefix, sha1(substr(prefix || chr(10) || text, 1, 300)) AS embedded,
-  sha1(repeat(trim(regexp_replace(lower(words) || ' S T ' || head, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), E' \\n\\t\\r\\f\\v') || chr(10), 3) || text) AS boosted FROM x""")
+  sha1(repeat(trim(regexp_replace(lower(words) || ' S T ' || head, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), (E' \\n\\t\\r\\f' || chr(11))) || chr(10), 3) || text) AS boosted FROM x""")
 def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _paths(_documents(spark, sf_dir)).withColumn("scope", F.array(F.lit("S"), F.lit("T")))
     rows = rows.withColumn("prefix", text.synthetic_prefix("path", "scope", "text"))
@@ -467,14 +467,14 @@ def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", text.strip_ext("path").alias("bare"), text.file_ext("path").alias("ext"), text.note_key("path").alias("key"), text.top_dir("path").alias("top"), text.cluster_of("path").alias("cluster"))
 
 
-_LINES_SQL = "list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, E' \\n\\t\\r\\f\\v')), lambda s: s <> '')"
+_LINES_SQL = "list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, (E' \\n\\t\\r\\f' || chr(11)))), lambda s: s <> '')"
 
 
 @query(f"""
 WITH l AS (SELECT doc_id, text, {_LINES_SQL} AS ls, string_split(text, chr(10)) AS raw FROM documents),
 x AS (SELECT *, coalesce(list_filter(ls, lambda s: NOT regexp_matches(s, '^(//|#|[*]|/[*]|--|<!--)'))[1], ls[1], '') AS sig, coalesce(ls[1], '') AS head FROM l)
 SELECT doc_id, CASE WHEN length(sig) > 100 THEN substr(sig, 1, 99) || '…' ELSE sig END AS signature, CASE WHEN length(head) > 120 THEN substr(head, 1, 119) || '…' ELSE head END AS first_line,
-  rtrim(substr(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), E' \\n\\t\\r\\f\\v'), 1, 200)) AS snippet, array_to_string(raw[2:3], chr(10)) AS middle FROM x""")
+  rtrim(substr(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), (E' \\n\\t\\r\\f' || chr(11))), 1, 200)) AS snippet, array_to_string(raw[2:3], chr(10)) AS middle FROM x""")
 def text_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _documents(spark, sf_dir)
     return rows.select("doc_id", text.signature_line("text").alias("signature"), text.first_line("text").alias("first_line"), F.rtrim(text.snippet("text")).alias("snippet"), F.coalesce(text.slice_lines("text", F.lit(2), F.lit(3)), F.lit("")).alias("middle"))
@@ -520,8 +520,8 @@ def reference_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH n AS (SELECT doc_id, '# ' || lang || ' part ##' || chr(10) || chr(10) || regexp_replace(text, '#', '', 'g') AS t FROM documents),
-b AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(s, E' \\n\\t\\r\\f\\v')), lambda s: s <> '' AND NOT starts_with(s, '#')) AS ls FROM n)
-SELECT b.doc_id, lang || ' part' AS section, rtrim(substr(trim(regexp_replace(array_to_string(ls, ' '), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), E' \\n\\t\\r\\f\\v'), 1, 200)) AS snippet FROM b JOIN documents USING (doc_id)""")
+b AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda s: trim(s, (E' \\n\\t\\r\\f' || chr(11)))), lambda s: s <> '' AND NOT starts_with(s, '#')) AS ls FROM n)
+SELECT b.doc_id, lang || ' part' AS section, rtrim(substr(trim(regexp_replace(array_to_string(ls, ' '), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), (E' \\n\\t\\r\\f' || chr(11))), 1, 200)) AS snippet FROM b JOIN documents USING (doc_id)""")
 def note_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     note = F.concat(F.lit("# "), "lang", F.lit(" part ##\n\n"), F.replace("text", F.lit("#"), F.lit("")))
     rows = _documents(spark, sf_dir).select("doc_id", note.alias("t"))

@@ -184,7 +184,7 @@ def drift_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT conv_id, turn, regexp_matches(trim(text, E' \n\t\r\f\v'), '^[A-Za-z_$][A-Za-z0-9_$]*$') AS is_symbol,
+SELECT conv_id, turn, regexp_matches(trim(text, (E' \n\t\r\f' || chr(11))), '^[A-Za-z_$][A-Za-z0-9_$]*$') AS is_symbol,
   regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])(tests?|specs?|mocks?|fixtures?)([^A-Za-z0-9_]|$)') AS seeks_tests,
   len(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) >= 4 AND w NOT IN (STRUCTURAL)))) AS n_terms
 FROM conversations""".replace("STRUCTURAL", ", ".join(f"'{w}'" for w in text.STRUCTURAL_WORDS)))
@@ -659,7 +659,7 @@ def _bare_sql(column: str) -> str:
 
 def _signature_sql(column: str) -> str:
     """What stands before the first brace, else the first line that is not blank."""
-    blanks = "E' \\n\\t\\r\\f\\v'"
+    blanks = "(E' \\n\\t\\r\\f' || chr(11))"
     before = f"trim(regexp_replace(string_split({column}, '{{')[1], '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), {blanks})"
     rows = f"list_filter(list_transform(string_split({column}, chr(10)), lambda s: trim(s, {blanks})), lambda s: s <> '')"
     return f"CASE WHEN contains({column}, '{{') THEN {before} ELSE coalesce(list_extract({rows}, 1), '') END"
