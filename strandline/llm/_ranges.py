@@ -42,17 +42,18 @@ def with_prefix_sums(
     )
 
 
-def numbered(rows: DataFrame, copies: str, name: str, most: int) -> DataFrame:
+def numbered(rows: DataFrame, copies: str, name: str, most: int, by: list[str] | None = None) -> DataFrame:
     """Each row ``copies`` (at most ``most``) times, numbered from 0 in a new column ``name``.
 
     Numbers come in runs of ``RUN``, and where a row can have more copies than that its runs are dealt
-    out, so the copies of one row are neither one array nor one task's.
+    out by the columns ``by`` (all, if not given) and the run, so the copies of one row are neither one
+    array nor one task's.
     """
     columns = [*rows.columns, name]
     last = F.col(copies) - 1
     runs = rows.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / RUN))))
     if most > RUN:
-        runs = runs.repartition(*(c for c, kind in rows.dtypes if not kind.startswith("map")), "__run")
+        runs = runs.repartition(*(by or rows.columns), "__run")
     begin = F.col("__run") * RUN
     return runs.withColumn(name, F.explode(F.sequence(begin, F.least(last, begin + RUN - 1)))).select(*columns)
 

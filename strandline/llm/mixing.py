@@ -138,12 +138,12 @@ def mixed_rows(
     own = _keys(F.col(source_col).cast("string"), F.col(id_col).cast("long"), text_hash)
     rows = matched(docs.select(F.struct("*").alias("row"), *(v.alias(k) for k, (v, _) in own.items())),
                    _keys(*(F.col(k) for k in own)))
-    joined = rows.dropDuplicates(keys).join(taken, keys).select("row", "whole", "part")
+    joined = rows.dropDuplicates(keys).join(taken, keys).select("row", "k_id", "k_hash", "whole", "part")
     # Words with the blanks before them: joined again, the first ones are a prefix of the text.
     pieces = F.regexp_extract_all(F.col("row")[text_col], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     head = F.array_join(F.slice(pieces, F.lit(1), F.col("part").cast("int")), "")
     times = F.col("whole") + F.when(F.col("part") > 0, 1).otherwise(0)
-    repeated = numbered(joined.withColumn("times", times), "times", "nth", MAX_EPOCHS * most + 1)
+    repeated = numbered(joined.withColumn("times", times), "times", "nth", MAX_EPOCHS * most + 1, ["k_id", "k_hash"])
     text = F.when(F.col("nth") >= F.col("whole"), head).otherwise(F.col("row")[text_col])
     return repeated.select(F.col("row").withField(f"`{text_col}`", text).alias("row")).select("row.*").select(*(F.col(f"`{c}`") for c in docs.columns))
 
