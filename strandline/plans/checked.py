@@ -816,3 +816,240 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default embedder; its hash has no SQL."""
     return _documents(spark, sf_dir).select("doc_id", text.floor_to(norm(hash_embedding(F.substring("text", 1, 6000), 16)), 4).alias("norm"))
 
+
+
+# The tiers and tallies that have a literal query as well, over tables
+
+
+_TIERS_SQL = """
+c AS (SELECT o_orderkey AS call_id, 'p' || (o_custkey % 40) || '.ts' AS from_path, 'g' || (o_orderkey % 60) AS ref_name, CASE WHEN o_orderkey % 11 = 0 THEN 'g' || (o_orderkey % 60) END AS local_target FROM orders),
+d AS (SELECT DISTINCT 'g' || (p_partkey % 45) AS name, 'p' || p_size || '.ts' AS path, lpad(CAST(p_partkey // 10 AS VARCHAR), 6, '0') AS lines FROM part WHERE p_partkey % 45 < 40 OR p_partkey < 45),
+i AS (SELECT 'p' || (c_custkey % 40) || '.ts' AS from_path, 'g' || (c_custkey % 60) AS ref_name, min('p' || (c_custkey % 50)) AS stem FROM customer GROUP BY 1, 2),
+s AS (SELECT name, list_sort(list({'path': path, 'lines': lines})) AS sites FROM d GROUP BY 1),
+r AS (SELECT c.*, coalesce(sites, []) AS sites, list_filter(sites, lambda x: x.path = stem || '.ts')[1] AS vouched, list_filter(sites, lambda x: x.path = c.from_path)[1] AS own FROM c LEFT JOIN s ON name = c.ref_name LEFT JOIN i ON i.from_path = c.from_path AND i.ref_name = c.ref_name),
+t AS (SELECT *, CASE WHEN local_target IS NOT NULL THEN 'resolved' WHEN len(sites) = 0 THEN 'external' WHEN vouched IS NOT NULL THEN 'resolved' WHEN len(sites) = 1 AND sites[1].path = from_path THEN 'resolved' ELSE 'ambiguous' END AS conf FROM r)"""
+
+
+@query(f"""WITH {_TIERS_SQL}
+SELECT call_id, conf, CASE WHEN local_target IS NOT NULL THEN coalesce(own.path, from_path) WHEN conf = 'resolved' THEN coalesce(vouched.path, sites[1].path) END AS to_path,
+  CASE WHEN local_target IS NOT NULL THEN own.lines WHEN conf = 'resolved' THEN coalesce(vouched.lines, sites[1].lines) END AS to_lines,
+  CASE WHEN conf = 'resolved' THEN ref_name END AS to_symbol, CASE WHEN conf = 'ambiguous' THEN array_to_string(list_sort(list_distinct(list_transform(sites, lambda x: x.path))), ',') ELSE '' END AS candidates FROM t""")
+def call_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local targets, imports that vouch, single and several candidates, and none."""
+    key = F.col("o_orderkey")
+    name = _named("g", key % 60)
+    calls = _t(spark, sf_dir, "orders").select(key.alias("call_id"), F.concat(_named("p", F.col("o_custkey") % 40), F.lit(".ts")).alias("from_path"), name.alias("ref_name"), F.when(key % 11 == 0, name).alias("local_target"))
+    part = F.col("p_partkey")
+    defs = _t(spark, sf_dir, "part").filter((part % 45 < 40) | (part < 45)).select(_named("g", part % 45).alias("name"), F.concat(_named("p", F.col("p_size")), F.lit(".ts")).alias("path"), F.lpad(F.floor(part / 10).cast("string"), 6, "0").alias("lines"))
+    customer = F.col("c_custkey")
+    imports = _t(spark, sf_dir, "customer").select(F.concat(_named("p", customer % 40), F.lit(".ts")).alias("from_path"), _named("g", customer % 60).alias("name"), _named("p", customer % 50).alias("stem"))
+    done = resolve.resolve_calls(calls, defs, imports)
+    return done.select("call_id", "conf", "to_path", "to_lines", "to_symbol", F.array_join(F.array_sort("candidates"), ",").alias("candidates"))
+
+
+@query("""
+WITH n AS (SELECT 'd' || p_partkey || '/N' || (p_partkey % 150) || '.md' AS path, 'n' || (p_partkey % 150) AS key, p_size, p_partkey FROM part),
+l AS (SELECT 'links' AS kind, path AS from_path, 1 AS line, 'N' || (p_size * 4) AS target FROM n UNION ALL SELECT 'embeds', path, 5, 'n' || (p_partkey % 7 + 145) FROM n),
+k AS (SELECT key, list_sort(list(path)) AS paths FROM n GROUP BY 1)
+SELECT kind, from_path, line, target, CASE WHEN paths IS NULL THEN 'external' WHEN len(paths) = 1 THEN 'resolved' ELSE 'ambiguous' END AS conf, CASE WHEN len(paths) = 1 THEN paths[1] END AS to_path,
+  CASE WHEN len(paths) > 1 THEN array_to_string(paths, ',') ELSE '' END AS candidates FROM l LEFT JOIN k ON key = lower(target)""")
+def note_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and embeds outside fences, resolved by note key."""
+    from strandline.operators import extract
+
+    key, size = F.col("p_partkey"), F.col("p_size")
+    content = F.concat(F.lit("see [["), _named("N", size * 4), F.lit("#part|shown]]\n```\n[[Nope]]\n```\n![["), _named("n", key % 7 + 145), F.lit("]]"))
+    notes = _t(spark, sf_dir, "part").select(F.concat(_named("d", key), F.lit("/"), _named("N", key % 150), F.lit(".md")).alias("path"), content.alias("content"))
+    done = resolve.resolve_wikilinks(extract.wikilinks(notes), notes.select("path"))
+    return done.select("kind", "from_path", "line", "target", "conf", "to_path", F.array_join("candidates", ",").alias("candidates"))
+
+
+@query("""
+WITH f AS (SELECT 'C' || (p_size % 30) AS class, 'r' || (p_partkey % 15) AS field, min(CASE WHEN p_partkey % 2 = 0 THEN '*' ELSE '' END || p_type) AS type FROM part GROUP BY 1, 2),
+a AS (SELECT 'C' || n_nationkey AS name, 'C' || n_regionkey AS base FROM nation WHERE n_nationkey <> n_regionkey),
+c AS (SELECT o_orderkey AS call_id, 'C' || (o_custkey % 40) AS cls, 'r' || (o_orderkey % 20) AS receiver, CASE WHEN o_orderkey % 3 = 0 THEN '.' ELSE '->' END AS op, CASE WHEN o_orderkey % 9 = 0 THEN 'Known' END AS known FROM orders),
+x AS (SELECT call_id, known, op, coalesce(own.type, far.type) AS type FROM c LEFT JOIN f own ON own.class = cls AND own.field = receiver LEFT JOIN a ON a.name = cls LEFT JOIN f far ON far.class = a.base AND far.field = receiver)
+SELECT call_id, coalesce(known, CASE WHEN NOT starts_with(type, '*') THEN type WHEN op = '->' THEN substr(type, 2) END) AS receiver_type FROM x""")
+def receivers_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A class's own field, else its base's; a wrapped type by the arrow only."""
+    part, order = F.col("p_partkey"), F.col("o_orderkey")
+    marked = F.concat(F.when(part % 2 == 0, "*").otherwise(""), "p_type")
+    fields = _t(spark, sf_dir, "part").groupBy(_named("C", F.col("p_size") % 30).alias("class"), _named("r", part % 15).alias("field")).agg(F.min(marked).alias("type"))
+    heirs = _t(spark, sf_dir, "nation").filter("n_nationkey <> n_regionkey").select(_named("C", F.col("n_nationkey")).alias("name"), _named("C", F.col("n_regionkey")).alias("base"), F.lit(1).alias("depth"))
+    calls = _t(spark, sf_dir, "orders").select(order.alias("call_id"), _named("C", F.col("o_custkey") % 40).alias("enclosing_class"), _named("r", order % 20).alias("receiver"), F.when(order % 3 == 0, ".").otherwise("->").alias("member_op"), F.when(order % 9 == 0, "Known").alias("receiver_type"))
+    return resolve.field_receivers(calls, fields, heirs).select("call_id", "receiver_type")
+
+
+@query("""
+WITH RECURSIVE b AS (SELECT 'K' || p_partkey AS name, 'K' || (p_partkey // 3) AS base FROM part WHERE p_partkey > 0),
+w AS (SELECT name, base, 1 AS depth FROM b UNION SELECT w.name, b.base, w.depth + 1 FROM w JOIN b ON b.name = w.base)
+SELECT name, base, min(depth) AS depth FROM w WHERE name <> base GROUP BY 1, 2""")
+def class_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return graph.transitive_bases(_t(spark, sf_dir, "part").filter("p_partkey > 0").select(_named("K", key).alias("name"), _named("K", F.floor(key / 3)).alias("base")))
+
+
+@query(f"""WITH {_EDGES_SQL},
+changed AS (SELECT 's' || s_suppkey AS path, 'g' || (s_suppkey % 11) AS name FROM supplier WHERE s_suppkey % 23 = 0), gone AS (SELECT 's' || s_suppkey AS path FROM supplier WHERE s_suppkey % 23 = 1),
+touched AS (SELECT path FROM changed UNION SELECT path FROM gone), live AS (SELECT * FROM e WHERE kind <> 'imports' AND from_path <> 's5')
+SELECT DISTINCT path FROM (SELECT from_path AS path FROM live WHERE to_path IN (SELECT path FROM touched) OR list_has_any(candidates, (SELECT list(path) FROM touched)) OR ref_name IN (SELECT name FROM changed) UNION SELECT path FROM changed)
+WHERE path NOT IN (SELECT path FROM gone)""")
+def dependents_of_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    names = _t(spark, sf_dir, "supplier").select(key.alias("k"), _named("s", key).alias("path"), _named("g", key % 11).alias("name"))
+    edges = _edges(spark, sf_dir).filter("from_path <> 's5'")
+    return tables.reextract_paths(edges, names.filter("k % 23 = 0").select("path"), names.filter("k % 23 = 1").select("path"), names.select("path", "name"))
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS hash, unnest(['a' || (o_custkey % 9) || '.py', 'dir/b' || (o_orderkey % 5) || '.py']) AS file FROM orders""")
+def commits_of_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    log = F.concat(F.lit("\x01"), _s(key), F.lit("\na"), _s(F.col("o_custkey") % 9), F.lit(".py \r\ndir/b"), _s(key % 5), F.lit(".py\n\n"))
+    return files.parse_git_log(_t(spark, sf_dir, "orders").select(log.alias("log"))).select("hash", F.explode("files").alias("file"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size, CASE p_partkey % 7 WHEN 0 THEN 'Tests/' WHEN 1 THEN 'src/latest/' WHEN 2 THEN 'e2e/' ELSE 'src/' END || CASE p_size % 6 WHEN 0 THEN 'test_' WHEN 1 THEN 'my' ELSE 'a' END || p_partkey ||
+  CASE p_size % 5 WHEN 0 THEN '.test.ts' WHEN 1 THEN '_spec.rb' WHEN 2 THEN '.py' WHEN 3 THEN 'test.go' ELSE '-test.c' END AS path FROM part)
+SELECT p_partkey, p_partkey % 7 IN (0, 2) OR p_size % 5 IN (0, 1, 4) OR (p_size % 6 = 0 AND p_size % 5 = 2) AS is_test FROM p""")
+def test_path_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    folder = F.when(key % 7 == 0, "Tests/").when(key % 7 == 1, "src/latest/").when(key % 7 == 2, "e2e/").otherwise("src/")
+    stem = F.when(size % 6 == 0, "test_").when(size % 6 == 1, "my").otherwise("a")
+    ending = F.when(size % 5 == 0, ".test.ts").when(size % 5 == 1, "_spec.rb").when(size % 5 == 2, ".py").when(size % 5 == 3, "test.go").otherwise("-test.c")
+    return _t(spark, sf_dir, "part").select("p_partkey", predicates.is_test_path(F.concat(folder, stem, _s("p_partkey"), ending)).alias("is_test"))
+
+
+@query("""
+WITH x AS (SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'bin/x.js' WHEN 1 THEN 'src/index.ts' WHEN 2 THEN 'a.go' WHEN 3 THEN 'tests/a.js' ELSE 'src/a.js' END AS path,
+  CASE p_size % 6 WHEN 0 THEN 'handler' WHEN 1 THEN 'onClick' WHEN 2 THEN 'Public' WHEN 3 THEN 'once' ELSE 'work' END AS name, p_partkey % 5 AS t FROM part)
+SELECT p_partkey, CASE WHEN path = 'tests/a.js' THEN 'test path' WHEN path IN ('bin/x.js', 'src/index.ts') THEN 'entry file' WHEN name IN ('handler', 'onClick') THEN 'entry/handler name'
+  WHEN t = 0 OR (t = 1 AND name = 'work') OR t = 2 OR (t = 3 AND name = 'Public') THEN 'exported' WHEN path = 'a.go' AND name = 'Public' THEN 'go exported' END AS reason FROM x""")
+def entrypoint_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size")
+    path = F.when(key % 8 == 0, "bin/x.js").when(key % 8 == 1, "src/index.ts").when(key % 8 == 2, "a.go").when(key % 8 == 3, "tests/a.js").otherwise("src/a.js")
+    name = F.when(size % 6 == 0, "handler").when(size % 6 == 1, "onClick").when(size % 6 == 2, "Public").when(size % 6 == 3, "once").otherwise("work")
+    body = F.when(key % 5 == 0, "module.exports = {}").when(key % 5 == 1, "export async function work(a) {").when(key % 5 == 2, "x\nexport\n default y").when(key % 5 == 3, "pub struct Public;").otherwise("exporting work;\nfn Public")
+    return _t(spark, sf_dir, "part").select("p_partkey", predicates.entrypoint_reason(path, name, body).alias("reason"))
+
+
+@query(r"""
+SELECT conv_id, turn, CASE WHEN regexp_matches(trim(text, (E' \n\t\r\f' || chr(11))), '^[A-Za-z_$][A-Za-z0-9_$]*$') THEN 'symbol'
+  WHEN len(list_filter(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$.]*'), lambda t: regexp_matches(t, '[a-z][A-Z]|[A-Z][A-Z][a-z]|[A-Za-z]_[A-Za-z0-9]|[A-Za-z][0-9]|[0-9][A-Za-z]|[A-Za-z0-9_][.][A-Za-z0-9_]'))) > 0 THEN 'mixed' ELSE 'plain' END AS kind
+FROM conversations""")
+def kinds_of_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.query_kind(_t(spark, sf_dir, "conversations"), "text").select("conv_id", "turn", "kind")
+
+
+@query("""
+WITH g AS (SELECT DISTINCT 's' || (o_orderkey % 60) AS "from", 'g' || (o_custkey % 13) AS symbol, CASE WHEN o_orderkey % 4 > 0 THEN 's' || (o_custkey % 50) END AS "to" FROM orders),
+m AS (SELECT 's' || l_suppkey AS "from", 'g' || (l_orderkey % 11) AS symbol, CASE WHEN l_orderkey % 5 > 0 THEN 's' || (l_orderkey % 50) END AS t, CASE WHEN l_returnflag = 'A' THEN 'dispatch' ELSE 'resolved' END AS conf, 's' || (l_partkey % 50) AS c FROM lineitem),
+x AS (SELECT g.*, m.conf IS NOT NULL AS seen, CASE WHEN "to" IS NULL THEN t IS NULL ELSE coalesce(t = "to", false) OR (conf = 'dispatch' AND c = "to") END AS hit FROM g LEFT JOIN m USING ("from", symbol))
+SELECT "from", symbol, "to", CASE WHEN bool_or(seen AND hit) THEN 'correct' WHEN bool_or(seen) THEN 'wrong' ELSE 'missing' END AS verdict FROM x GROUP BY 1, 2, 3""")
+def golden_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    golden = _t(spark, sf_dir, "orders").select(_named("s", order % 60).alias("from"), _named("g", customer % 13).alias("symbol"), F.lit("calls").alias("kind"), F.when(order % 4 > 0, _named("s", customer % 50)).alias("to")).distinct()
+    made = _t(spark, sf_dir, "lineitem").select(_named("s", F.col("l_suppkey")).alias("from_path"), _named("g", F.col("l_orderkey") % 11).alias("ref_name"), F.lit("calls").alias("kind"), F.when(F.col("l_orderkey") % 5 > 0, _named("s", F.col("l_orderkey") % 50)).alias("to_path"), F.when(F.col("l_returnflag") == "A", "dispatch").otherwise("resolved").alias("conf"), F.array(_named("s", F.col("l_partkey") % 50)).alias("candidates"))
+    return evaluate.edge_tally(golden, made).drop("kind")
+
+
+@query("""
+WITH g AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 > 0 THEN o_custkey % 5 END AS e, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 5 END AS t FROM orders),
+c AS (SELECT count(*) FILTER (e IS NOT NULL AND t = e) AS tp, count(*) FILTER (t IS NOT NULL AND (e IS NULL OR t <> e)) AS fp, count(*) FILTER (e IS NOT NULL AND t IS NULL) AS fn, count(*) FILTER (e IS NULL AND t IS NULL) AS tn FROM g)
+SELECT tp, fp, fn, tn, floor(tp / (tp + fp) * 10000.0 + 0.5) / 10000.0 AS precision, floor(tp / (tp + fn) * 10000.0 + 0.5) / 10000.0 AS recall, floor(tn / (tn + fp) * 10000.0 + 0.5) / 10000.0 AS abstain FROM c""")
+def disambiguation_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    rows = _t(spark, sf_dir, "orders").select(_s(key).alias("from_path"), F.lit("f").alias("symbol"), F.when(key % 3 > 0, _s(F.col("o_custkey") % 5)).alias("expect"), F.when(key % 4 > 0, _s(key % 5)).alias("to_path"))
+    return evaluate.disambiguation_metrics(rows.select("from_path", "symbol", "expect"), rows.filter("to_path IS NOT NULL").select("from_path", "symbol", "to_path"))
+
+
+@query("""
+WITH g AS (SELECT CASE p_size % 2 WHEN 0 THEN 'likely_dead' ELSE 'possible_entrypoint' END AS e, CASE WHEN p_partkey % 5 = 0 THEN 'reached' WHEN p_partkey % 3 = 0 THEN 'likely_dead' ELSE 'possible_entrypoint' END AS c FROM part)
+SELECT count(*) FILTER (e = c) AS correct, count(*) FILTER (c = 'likely_dead' AND e <> c) AS false_dead, count(*) FILTER (c = 'possible_entrypoint' AND e <> c) AS false_entrypoint, count(*) FILTER (c = 'reached') AS missing,
+  floor(count(*) FILTER (e = c) / count(*) * 10000.0 + 0.5) / 10000.0 AS accuracy FROM g""")
+def orphan_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    rows = _t(spark, sf_dir, "part").select(_s(key).alias("path"), F.col("p_name").alias("symbol"), F.when(F.col("p_size") % 2 == 0, "likely_dead").otherwise("possible_entrypoint").alias("expect"), key.alias("k"))
+    found = rows.filter("k % 5 <> 0").select("path", F.col("symbol").alias("name"), F.when(F.col("k") % 3 == 0, "likely_dead").otherwise("possible_entrypoint").alias("class"))
+    return evaluate.orphan_metrics(rows.select("path", "symbol", "expect"), found)
+
+
+@query("""
+WITH m AS (SELECT p_type AS tier, floor(avg(p_size) * 100 + 0.5) / 10000 AS now, floor(avg(p_partkey % 50) * 100 + 0.5) / 10000 AS was FROM part GROUP BY 1)
+SELECT tier, 'recall_1' AS metric, was, now, was - now > 0.02 + 1e-9 AS regressed FROM m""")
+def gate_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    shape = lambda c: part.groupBy(F.col("p_type").alias("tier")).agg((F.floor(F.avg(c) * 100 + 0.5) / 10000).alias("recall_1"))
+    tiers = tuple(r.p_type for r in part.select("p_type").distinct().collect())  # a handful of types
+    return evaluate.compare_baseline(shape(F.col("p_size")), shape(F.col("p_partkey") % 50), 0.02, tiers)
+
+
+@query("""
+WITH h AS (SELECT n_nationkey + 1 AS rank, n_name AS id FROM nation), v AS (SELECT r_regionkey * 6 AS i, r_regionkey * 6 + 1 AS rank, 4 - r_regionkey AS place FROM region),
+j AS (SELECT h.id, h.rank, place FROM h LEFT JOIN v USING (rank))
+SELECT place_now AS rank, id FROM (SELECT row_number() OVER (ORDER BY place NULLS LAST, rank) AS place_now, id FROM j) WHERE place_now <= 20""")
+def reranked_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list reordered by a ranking of some of its places, an unknown place and a repeated one among them."""
+    hits = _t(spark, sf_dir, "nation").select((F.col("n_nationkey") + 1).alias("rank"), F.col("n_name").alias("id"))
+    key = F.col("r_regionkey")
+    ranking = _t(spark, sf_dir, "region").select((4 - key).alias("place"), (key * 6).alias("index"), (key / 10).alias("score"))
+    extra = spark.createDataFrame([(7, 0, 0.1), (8, 900, 0.2)], "place int, index int, score double")
+    return search.apply_rerank(hits, ranking.unionByName(extra), 20).select("rank", "id")
+
+
+@query("""
+WITH h AS (SELECT o_custkey AS q, o_orderkey AS id, floor(o_totalprice / 100000) AS score, o_orderkey % 12 AS degree FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM h)
+SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY score DESC, CASE WHEN degree > 0 THEN 1 + 0.15 * degree / (degree + 8.0) ELSE 1.0 END DESC, rank) AS rank FROM r""")
+def centrality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of each customer's orders, reordered by degree inside bands of equal scores."""
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("id"), F.floor(F.col("o_totalprice") / 100000).cast("double").alias("score"), (F.col("o_orderkey") % 12).alias("degree"))
+    hits = search.ranked(rows, "score", "rank", 1 << 30, ["q"])
+    return search.centrality_tiebreak(hits, ["q"]).select("q", "id", "rank")
+
+
+@query("""
+WITH n AS (SELECT 'n' || s_suppkey AS note, s_suppkey AS k FROM supplier),
+i AS (SELECT p_partkey, 'fnName' || (p_partkey % 40) AS name, 'src/lib/m' || p_size || '.ts' AS path, p_partkey AS a FROM part),
+s AS (SELECT note, 'symbol' AS kind, name AS symbol, path, min(a) AS a, 2 + length(name) / 100.0 AS rank FROM n JOIN i ON name = 'fnName' || (k % 40) GROUP BY ALL),
+f AS (SELECT note, 'file' AS kind, NULL AS symbol, 'pkg/src/lib/m' || (k % 50 + 1) || '.ts' AS path, 0.5 AS rank FROM n),
+u AS (SELECT note, kind, symbol, path, CAST(rank AS DOUBLE) AS rank FROM s UNION ALL SELECT * FROM f)
+SELECT note, kind, symbol, path, rank FROM u QUALIFY row_number() OVER (PARTITION BY note ORDER BY rank DESC, path, symbol) <= 15""")
+def links_of_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifteen best code sites of each note: mentioned names, and mentioned paths by their suffix."""
+    key = F.col("s_suppkey")
+    name = _named("fnName", key % 40)
+    body = F.concat(name, F.lit(" is like "), name, F.lit(", see src/lib/m"), _s(key % 50 + 1), F.lit(".ts here"))
+    notes = _t(spark, sf_dir, "supplier").select(_named("n", key).alias("path"), body.alias("text"))
+    part = _t(spark, sf_dir, "part")
+    inventory = part.select(_named("fnName", F.col("p_partkey") % 40).alias("name"), F.concat(F.lit("src/lib/m"), _s("p_size"), F.lit(".ts")).alias("path"), F.col("p_partkey").alias("line_start"), F.col("p_partkey").alias("line_end"), F.col("p_type").alias("text"))
+    listing = spark.range(1, 51).select(F.concat(F.lit("pkg/src/lib/m"), _s("id"), F.lit(".ts")).alias("path"), F.lit("x").alias("text"))
+    return crosslinks.code_links(notes, inventory, listing).select("note", "kind", "symbol", "path", "rank")
+
+
+@query("""
+WITH s AS (SELECT 'n' || p_partkey AS path, p_size / 50.0 AS v, row_number() OVER (ORDER BY p_size / 50.0 DESC, 'n' || p_partkey) AS sr FROM part WHERE p_partkey % 2 = 0),
+l AS (SELECT 'n' || p_partkey AS path, row_number() OVER (ORDER BY p_retailprice DESC, 'n' || p_partkey) AS lr FROM part WHERE p_partkey % 3 = 0),
+x AS (SELECT 'n' || p_partkey AS path, CASE p_size % 3 WHEN 1 THEN 1.0 WHEN 2 THEN 0.5 ELSE 0.0 END AS prox FROM part WHERE p_partkey % 5 = 0),
+r AS (SELECT coalesce(s.path, l.path) AS path, (coalesce(1.0::DOUBLE / (60 + sr), 0) + coalesce(1.0::DOUBLE / (60 + lr), 0)) * (1 + 0.25 * coalesce(prox, 0)) AS raw FROM s FULL JOIN l ON s.path = l.path LEFT JOIN x ON x.path = coalesce(s.path, l.path))
+SELECT path, floor(raw * 10000.0 + 0.5) / 10000.0 AS score FROM r ORDER BY raw DESC, path LIMIT 12""")
+def related_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve notes next to one by fused ranks and link proximity."""
+    part = _t(spark, sf_dir, "part").withColumn("path", _named("n", F.col("p_partkey")))
+    near = F.when(F.col("p_size") % 3 == 1, 1.0).when(F.col("p_size") % 3 == 2, 0.5).otherwise(0.0)
+    semantic = part.filter("p_partkey % 2 = 0").select("path", (F.col("p_size") / 50).alias("similarity"))
+    lexical = part.filter("p_partkey % 3 = 0").select("path", F.col("p_retailprice").alias("bm25"))
+    proximity = part.filter("p_partkey % 5 = 0").select("path", F.lit(1).alias("hop"), F.lit(0).alias("cocited"), near.alias("proximity"))
+    return crosslinks.connections(semantic, lexical, proximity).select("path", "score")
+
+
+@query("""
+WITH p AS (SELECT 'src/n' || (p_partkey % 150) AS stem, 'src/n' || (p_partkey % 150) || CASE p_size % 2 WHEN 0 THEN '.ts' ELSE '.py' END AS path FROM part WHERE p_partkey < 200),
+u AS (SELECT stem, min(path) AS file FROM p GROUP BY 1 HAVING count(*) = 1)
+SELECT 'o' || o_orderkey AS src, coalesce(file, 'src/n' || (o_orderkey % 180)) AS dst FROM orders LEFT JOIN u ON stem = 'src/n' || (o_orderkey % 180)""")
+def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    paths = _t(spark, sf_dir, "part").filter("p_partkey < 200").select(F.concat(_named("src/n", key % 150), F.when(F.col("p_size") % 2 == 0, ".ts").otherwise(".py")).alias("path"))
+    links = _t(spark, sf_dir, "orders").select(_named("o", F.col("o_orderkey")).alias("src"), _named("src/n", F.col("o_orderkey") % 180).alias("dst"), F.lit("imports").alias("kind"), F.lit("resolved").alias("conf"))
+    return graph.resolve_stems(links, paths).select("src", "dst")
