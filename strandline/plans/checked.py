@@ -6,6 +6,8 @@ for files and notes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1053,3 +1055,167 @@ def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = _t(spark, sf_dir, "part").filter("p_partkey < 200").select(F.concat(_named("src/n", key % 150), F.when(F.col("p_size") % 2 == 0, ".ts").otherwise(".py")).alias("path"))
     links = _t(spark, sf_dir, "orders").select(_named("o", F.col("o_orderkey")).alias("src"), _named("src/n", F.col("o_orderkey") % 180).alias("dst"), F.lit("imports").alias("kind"), F.lit("resolved").alias("conf"))
     return graph.resolve_stems(links, paths).select("src", "dst")
+
+
+# Extraction from source text: parts as files
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, content, k): a Python, Go, TypeScript or C++ file for each part."""
+    key, size = F.col("p_partkey"), _s("p_size")
+    python = F.concat(F.lit("from .m"), size, F.lit(" import helper\n\nclass K:\n    def run(self):\n        return self.go(helper("), size, F.lit("))\n"))
+    go = F.concat(F.lit("package a\n\nfunc (f *File"), size, F.lit(") Read(p int) int {\n\treturn f.inner(p)\n}\n\nfunc use(r Reader"), size, F.lit(") {\n\tr.Read(1)\n\tx := New"), size, F.lit("(2)\n\tx.Close()\n}\n"))
+    script = F.concat(F.lit("import { a } from './m"), size, F.lit("';\nconst api = { run() { return 1; } };\nclass C"), size, F.lit(" implements Shape {\n  area() { return this.side(2); }\n}\nfunction main(s: Shape) {\n  s.area(); api.run(); new C"), size, F.lit("();\n}\n"))
+    cpp = F.concat(F.lit("class Kid"), size, F.lit(" : public Base {\n  std::unique_ptr<Engine> engine_;\n  void run() override { engine_->start(1); }\n  virtual void stop();\n};\nEngine* make"), size, F.lit("(int a) { return build(a); }\n"))
+    kind = key % 4
+    language = F.when(kind == 0, "python").when(kind == 1, "go").when(kind == 2, "typescript").otherwise("cpp")
+    content = F.when(kind == 0, python).when(kind == 1, go).when(kind == 2, script).otherwise(cpp)
+    return _t(spark, sf_dir, "part").select(_s(key).alias("path"), language.alias("language"), content.alias("content"))
+
+
+_EXTRACTED = {
+    0: [("imports", "helper", None, None, None, "./m{n}", 1), ("calls", "go", "run", "self", "K", None, 5), ("calls", "helper", "run", None, None, None, 5)],
+    1: [("calls", "inner", "Read", "f", "File{n}", None, 4), ("calls", "Read", "use", "r", "Reader{n}", None, 8), ("calls", "New{n}", "use", None, None, None, 9), ("calls", "Close", "use", "x", None, None, 10)],
+    2: [("imports", "a", None, None, None, "./m{n}", 1), ("calls", "side", "area", "this", "C{n}", None, 4), ("calls", "area", "main", "s", "Shape", None, 7), ("calls", "run", "main", "api", None, None, 7)],
+    3: [("calls", "start", "run", "engine_", None, None, 3), ("calls", "build", "make{n}", None, None, None, 6)],
+}
+
+
+def _literal(value: object) -> str:
+    return "CAST(NULL AS VARCHAR)" if value is None else str(value) if isinstance(value, int) else "'" + str(value).replace("{n}", "' || p_size || '") + "'"
+
+
+@query(" UNION ALL ".join(
+    f"SELECT CAST(p_partkey AS VARCHAR) AS path, {_literal(kind)} AS kind, {_literal(name)} AS ref_name, {_literal(inside)} AS from_symbol, {_literal(owner)} AS receiver, {_literal(of)} AS receiver_type, {_literal(spec)} AS spec, {line} AS line FROM part WHERE p_partkey % 4 = {k}"
+    for k, rows in _EXTRACTED.items() for kind, name, inside, owner, of, spec, line in rows))
+def extracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and imports of files in four languages, with the types of their receivers."""
+    from strandline.operators import extract
+
+    found = extract.extract_edges(_sources(spark, sf_dir))
+    return found.select(F.col("from_path").alias("path"), "kind", "ref_name", "from_symbol", "receiver", "receiver_type", "spec", "line")
+
+
+_FACTS = {
+    1: [("method", "File{n}", "Read", None)],
+    2: [("class", "C{n}", "C{n}", None), ("base", "C{n}", "Shape", None), ("method", "C{n}", "area", None), ("callable", None, "area", None), ("callable", None, "main", None), ("callable", None, "run", None)],
+    3: [("class", "Kid{n}", "Kid{n}", None), ("base", "Kid{n}", "Base", None), ("field", "Kid{n}", "engine_", "*Engine"), ("override", "Kid{n}", "run", None), ("virtual", "Kid{n}", "stop", None), ("method", "Kid{n}", "run", None), ("callable", None, "run", None), ("callable", None, "make{n}", None), ("returns", None, "make{n}", "Engine")],
+}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT CAST(p_partkey AS VARCHAR) AS path, {_literal(fact)} AS fact, {_literal(owner)} AS owner, {_literal(name)} AS name, {_literal(detail)} AS detail FROM part WHERE p_partkey % 4 = {k}"
+    for k, rows in _FACTS.items() for fact, owner, name, detail in rows))
+def extracted_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, bases, methods, fields, virtuals, overrides and returns of those files."""
+    from strandline.operators import extract
+
+    return extract.extract_types(_sources(spark, sf_dir)).select("path", "fact", "owner", "name", "detail")
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS path, CASE p_partkey % 4 WHEN 0 THEN 'K' WHEN 1 THEN 'Read,use' WHEN 2 THEN 'C' || p_size || ',main' ELSE 'Kid' || p_size || ',make' || p_size END AS names FROM part""")
+def inventory_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of each file from the spans of its chunks."""
+    from strandline.operators import extract
+
+    found = extract.inventory(chunking.chunk_files(_sources(spark, sf_dir)))
+    return found.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
+
+
+@query("""
+WITH n AS (SELECT p_partkey, p_size AS lines FROM part),
+w AS (SELECT p_partkey, lines, unnest(range(0, CAST(greatest(0, ceil((lines - 20) / 16.0)) AS BIGINT) + 1)) AS k FROM n),
+f AS (SELECT p_partkey, lines, k * 16 + 1 AS first, least(lines, k * 16 + 20) AS last FROM w),
+e AS (SELECT p_partkey, lines, arg_max(last - first + 1, first) AS held FROM f GROUP BY 1, 2),
+t AS (SELECT p_partkey, lines - least(4, held - 1) + 1 AS first, lines AS last FROM e WHERE least(4, held - 1) >= 2)
+SELECT p_partkey, first, last, count(*) AS n FROM (SELECT p_partkey, first, last FROM f WHERE last > first UNION ALL SELECT * FROM t) GROUP BY ALL""")
+def window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line windows of files whose lines have a hundred characters: twenty a window, four carried over, the last carry by itself."""
+    content = F.repeat(F.concat(F.lit("x" * 99), F.lit("\n")), F.col("p_size"))
+    rows = _t(spark, sf_dir, "part").select(_s("p_partkey").alias("path"), F.lit("toml").alias("language"), content.alias("content"))
+    found = chunking.chunk_files(rows)
+    return found.groupBy(F.col("path").cast("long").alias("p_partkey"), F.col("line_start").alias("first"), F.col("line_end").alias("last")).agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT CAST(p_partkey AS VARCHAR) AS path, p_name || ' > One' AS scope FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), p_name || ' > One > Two' FROM part""")
+def titled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The front matter's title opens the trail; fenced marks are no headings."""
+    content = F.concat(F.lit("---\ntitle: "), "p_name", F.lit("\ntags: [a, b]\n---\n# One\ntext\n```\n# no heading\n```\n## Two\nmore\n# Three\n"))
+    rows = _t(spark, sf_dir, "part").select(_s("p_partkey").alias("path"), F.lit("markdown").alias("language"), content.alias("content"))
+    return chunking.chunk_files(rows).select("path", F.array_join("scope", " > ").alias("scope"))
+
+
+@query("""
+WITH x AS (SELECT p_partkey, p_partkey % 5 AS k FROM part)
+SELECT CASE k WHEN 0 THEN 'python' WHEN 1 THEN 'markdown' WHEN 2 THEN 'toml' WHEN 3 THEN 'go' ELSE 'rust' END AS language, count(*) AS chunks, sum(CASE k WHEN 0 THEN 2 WHEN 3 THEN 1 WHEN 4 THEN 1 ELSE 0 END)::BIGINT AS symbols FROM x GROUP BY 1""")
+def chunks_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunker of each language: parsed, by headings, by windows, by braces."""
+    key = F.col("p_partkey") % 5
+    pad = "# " + "pad " * 30 + "\n"
+    language = F.when(key == 0, "python").when(key == 1, "markdown").when(key == 2, "toml").when(key == 3, "go").otherwise("rust")
+    content = F.when(key == 0, F.lit("def a():\n    return 1\n\nclass B:\n    pass\n")).when(key == 1, F.lit("# T\nbody\n")).when(key == 2, F.lit(pad)).when(key == 3, F.lit("package a\n\nfunc (f *F) Go() {\n}\n")).otherwise(F.lit("pub fn go(a: i32) -> i32 {\n  a\n}\n"))
+    found = chunking.chunk_files(_t(spark, sf_dir, "part").select(_s("p_partkey").alias("path"), language.alias("language"), content.alias("content")))
+    return found.groupBy("language").agg(F.count("*").alias("chunks"), F.sum(F.size("symbols")).alias("symbols"))
+
+
+@query("""
+WITH l AS (SELECT DISTINCT 'n' || (p_partkey % 60) AS src, 'n' || (p_size + 5) AS dst FROM part WHERE p_partkey % 60 <> p_size + 5),
+t AS (SELECT CASE WHEN src = 'n7' THEN dst ELSE src END AS node, count(*) AS degree FROM l WHERE src = 'n7' OR dst = 'n7' GROUP BY 1),
+r AS (SELECT 'n' || s_suppkey AS node, s_suppkey / 10.0 + 1 AS score FROM supplier WHERE s_suppkey < 9 AND s_suppkey <> 7 ORDER BY score DESC, node LIMIT 5),
+w AS (SELECT node, floor((0.4 + 0.6 * score / max(score) OVER ()) * 1000 + 0.5) / 1000 AS weight FROM r),
+d AS (SELECT node, floor(least(1.0, 0.2 + 0.1 * degree) * 1000 + 0.5) / 1000 AS weight FROM t WHERE node NOT IN (SELECT node FROM w)),
+a AS (SELECT 'n7' AS node, 2.0 AS weight UNION ALL SELECT * FROM w UNION ALL SELECT * FROM d)
+SELECT node, CAST(least(weight, 1.0) AS DOUBLE) AS weight FROM (SELECT * FROM a ORDER BY weight DESC, node LIMIT 20)""")
+def note_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty nodes around a note: related ones, then linked ones by degree."""
+    key = F.col("p_partkey")
+    links = _t(spark, sf_dir, "part").select(_named("n", key % 60).alias("src"), _named("n", F.col("p_size") + 5).alias("dst")).filter("src <> dst").distinct()
+    related = _t(spark, sf_dir, "supplier").filter("s_suppkey < 9 AND s_suppkey <> 7").select(_named("n", F.col("s_suppkey")).alias("path"), (F.col("s_suppkey") / 10 + 1).alias("score"))
+    return crosslinks.neighbourhood("n7", related, links, 5, 20)[0].select("node", "weight")
+
+
+@query("SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 2 = 0")
+def versioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written twice: the pointer names the second version."""
+    root = f"{tables.shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
+    sinks.write_version(rows, root)
+    sinks.write_version(rows.filter("k % 2 = 0"), root)
+    return sinks.read_version(spark, root)
+
+
+@query("SELECT 'embedKey' AS key, 'm|transformers|' || count(*) AS value FROM nation UNION ALL SELECT 'version', '2'")
+def stored_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.params import embedding_identity
+
+    root = f"{tables.shared_folder(spark)}/meta-{uuid.uuid4().hex}"
+    n = _t(spark, sf_dir, "nation").count()
+    tables.write_meta(spark, {"embedKey": "old"}, root)
+    tables.write_meta(spark, {"embedKey": embedding_identity("m", "transformers", str(n)), "version": "2"}, root)
+    return spark.createDataFrame(sorted(tables.read_meta(spark, root).items()), "key string, value string")
+
+
+@query("""
+SELECT p_brand || '.ts' AS query, p_type AS tier, 'p' || p_size AS path FROM part""")
+def golden_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden rows written and read as JSON."""
+    path = f"{tables.shared_folder(spark)}/golden-{uuid.uuid4().hex}"
+    rows = _t(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(".ts")).alias("query"), F.col("p_type").alias("tier"), F.array(_named("p", F.col("p_size"))).alias("paths"))
+    rows.write.json(path)
+    found = spark.read.schema("query string, tier string, paths array<string>").json(path)
+    return found.select("query", "tier", F.col("paths")[0].alias("path"))
+
+
+@query("""
+WITH c AS (SELECT 'io/f' || s_suppkey || '.go' AS f, s_suppkey AS k FROM supplier)
+SELECT f AS from_path, 'use' AS from_symbol, 'Read' AS ref_name, 'resolved' AS conf, f AS to_path FROM c
+UNION ALL SELECT f, 'Read', 'inner', 'resolved', f FROM c UNION ALL SELECT f, 'use', 'missing', 'external', NULL FROM c""")
+def built_index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index built over a Go file for each supplier: chunks, calls, types and the tiers over them."""
+    k = _s("s_suppkey")
+    content = F.concat(F.lit("package io\n\nfunc (f *File"), k, F.lit(") Read(p int) int {\n\treturn f.inner(p)\n}\n\nfunc (f *File"), k, F.lit(") inner(p int) int {\n\treturn p\n}\n\nfunc use(f *File"), k, F.lit(") {\n\tf.Read(1)\n\tmissing(2)\n}\n"))
+    rows = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("io/f"), k, F.lit(".go")).alias("path"), F.lit(1).cast("long").alias("mtime_ms"), content.alias("content"))
+    built = plan.build(rows, params=Params(disambiguate=False))
+    return built.edges.filter("kind = 'calls'").select("from_path", "from_symbol", "ref_name", "conf", "to_path")
