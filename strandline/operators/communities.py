@@ -1,8 +1,8 @@
 """Communities of a weighted undirected graph: Leiden, refinement, modularity, report.
 
-Leiden moves nodes one at a time and each move sees the ones before, so it runs in one task over the
-graph of *files or symbols* (aggregated by Spark first), at every size.  ``propagate`` is another
-method, for a caller that asks for it; nothing chooses it by size.
+Leiden moves nodes one at a time and each move sees the ones before, so ``leiden`` runs in one task over
+the graph of *files or symbols* (aggregated by Spark first).  ``spread_leiden`` moves halves of the nodes
+at a time by joins, for graphs that no task holds.  The caller names the method; size chooses none.
 """
 
 from __future__ import annotations
@@ -138,8 +138,18 @@ def leiden(edges: list[tuple[str, str, float]]) -> dict[str, int]:
     return {n: k for k, g in enumerate(ordered) for n in g}
 
 
-def detect(adj: DataFrame) -> DataFrame:
-    """(node, community)."""
+def detect(adj: DataFrame, method: str = "leiden") -> DataFrame:
+    """(node, community), by the method that the caller names: none is chosen by size.
+
+    ``leiden`` moves one node at a time in one task, ``spread leiden`` halves of the nodes at a time by
+    joins, ``propagation`` spreads labels without a gain.
+    """
+    if method == "spread leiden":
+        return spread_leiden(adj)
+    if method == "propagation":
+        return propagate(adj)
+    if method != "leiden":
+        raise ValueError(method)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = leiden(list(zip(pdf["a"].astype(str), pdf["b"].astype(str), pdf["w"], strict=True)))
@@ -149,6 +159,102 @@ def detect(adj: DataFrame) -> DataFrame:
     return whole.groupBy("g").applyInPandas(run, "node string, community int")
 
 
+def _numbered(nodes: DataFrame, order: list) -> DataFrame:
+    """Communities (label) numbered from 0 by size, then by least node; a row each, windowed over the communities."""
+    sizes = nodes.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("least"))
+    ids = sizes.withColumn("community", F.row_number().over(Window.orderBy(*order)) - 1)
+    return nodes.join(ids, "label").select("node", "community")
+
+
+def _move_rounds(both: DataFrame, nodes: DataFrame, label: DataFrame, mass: float, rounds: int, inside: bool = False) -> tuple[DataFrame, int]:
+    """(labels, moves): rounds in which a hashed half of the nodes goes to the neighbouring community of most gain.
+
+    ``label`` has (node, label) and, for moves that stay ``inside``, (node, label, block).  A node alone goes
+    to another node alone only if that has the lesser label, so two do not swap.  Ends after two rounds
+    without a move.
+    """
+    moves = quiet = 0
+    for step in range(rounds):
+        placed = label.join(nodes, "node")
+        total = placed.groupBy("label").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
+        near = both.join(label.withColumnsRenamed({"node": "b", "label": "to", **({"block": "to_block"} if inside else {})}), "b")
+        if inside:
+            near = near.join(label.select(F.col("node").alias("a"), "block"), "a").filter("block = to_block")
+        votes = near.groupBy(F.col("a").alias("node"), "to").agg(F.sum("w").alias("w"))
+        own = placed.join(total.withColumnsRenamed({"total": "own_total", "n": "own_n"}), "label")
+        rows = votes.join(own, "node").join(total.withColumnsRenamed({"label": "to", "total": "to_total", "n": "to_n"}), "to")
+        same = F.col("to") == F.col("label")
+        gain = F.col("w") - F.when(same, F.col("to_total") - F.col("k")).otherwise(F.col("to_total")) * F.col("k") / mass
+        allowed = same | ~((F.col("own_n") == 1) & (F.col("to_n") == 1) & (F.col("to") > F.col("label")))
+        rows = rows.filter(allowed).withColumn("gain", gain)
+        best = rows.groupBy("node").agg(
+            F.min(F.struct((-F.floor(F.col("gain") * 1e9 + 0.5)).alias("less"), "to")).alias("best"),
+            F.max(F.when(same, F.col("gain"))).alias("stay"), F.first("label").alias("label"),
+            F.first(-(F.col("own_total") - F.col("k")) * F.col("k") / mass).alias("alone"),
+        )
+        better = -F.col("best.less") / 1e9 > F.coalesce("stay", "alone") + 1e-8
+        turn = F.pmod(F.xxhash64("node"), F.lit(2)) == step % 2
+        chosen = best.select("node", F.when(better & turn, F.col("best.to")).otherwise(F.col("label")).alias("new"))
+        columns = ["block"] if inside else []
+        now = label.join(chosen, "node", "left").select("node", F.coalesce("new", "label").alias("label"), F.col("label").alias("was"), *columns)
+        now = cut(now)
+        moved = now.filter("label <> was").count()
+        label, moves = now.drop("was"), moves + moved
+        quiet = quiet + 1 if not moved else 0
+        if quiet == 2:
+            break
+    return label, moves
+
+
+def _connected_parts(both: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, label): each label split into its connected parts, named by their least node."""
+    mine = label.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    other = label.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    inner = cut(both.join(mine, "a").join(other, "b").filter("x = y").select("a", "b"))
+    part = cut(label.select("node", F.col("node").alias("label")))
+    while True:
+        near = inner.join(part.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        jump = part.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        now = part.join(near, "node", "left").join(jump, "label").select("node", F.least("label", "near", "far").alias("label"), F.col("label").alias("was"))
+        now = cut(now)
+        changed = now.filter("label <> was").limit(1).count()
+        part = now.drop("was")
+        if not changed:
+            return part
+
+
+def spread_leiden(adj: DataFrame, levels: int = MAX_LEVELS, rounds: int = 16) -> DataFrame:
+    """(node, community): Leiden by joins, the same at every size; no task holds the graph.
+
+    A level moves nodes in rounds, refines every community from single nodes by moves that stay inside it,
+    splits what is not connected, and makes the parts the nodes of the next level, which starts from the
+    communities found.  Levels end when nothing moves or no part joins another.
+    """
+    plain = adj.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "w").filter("a <> b")
+    edges = cut(plain.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("w").alias("w")))
+    whole = cut(edges.select("a", "b", "w").union(edges.select("b", "a", "w")))
+    mass = whole.agg(F.sum("w").alias("m")).first().m
+    if not mass:
+        return edges.select(F.col("a").alias("node"), F.lit(0).alias("community"))
+    both, nodes = whole, cut(whole.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")))
+    label = nodes.select("node", F.col("node").alias("label"))
+    member = cut(label.select("node", F.col("node").alias("seat")))
+    for _ in range(levels):
+        label, moves = _move_rounds(both, nodes, label, mass, rounds)
+        fine = cut(nodes.select("node", F.col("node").alias("label")).join(label.withColumnRenamed("label", "block"), "node"))
+        fine, _ = _move_rounds(both, nodes, fine, mass, 4, inside=True)
+        parts = _connected_parts(both, fine.select("node", "label"))
+        if not moves or parts.select("label").distinct().count() == parts.count():
+            break
+        member = cut(member.join(parts.withColumnsRenamed({"node": "seat", "label": "part"}), "seat").select("node", F.col("part").alias("seat")))
+        label = cut(parts.join(label.withColumnRenamed("label", "block"), "node").groupBy(F.col("label").alias("node")).agg(F.min("block").alias("label")))
+        mine, other = parts.withColumnsRenamed({"node": "a", "label": "x"}), parts.withColumnsRenamed({"node": "b", "label": "y"})
+        both = cut(both.join(mine, "a").join(other, "b").filter("x <> y").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")))
+        nodes = cut(parts.join(nodes, "node").groupBy(F.col("label").alias("node")).agg(F.sum("k").alias("k")))
+    placed = member.join(label.withColumnsRenamed({"node": "seat"}), "seat").select("node", "label")
+    return _numbered(_connected_parts(whole, cut(placed)), [F.desc("n"), "least"])
+
+
 def propagate(adj: DataFrame, rounds: int = 20) -> DataFrame:
     """Label propagation by joins: the heaviest neighbouring label, the least of equal ones; alternating halves move."""
     both = cut(adj.select("a", "b", "w").union(adj.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
@@ -161,9 +267,7 @@ def propagate(adj: DataFrame, rounds: int = 20) -> DataFrame:
         label = moved.drop("changed")
         if k % 2 and not moved.filter("changed").limit(1).count():
             break
-    sizes = label.groupBy("label").agg(F.count("*").alias("n"), F.min("node").alias("least"))
-    ids = sizes.withColumn("community", F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1)
-    return label.join(ids, "label").select("node", "community")
+    return _numbered(label, [F.desc("n"), "least"])
 
 
 def report(adj: DataFrame, members: DataFrame, min_size: int = 1, bridges: int = 25, gods: int = 15) -> dict[str, DataFrame]:

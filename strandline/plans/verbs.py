@@ -123,9 +123,9 @@ def cycles(index: Index) -> DataFrame:
     return out
 
 
-def communities(index: Index) -> dict[str, DataFrame]:
+def communities(index: Index, method: str = "leiden") -> dict[str, DataFrame]:
     adj = tables.cut(comm.adjacency(graph.build_links(index.edges)))
-    return comm.report(adj, tables.cut(comm.detect(adj)))
+    return comm.report(adj, tables.cut(comm.detect(adj, method)))
 
 
 def graph_view(index: Index, **options) -> tuple[DataFrame, DataFrame]:

@@ -20,6 +20,43 @@ def test_size_does_not_choose_the_algorithm(spark, monkeypatch):
     assert {r.node: r.community for r in found.collect()} == communities.leiden(edges)
 
 
+def _modularity(edges, label):
+    m = sum(w for _, _, w in edges)
+    inner = sum(w for a, b, w in edges if label[a] == label[b])
+    degree = {}
+    for a, b, w in edges:
+        for x in (a, b):
+            degree[label[x]] = degree.get(label[x], 0) + w
+    return inner / m - sum((d / (2 * m)) ** 2 for d in degree.values())
+
+
+def test_leiden_by_joins_is_as_good_and_connected(spark):
+    rng = np.random.default_rng(5)
+    pairs = set()
+    for _ in range(2600):
+        a = int(rng.integers(0, 240))
+        b = int(rng.integers(0, 240)) if rng.random() < 0.15 else a // 30 * 30 + int(rng.integers(0, 30))
+        if a != b:
+            pairs.add((min(a, b), max(a, b)))
+    edges = [(f"n{a:03}", f"n{b:03}", 1.0 + (a + b) % 3) for a, b in sorted(pairs)]
+    df = spark.createDataFrame(edges, "a string, b string, w double")
+    spread = {r.node: r.community for r in communities.detect(df, "spread leiden").collect()}
+    alone = communities.leiden(edges)
+    assert set(spread) == set(alone)
+    assert _modularity(edges, spread) >= 0.97 * _modularity(edges, alone)
+    for c in set(spread.values()):
+        members = {n for n, x in spread.items() if x == c}
+        seen, stack = set(), [min(members)]
+        while stack:
+            n = stack.pop()
+            if n not in seen:
+                seen.add(n)
+                stack += [b if a == n else a for a, b, _ in edges if n in (a, b) and (b if a == n else a) in members]
+        assert seen == members
+    empty = communities.detect(spark.createDataFrame([], "a string, b string, w double"), "spread leiden")
+    assert empty.count() == 0
+
+
 def test_query_covers_all_customers_and_suppliers(spark):
     nodes = {r.node for r in q.queries()["leiden_communities"](spark, SF).collect()}
     con = duckdb.connect()
