@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import floor_to
 from strandline.operators.graph import file_of
-from strandline.sources.tables import cut
+from strandline.sources.tables import cut, scoped
 
 MAX_LEVELS = 20
 _EPS = 1e-12
@@ -223,6 +223,7 @@ def _connected_parts(both: DataFrame, label: DataFrame) -> DataFrame:
             return part
 
 
+@scoped
 def spread_leiden(adj: DataFrame, levels: int = MAX_LEVELS, rounds: int = 16) -> DataFrame:
     """(node, community): Leiden by joins, the same at every size; no task holds the graph.
 
@@ -255,6 +256,7 @@ def spread_leiden(adj: DataFrame, levels: int = MAX_LEVELS, rounds: int = 16) ->
     return _numbered(_connected_parts(whole, cut(placed)), [F.desc("n"), "least"])
 
 
+@scoped
 def propagate(adj: DataFrame, rounds: int = 20) -> DataFrame:
     """Label propagation by joins: the heaviest neighbouring label, the least of equal ones; alternating halves move."""
     both = cut(adj.select("a", "b", "w").union(adj.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))

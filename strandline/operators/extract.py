@@ -182,18 +182,18 @@ def _fields(body: str, language: str) -> Iterator[tuple[str, str, bool]]:
 
 
 def type_facts(path: str, language: str, content: str) -> list[dict]:
-    """Rows (fact, owner, name, detail): classes, methods, bases, fields, virtuals, overrides, interface methods, returns.
+    """Rows (fact, owner, name, detail, wrapped): classes, methods, bases, fields, virtuals, overrides, interface methods, returns.
 
-    The detail of a field is its type, with ``*`` before it where only ``->`` reaches it.
+    The detail of a field is its type; it is wrapped where only ``->`` reaches that.
     """
     bare = _blank_comments(content)
     out: list[dict] = []
     seen: set[tuple] = set()
 
-    def add(fact: str, owner: str | None, name: str | None, detail: str | None = None) -> None:
+    def add(fact: str, owner: str | None, name: str | None, detail: str | None = None, wrapped: bool = False) -> None:
         if (fact, owner, name, detail) not in seen:
             seen.add((fact, owner, name, detail))
-            out.append({"fact": fact, "path": path, "language": language, "owner": owner, "name": name, "detail": detail})
+            out.append({"fact": fact, "path": path, "language": language, "owner": owner, "name": name, "detail": detail, "wrapped": wrapped})
 
     layout = Layout(bare, language)
     if language == "go":
@@ -231,7 +231,7 @@ def type_facts(path: str, language: str, content: str) -> list[dict]:
             if called:
                 add("override", name, called.group(1))
         for n, kind, smart in _fields(body, language):
-            add("field", name, n, ("*" if smart else "") + kind)
+            add("field", name, n, kind, smart)
     for f in layout.functions:
         if f.owner:
             add("method", f.owner, f.name)
@@ -243,16 +243,16 @@ def type_facts(path: str, language: str, content: str) -> list[dict]:
     return out
 
 
-TYPE_SCHEMA = "fact string, path string, language string, owner string, name string, detail string"
+TYPE_SCHEMA = "fact string, path string, language string, owner string, name string, detail string, wrapped boolean"
 
 
 def extract_types(files: DataFrame) -> DataFrame:
-    """(fact, path, language, owner, name, detail) of (path, language, content)."""
+    """(fact, path, language, owner, name, detail, wrapped) of (path, language, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for p, g, t in zip(batch["path"], batch["language"], batch["content"], strict=True) if t is not None for r in type_facts(p, g, t)]
-            yield pd.DataFrame(rows, columns=["fact", "path", "language", "owner", "name", "detail"])
+            yield pd.DataFrame(rows, columns=["fact", "path", "language", "owner", "name", "detail", "wrapped"])
 
     return files.filter("language NOT IN ('python', 'markdown')").select("path", "language", "content").mapInPandas(run, TYPE_SCHEMA)
 

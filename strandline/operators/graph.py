@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.predicates import entrypoint_reason
 from strandline.functions.text import cluster_of
-from strandline.sources.tables import cut, first_by
+from strandline.sources.tables import cut, first_by, scoped
 
 TRIM_LAYERS = 4
 LOCAL_EDGES = 1_000_000
@@ -55,6 +55,7 @@ def resolve_stems(links: DataFrame, paths: DataFrame) -> DataFrame:
     return links.join(unique.select("dst", "file"), "dst", "left").select("src", F.coalesce("file", "dst").alias("dst"), "kind", "conf")
 
 
+@scoped
 def bfs(links: DataFrame, starts: DataFrame, depth: int, directed: bool = True, forward: bool = True) -> DataFrame:
     """(node, depth): least hop count from any start (node), starts included; one frontier join a level.
 
@@ -84,6 +85,7 @@ def impact(links: DataFrame, starts: DataFrame, direction: str = "callers", dept
     return ranked.withColumn("truncated", over).filter(F.col("n") <= limit).select("node", "depth", "truncated")
 
 
+@scoped
 def shortest_path(links: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int = 10) -> DataFrame:
     """(path, hops): one row, the least array of nodes among the shortest; none if unreachable."""
     step = cut(links.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
@@ -168,6 +170,7 @@ def strong_components(links: DataFrame, local_edges: int = LOCAL_EDGES) -> DataF
     return edges.repartition(1).mapInPandas(run, "node string, component string")
 
 
+@scoped
 def spread_components(links: DataFrame) -> DataFrame:
     """Strongly connected components by colouring, without a task that holds the graph.
 
@@ -254,6 +257,7 @@ def example_cycle(links: DataFrame, members: list[str], local_edges: int = LOCAL
     return inside.repartition(1).mapInPandas(run, "path array<string>, hops int")
 
 
+@scoped
 def transitive_bases(bases: DataFrame, depth: int = 100) -> DataFrame:
     """(name, base, depth) for all ancestors of (name, base); classes on a cycle are not their own ancestors."""
     step = cut(bases.select("name", "base").distinct())

@@ -177,18 +177,19 @@ def virtual_dispatch(calls: DataFrame, ancestors: DataFrame, methods: DataFrame)
 def field_receivers(calls: DataFrame, fields: DataFrame, ancestors: DataFrame) -> DataFrame:
     """Receiver types from fields: the class's own field, else that of the nearest base.
 
-    Fields: (class, field, type); a type behind ``*`` is reached by ``->`` only (``member_op`` of the call).
+    Fields: (class, field, type) and, if there is such a column, ``wrapped``: a wrapped type is reached by
+    ``->`` only (``member_op`` of the call).
     """
+    fields = fields if "wrapped" in fields.columns else fields.withColumn("wrapped", F.lit(False))
     lineage = ancestors.select(F.col("name").alias("enclosing_class"), F.col("base").alias("class"), "depth").union(
         fields.select(F.col("class").alias("enclosing_class"), "class", F.lit(0).alias("depth")).distinct())
     seen = lineage.join(fields, "class").groupBy("enclosing_class", F.col("field").alias("receiver")).agg(
-        F.min_by("type", F.struct("depth", "class")).alias("field_type"))
+        F.min_by(F.struct("type", "wrapped"), F.struct("depth", "class")).alias("found"))
     rows = calls.join(seen, ["enclosing_class", "receiver"], "left")
-    wrapped = F.col("field_type").startswith("*")
+    reached = ~F.col("found.wrapped")
     if "member_op" in calls.columns:
-        rows = rows.withColumn("field_type", F.when(~wrapped | (F.col("member_op") == "->"), F.col("field_type")))
-    plain = F.regexp_replace("field_type", r"^\*", "")
-    return rows.withColumn("receiver_type", F.coalesce("receiver_type", plain)).drop("field_type").select(*calls.columns)
+        reached = reached | (F.col("member_op") == "->")
+    return rows.withColumn("receiver_type", F.coalesce("receiver_type", F.when(reached, F.col("found.type")))).select(*calls.columns)
 
 
 def covering_chunk(calls: DataFrame, chunks: DataFrame) -> DataFrame:

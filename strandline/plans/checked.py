@@ -877,6 +877,7 @@ def receivers_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, order = F.col("p_partkey"), F.col("o_orderkey")
     marked = F.concat(F.when(part % 2 == 0, "*").otherwise(""), "p_type")
     fields = _t(spark, sf_dir, "part").groupBy(_named("C", F.col("p_size") % 30).alias("class"), _named("r", part % 15).alias("field")).agg(F.min(marked).alias("type"))
+    fields = fields.withColumn("wrapped", F.col("type").startswith("*")).withColumn("type", F.ltrim("type", F.lit("*")))
     heirs = _t(spark, sf_dir, "nation").filter("n_nationkey <> n_regionkey").select(_named("C", F.col("n_nationkey")).alias("name"), _named("C", F.col("n_regionkey")).alias("base"), F.lit(1).alias("depth"))
     calls = _t(spark, sf_dir, "orders").select(order.alias("call_id"), _named("C", F.col("o_custkey") % 40).alias("enclosing_class"), _named("r", order % 20).alias("receiver"), F.when(order % 3 == 0, ".").otherwise("->").alias("member_op"), F.when(order % 9 == 0, "Known").alias("receiver_type"))
     return resolve.field_receivers(calls, fields, heirs).select("call_id", "receiver_type")
@@ -1099,7 +1100,7 @@ def extracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FACTS = {
     1: [("method", "File{n}", "Read", None)],
     2: [("class", "C{n}", "C{n}", None), ("base", "C{n}", "Shape", None), ("method", "C{n}", "area", None), ("callable", None, "area", None), ("callable", None, "main", None), ("callable", None, "run", None)],
-    3: [("class", "Kid{n}", "Kid{n}", None), ("base", "Kid{n}", "Base", None), ("field", "Kid{n}", "engine_", "*Engine"), ("override", "Kid{n}", "run", None), ("virtual", "Kid{n}", "stop", None), ("method", "Kid{n}", "run", None), ("callable", None, "run", None), ("callable", None, "make{n}", None), ("returns", None, "make{n}", "Engine")],
+    3: [("class", "Kid{n}", "Kid{n}", None), ("base", "Kid{n}", "Base", None), ("field", "Kid{n}", "engine_", "Engine"), ("override", "Kid{n}", "run", None), ("virtual", "Kid{n}", "stop", None), ("method", "Kid{n}", "run", None), ("callable", None, "run", None), ("callable", None, "make{n}", None), ("returns", None, "make{n}", "Engine")],
 }
 
 

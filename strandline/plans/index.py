@@ -99,7 +99,7 @@ def resolve_edges(found: DataFrame, facts: DataFrame, chunks: DataFrame, notes:
         F.max(F.col("fact") == "virtual").alias("is_virtual"), F.max(F.col("fact") == "override").alias("is_override"))
     cpp = methods_of("cpp").join(flags, ["type", "name"], "left").na.fill(False, ["is_virtual", "is_override"])
     ancestors = transitive_bases(of("cpp", "base").select(F.col("owner").alias("name"), F.col("name").alias("base")))
-    fields = of("cpp", "field").select(F.col("owner").alias("class"), F.col("name").alias("field"), F.col("detail").alias("type"))
+    fields = of("cpp", "field").select(F.col("owner").alias("class"), F.col("name").alias("field"), F.col("detail").alias("type"), "wrapped")
     returns = of("cpp", "returns").select("name", F.col("detail").alias("type"))
     typed = resolve.factory_types(resolve.field_receivers(resolve.of_language(calls, "cpp"), fields, ancestors), returns)
     typed = tables.cut(typed)

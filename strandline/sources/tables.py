@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,9 +29,38 @@ def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: iterations keep a short lineage that survives executors."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_thread = threading.local()
+
+
+def _made() -> list[str]:
+    """Paths that this thread has cut and not deleted, in order."""
+    if not hasattr(_thread, "paths"):
+        _thread.paths = []
+    return _thread.paths
+
+
+def scoped(make: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function whose result is written, and whose own tables are deleted then: rounds leave nothing behind."""
+
+    @wraps(make)
+    def run(*args, **options) -> DataFrame:
+        paths = _made()
+        mark = len(paths)
+        out = cut(make(*args, **options))
+        jvm, conf = out.sparkSession._jvm, out.sparkSession._jsc.hadoopConfiguration()
+        for path in paths[mark:-1]:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        del paths[mark:-1]
+        return out
+
+    return run
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """A scan with fewer splits than the cluster has cores is dealt to all of them.
 

@@ -60,3 +60,16 @@ def test_all_links_are_used(spark, fixture):
             count[brand(a), brand(b)] += 1
             worst[brand(a), brand(b)] |= conf == "ambiguous"
     assert {((r.source, r.target), r["count"], r.worst_is_ambiguous) for r in run("rollup_brands")} == {(k, n, worst[k]) for k, n in count.items()}
+
+
+def test_rounds_leave_no_tables_behind(spark, fixture):
+    import os
+
+    from strandline.sources import tables
+
+    folder = tables.shared_folder(spark).removeprefix("file://")
+    links = q._links(spark, fixture[0])
+    before = set(os.listdir(folder))
+    found = graph.bfs(links, spark.createDataFrame([("3",)], "node string"), 3)
+    left = [n for n in set(os.listdir(folder)) - before if n.startswith("cut-")]
+    assert len(left) == 1 and found.count() > 1
