@@ -40,7 +40,6 @@ EPSILON = 2.4
 GROUP_BYTES = 16_000_000
 FLOOR_SHARE = 64
 SOME = 256
-PAIRS = 200_000
 SEED = 17
 
 
@@ -97,10 +96,13 @@ class Queries:
     def _rerank(self, row: np.ndarray, q: np.ndarray, ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray) -> None:
         own = (ids[row] == self.ids[q]) & (keys[row] == self.keys[q])
         row, q = row[~own], q[~own]
+        # One query's rows at a time stay in the cache; a row's sum does not depend on its place.
         exact = np.empty(len(row))
-        for k in range(0, len(row), PAIRS):
-            part = slice(k, k + PAIRS)
-            exact[part] = (vectors[row[part]] * self.vectors[q[part]]).sum(axis=1)
+        cut = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        for low, high in zip(cut, np.append(cut[1:], len(q)), strict=True):
+            some = vectors.take(row[low:high], axis=0)
+            some *= self.vectors[q[low]]
+            some.sum(axis=1, out=exact[low:high])
         self.reranked += len(row)
         high = exact >= self.floor[q]
         new = q[high], exact[high], ids[row][high], keys[row][high]
