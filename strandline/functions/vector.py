@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,21 +35,26 @@ def l2_normalise(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: (x.cast("double") / n))).otherwise(a)
 
 
+@cache
+def _bucket_sums(dims: int):
+    """A UDF from word hashes to signed bucket counts, normalised; one pass over the words."""
+    @F.pandas_udf("array<double>")
+    def run(hashes: pd.Series) -> pd.Series:
+        out = []
+        for row in hashes:
+            h = np.asarray([] if row is None else row, np.int64)
+            counts = np.bincount(h % dims, np.where(h >= 0, 1.0, -1.0), dims)
+            length = np.sqrt((counts * counts).sum())
+            out.append(counts / length if length > 0 else counts)
+        return pd.Series(out)
+
+    return run
+
+
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """Default embedder: words hashed into signed buckets, normalised; no model and no network."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    return l2_normalise(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)),
-            lambda d: F.aggregate(
-                hashed,
-                F.lit(0.0),
-                lambda acc, h: acc
-                + F.when(F.pmod(h, F.lit(dims)) == d, F.when(F.shiftright(h, 63) == 0, 1.0).otherwise(-1.0)).otherwise(0.0),
-            ),
-        )
-    )
+    return _bucket_sums(dims)(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def nearest_rows(sent, n: int, digits: int | None, skip_equal: bool):
@@ -53,9 +63,6 @@ def nearest_rows(sent, n: int, digits: int | None, skip_equal: bool):
     ``sent`` is a broadcast Arrow table (query_id, query_vector).  Cosine as above; ties at the n-th place
     go to the smaller id.
     """
-    import numpy as np
-    import pyarrow as pa
-
     def lists(column):
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
