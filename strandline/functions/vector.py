@@ -57,6 +57,33 @@ def hash_embedding(text: Column, dims: int = 64) -> Column:
     return _bucket_sums(dims)(F.transform(words, lambda w: F.xxhash64(w)))
 
 
+class Best:
+    """The n best rows of each query so far, ties at the n-th place to the smaller id; scores rounded to ``digits`` first."""
+
+    def __init__(self, n: int, digits: int | None):
+        self.n, self.digits, self.kind = n, digits, None
+        self.q, self.score, self.ids = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, score: np.ndarray, ids: np.ndarray, kind: pa.DataType) -> None:
+        """Take scores (rows x queries) in; minus infinity takes no part."""
+        self.kind = kind
+        if self.digits is not None:
+            score = np.floor(score * 10.0**self.digits + 0.5) / 10.0**self.digits
+        rows = len(ids)
+        least = np.partition(score, rows - self.n, axis=0)[rows - self.n] if rows > self.n else np.full(score.shape[1], -np.inf)
+        row, q = np.nonzero((score >= least) & (score > -np.inf))
+        value = np.concatenate([self.score, score[row, q]])
+        q = np.concatenate([self.q, q])
+        name = ids[row] if self.ids is None else np.concatenate([self.ids, ids[row]])
+        order = np.lexsort((np.unique(name, return_inverse=True)[1], -value, q))
+        q = q[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < self.n
+        self.q, self.score, self.ids = q[keep], value[order][keep], name[order][keep]
+
+    def columns(self) -> list[pa.Array]:
+        return [pa.array(self.ids, self.kind), pa.array(self.score)]
+
+
 def nearest_rows(sent, n: int, digits: int | None, skip_equal: bool):
     """A ``mapInArrow`` function over (id, v): (query_id, id, similarity), the n best rows of the task for each query.
 
@@ -82,11 +109,9 @@ def nearest_rows(sent, n: int, digits: int | None, skip_equal: bool):
         values, start, size = lists(asked["query_vector"]) if count else (None, None, np.zeros(0, int))
         groups = {int(d): np.flatnonzero(size == d) for d in np.unique(size) if d > 0}
         queries = {d: matrix(values, start, at, d) for d, at in groups.items()}
-        kind = None
-        best_q, best_sim, best_id = np.zeros(0, np.int64), np.zeros(0), None
+        best = Best(n, digits)
         step = max(1, 4_000_000 // max(count, 1))
         for batch in batches:
-            kind = batch.column("id").type
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             values, start, size = lists(batch.column("v"))
             for low in range(0, batch.num_rows if count else 0, step):
@@ -96,24 +121,10 @@ def nearest_rows(sent, n: int, digits: int | None, skip_equal: bool):
                     mine = np.flatnonzero(size[part] == d)
                     if len(mine):
                         sim[np.ix_(mine, at)] = np.nan_to_num(matrix(values, start, part[mine], d) @ queries[d].T)
-                if digits is not None:
-                    sim = np.floor(sim * 10.0**digits + 0.5) / 10.0**digits
                 if skip_equal:
                     sim[ids[part][:, None] == q_ids[None, :]] = -np.inf
-                least = np.partition(sim, len(part) - n, axis=0)[len(part) - n] if len(part) > n else np.full(count, -np.inf)
-                row, q = np.nonzero((sim >= least) & (sim > -np.inf))
-                new_id = ids[part][row]
-                q = np.concatenate([best_q, q])
-                score = np.concatenate([best_sim, sim[row, q[len(best_q) :]]])
-                name = new_id if best_id is None else np.concatenate([best_id, new_id])
-                order = np.lexsort((np.unique(name, return_inverse=True)[1], -score, q))
-                q = q[order]
-                keep = np.arange(len(q)) - np.searchsorted(q, q) < n
-                best_q, best_sim, best_id = q[keep], score[order][keep], name[order][keep]
-        if best_id is not None and len(best_q):
-            yield pa.RecordBatch.from_arrays(
-                [asked["query_id"].combine_chunks().take(pa.array(best_q)), pa.array(best_id, kind), pa.array(best_sim)],
-                ["query_id", "id", "similarity"],
-            )
+                best.add(sim, ids[part], batch.column("id").type)
+        if len(best.q):
+            yield pa.RecordBatch.from_arrays([asked["query_id"].combine_chunks().take(pa.array(best.q)), *best.columns()], ["query_id", "id", "similarity"])
 
     return run

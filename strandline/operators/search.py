@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import predicates, symbols, text
-from strandline.functions.vector import cosine, nearest_rows
+from strandline.functions.vector import Best, cosine, nearest_rows
 from strandline.params import DEFAULTS, Params
-from strandline.sources.tables import broadcast_if_small, corpus_stats, cut, postings, tokens
+from strandline.sources.tables import broadcast_if_small, cut, tokens
 
 
 def clamp_k(k: object, default: int = 8, most: int = 50) -> int:
@@ -78,10 +81,90 @@ def vector_top_batch(
     return ranked(out, "similarity", "vec_rank", n, ["query_id"])
 
 
-def bm25_over(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "fts_text", params: Params = DEFAULTS) -> DataFrame:
-    """``bm25`` over texts without stored postings: only asked terms are counted."""
-    found = cut(postings(docs, id_col, text_col, only=terms))
-    return bm25(found, corpus_stats(docs, text_col), terms, params)
+#: Cells of a table of terms by queries that goes to every task.
+MOST_CELLS = 4_000_000
+
+
+def bm25_top_batch(
+    docs: DataFrame, queries: DataFrame, n: int, id_col: str = "id", text_col: str = "fts_text", digits: int = 6, params: Params = DEFAULTS
+) -> DataFrame:
+    """(query_id, id, score, fts_rank): the n best texts of every query (query_id, query) by BM25, without postings.
+
+    Asked terms go to the texts: a first pass counts in how many texts each stands, a second multiplies
+    blocks of texts with a table of terms by queries and gives back the n best of each task.  Nothing is
+    shuffled but counts and those.  Queries go in groups whose table has at most ``MOST_CELLS`` cells;
+    scores are rounded to ``digits`` before ranking.
+    """
+    spark = docs.sparkSession
+    pairs = cut(query_terms(queries))
+    size = pairs.agg(F.count_distinct("term").alias("t"), F.count_distinct("query_id").alias("q")).first()
+    groups = 1 + size.t * size.q // MOST_CELLS
+    rows = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("words"))
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(docs.dtypes)[id_col]}, score double"
+    out = None
+    for g in range(groups):
+        asked = (pairs if groups == 1 else pairs.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g)).toArrow()
+        terms, ids = asked["term"].combine_chunks().dictionary_encode(), asked["query_id"].combine_chunks().dictionary_encode()
+        sent = spark.sparkContext.broadcast(terms.dictionary)
+        counts = rows.mapInArrow(term_counts(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term
+        held = {r.term: r.n for r in counts}
+        n_docs, length = held.get(-1, 0), held.get(-2, 0)
+        df = np.array([held.get(k, 0) for k in range(len(terms.dictionary))], float)
+        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        table = np.zeros((len(terms.dictionary), len(ids.dictionary)))
+        table[terms.indices.to_numpy(), ids.indices.to_numpy()] = 1.0
+        table *= idf[:, None]
+        whole = spark.sparkContext.broadcast((terms.dictionary, ids.dictionary, table, length / n_docs if n_docs else 1.0))
+        found = rows.mapInArrow(bm25_rows(whole, n, digits, params.bm25_k1, params.bm25_b), schema)
+        out = found if out is None else out.union(found)
+    return ranked(out, "score", "fts_rank", n, ["query_id"])
+
+
+def _term_cells(batch: pa.RecordBatch, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, times, words of each row) of the asked terms in a batch of word lists."""
+    words = batch.column("words")
+    start = words.offsets.to_numpy()
+    at = pc.index_in(words.values.slice(start[0], start[-1] - start[0]), value_set=terms).fill_null(-1).to_numpy()
+    length = np.diff(start)
+    row = np.repeat(np.arange(batch.num_rows), length)
+    cell, times = np.unique(row[at >= 0] * len(terms) + at[at >= 0], return_counts=True)
+    return cell // max(len(terms), 1), cell % max(len(terms), 1), times, length
+
+
+def term_counts(sent):
+    """A ``mapInArrow`` function over (id, words): in how many rows each asked term stands; -1 rows, -2 words."""
+
+    def run(batches):
+        total, rows, words = np.zeros(len(sent.value), np.int64), 0, 0
+        for batch in batches:
+            _, term, _, length = _term_cells(batch, sent.value)
+            total += np.bincount(term, minlength=len(total))
+            rows, words = rows + batch.num_rows, words + int(length.sum())
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(total[at], [rows, words]))], ["term", "n"])
+
+    return run
+
+
+def bm25_rows(sent, n: int, digits: int, k1: float, b: float):
+    """A ``mapInArrow`` function over (id, words): (query_id, id, score), the n best rows of the task for each query."""
+
+    def run(batches):
+        terms, asked, table, mean = sent.value
+        best, step = Best(n, digits), max(1, MOST_CELLS // max(len(terms), 1))
+        for whole in batches:
+            for low in range(0, whole.num_rows if len(terms) else 0, step):
+                batch = whole.slice(low, step)
+                row, term, times, length = _term_cells(batch, terms)
+                weight = np.zeros((batch.num_rows, len(terms)))
+                weight[row, term] = times * (k1 + 1) / (times + k1 * (1 - b + b * length[row] / mean))
+                score = weight @ table
+                score[score <= 0] = -np.inf
+                best.add(score, batch.column("id").to_numpy(zero_copy_only=False), batch.column("id").type)
+        if len(best.q):
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(best.q)), *best.columns()], ["query_id", "id", "score"])
+
+    return run
 
 
 def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:

@@ -271,8 +271,7 @@ b AS (SELECT query_id, id, floor(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) *
 def _bm25(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("text").alias("fts_text"))
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scored = search.bm25_over(docs, tables.cut(search.query_terms(asked)))
-    return search.ranked(scored.withColumn("score", _low("score", 6)), "score", "fts_rank", n, ["query_id"])
+    return search.bm25_top_batch(docs, asked, n)
 
 
 def _by_item(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:

@@ -181,3 +181,33 @@ def test_meta_postings_and_edges_are_replaced_by_key(spark, tmp_path):
     edges = spark.createDataFrame([("a", "x"), ("b", "y")], "from_path string, ref_name string")
     fresh = tables.upsert_edges(edges, spark.createDataFrame([("a", "z")], edges.schema), spark.createDataFrame([("a",), ("c",)], "path string"))
     assert sorted(fresh.collect()) == [("a", "z"), ("b", "y")]
+
+
+def test_lexical_scores_with_and_without_postings(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(vocabulary, rng.integers(0, 30)))) for k in range(120)] + [(500, None), (501, "")], "id long, fts_text string")
+    asked = spark.createDataFrame([(q, " ".join(rng.choice(vocabulary, 5))) for q in range(12)] + [(50, "none of these"), (51, "")], "query_id long, query string")
+    scored = search.bm25(tables.postings(docs), tables.corpus_stats(docs.na.fill("")), search.query_terms(asked))
+    want = search.ranked(scored.withColumn("score", text.floor_to("score", 6)), "score", "fts_rank", 7, ["query_id"])
+    key = lambda df: sorted((r.query_id, r.fts_rank, r.id, r.score) for r in df.collect())
+    assert key(search.bm25_top_batch(docs, asked, 7)) == key(want) != []
+    monkeypatch.setattr(search, "MOST_CELLS", 60)
+    assert key(search.bm25_top_batch(docs, asked, 7)) == key(want)
+
+
+def test_many_query_vectors_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 6)).round(1)
+    x[7] = x[8]
+    rows = [(f"c{k:02}", v.tolist()) for k, v in enumerate(x)] + [("zero", [0.0] * 6), ("none", None), ("short", [1.0])]
+    chunks = spark.createDataFrame(rows, "id string, embedding array<double>")
+    asked = spark.createDataFrame([(f"c{k:02}", x[k].tolist()) for k in range(0, 90, 9)], "query_id string, query_vector array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    want = []
+    for k in range(0, 90, 9):
+        scores = {f"c{j:02}": np.floor(unit[j] @ unit[k] * 1e6 + 0.5) / 1e6 for j in range(90) if j != k} | {"zero": 0.0, "none": 0.0, "short": 0.0}
+        want += [(f"c{k:02}", n + 1, i) for n, i in enumerate(sorted(scores, key=lambda i: (-scores[i], i))[:5])]
+    for group_bytes in (16_000_000, 200):
+        got = search.vector_top_batch(chunks, asked, 5, digits=6, skip_equal=True, group_bytes=group_bytes)
+        assert sorted((r.query_id, r.vec_rank, r.id) for r in got.collect()) == sorted(want)
