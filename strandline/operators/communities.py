@@ -18,6 +18,7 @@ from strandline.operators.graph import file_of
 from strandline.sources.tables import cut, scoped
 
 MAX_LEVELS = 20
+STILL = 200
 _EPS = 1e-12
 
 
@@ -170,10 +171,11 @@ def _move_rounds(both: DataFrame, nodes: DataFrame, label: DataFrame, mass: floa
     """(labels, moves): rounds in which a hashed half of the nodes goes to the neighbouring community of most gain.
 
     ``label`` has (node, label) and, for moves that stay ``inside``, (node, label, block).  A node alone goes
-    to another node alone only if that has the lesser label, so two do not swap.  Ends after two rounds
-    without a move.
+    to another node alone only if that has the lesser label, so two do not swap.  Ends after two rounds in
+    which at most a ``STILL``-th of the nodes moved.
     """
     moves = quiet = 0
+    few = nodes.count() // STILL
     for step in range(rounds):
         placed = label.join(nodes, "node")
         total = placed.groupBy("label").agg(F.sum("k").alias("total"), F.count("*").alias("n"))
@@ -200,7 +202,7 @@ def _move_rounds(both: DataFrame, nodes: DataFrame, label: DataFrame, mass: floa
         now = cut(now)
         moved = now.filter("label <> was").count()
         label, moves = now.drop("was"), moves + moved
-        quiet = quiet + 1 if not moved else 0
+        quiet = quiet + 1 if moved <= few else 0
         if quiet == 2:
             break
     return label, moves

@@ -1220,9 +1220,3 @@ def built_index_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _t(spark, sf_dir, "supplier").select(F.concat(F.lit("io/f"), k, F.lit(".go")).alias("path"), F.lit(1).cast("long").alias("mtime_ms"), content.alias("content"))
     built = plan.build(rows, params=Params(disambiguate=False))
     return built.edges.filter("kind = 'calls'").select("from_path", "from_symbol", "ref_name", "conf", "to_path")
-
-
-@query()
-def spread_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leiden by joins over all customers and suppliers."""
-    return communities.detect(tables.cut(_deals(spark, sf_dir)), "spread leiden")
