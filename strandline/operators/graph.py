@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.predicates import entrypoint_reason
 from strandline.functions.text import cluster_of
-from strandline.sources.tables import cut, first_by, scoped
+from strandline.sources.tables import cut, first_by, scoped, stored
 
 TRIM_LAYERS = 4
 LOCAL_EDGES = 1_000_000
@@ -61,10 +61,11 @@ def bfs(links: DataFrame, starts: DataFrame, depth: int, directed: bool = True,
 
     Visited nodes leave the frontier by an anti join; each level is written to the shared folder.
     """
+    links = stored(links.select("src", "dst"))
     step = links.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     back = links.select(F.col("dst").alias("node"), F.col("src").alias("next"))
     step = step.union(back) if not directed else step if forward else back
-    step = cut(step.filter("node <> next").distinct())
+    step = step.filter("node <> next")
     frontier = cut(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     for level in range(1, depth + 1):
@@ -88,7 +89,7 @@ def impact(links: DataFrame, starts: DataFrame, direction: str = "callers", dept
 @scoped
 def shortest_path(links: DataFrame, starts: DataFrame, ends: DataFrame, max_depth: int = 10) -> DataFrame:
     """(path, hops): one row, the least array of nodes among the shortest; none if unreachable."""
-    step = cut(links.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct())
+    step = stored(links.select("src", "dst")).select(F.col("src").alias("node"), F.col("dst").alias("next"))
     goals = ends.select(F.col("node").alias("goal")).distinct()
     frontier = cut(starts.select("node").distinct().withColumn("path", F.array("node")))
     seen = frontier.select("node")

@@ -33,6 +33,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table itself where its plan has no shuffle, so that reading it again costs a scan; else ``cut``."""
+    return cut(df) if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan" else df
+
+
 _thread = threading.local()
 
 
