@@ -96,9 +96,11 @@ class Queries:
     def _rerank(self, row: np.ndarray, q: np.ndarray, ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray) -> None:
         own = (ids[row] == self.ids[q]) & (keys[row] == self.keys[q])
         row, q = row[~own], q[~own]
+        if not len(q):
+            return
         # One query's rows at a time stay in the cache; a row's sum does not depend on its place.
         exact = np.empty(len(row))
-        cut = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
         for low, high in zip(cut, np.append(cut[1:], len(q)), strict=True):
             some = vectors.take(row[low:high], axis=0)
             some *= self.vectors[q[low]]

@@ -244,3 +244,14 @@ def test_one_bit_search_matches_brute_force_and_skips_most_products():
 
 def test_crc_of_ids():
     assert _text.crc32_of_ids(pa.array([7, None])).tolist() == [zlib.crc32(b"7"), 0]
+
+
+def test_rows_that_hold_only_the_query_itself_give_nothing():
+    x = np.random.default_rng(4).normal(size=(3, 16))
+    bits, norm, align = ann.encode(x)
+    codes, ids, keys = ann.unpacked(bits, align, 16), np.arange(3) * 20, np.arange(3)
+    some = ann.Queries(np.arange(1), ids[:1], keys[:1], x[:1], np.full(1, -np.inf), 20)
+    some.search(ids[:1], keys[:1], x[:1], codes[:1], norm[:1], ann.slack(align[:1], 16))
+    assert len(some.best[0]) == 0
+    some.search(ids[1:], keys[1:], x[1:], codes[1:], norm[1:], ann.slack(align[1:], 16))
+    assert sorted(some.best[2]) == [20, 40]
