@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,60 +118,103 @@ def degrees(links: DataFrame, kinds: tuple[str, ...] | None = None, direction: s
     return ends.groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def _components_of(edges: pd.DataFrame) -> dict[str, str]:
-    """The least node of each node's strongly connected component, by Kosaraju's two passes without recursion."""
-    forward: dict[str, list[str]] = defaultdict(list)
-    back: dict[str, list[str]] = defaultdict(list)
-    for a, b in zip(edges["src"], edges["dst"], strict=True):
-        forward[a].append(b)
-        back[b].append(a)
-    order, seen = [], set()
-    for root in {*forward, *back}:
-        if root in seen:
+_EDGE = pa.schema([("src", pa.string()), ("dst", pa.string())])
+
+
+def _numbered(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(names in order, number of each source, number of each target): edges as arrays of numbers."""
+    ends = pa.chunked_array([*table["src"].chunks, *table["dst"].chunks], pa.string()).dictionary_encode(null_encoding="encode").combine_chunks()
+    ends = ends.chunk(0) if isinstance(ends, pa.ChunkedArray) else ends
+    order = pc.sort_indices(ends.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    number = place[ends.indices.to_numpy()] if len(order) else place
+    return ends.dictionary.take(pa.array(order)), number[: table.num_rows], number[table.num_rows :]
+
+
+def _after(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, target): the targets of node k, ascending, stand at first[k] to first[k + 1]."""
+    order = np.lexsort((b, a))
+    return np.searchsorted(a[order], np.arange(n + 1)), b[order]
+
+
+def _peeled(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Which nodes are left when nodes without both an inbound and an outbound edge go, one after the other."""
+    left = np.ones(n, bool)
+    for x, y in ((a, b), (b, a)):
+        first, to = _after(x, y, n)
+        missing = np.bincount(y, minlength=n)
+        front = np.flatnonzero(missing == 0)
+        while len(front):
+            left[front] = False
+            size = first[front + 1] - first[front]
+            at = np.repeat(first[front] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            np.subtract.at(missing, to[at], 1)
+            front = np.unique(to[at])
+            front = front[(missing[front] == 0) & left[front]]
+    return left
+
+
+def _components_of(table: pa.Table) -> pa.Table:
+    """(node, component): the least node of each strongly connected component, by Tarjan's pass without recursion."""
+    names, a, b = _numbered(table)
+    n = len(names)
+    root = np.arange(n)
+    apart = (a != b) & pc.and_(table["src"].is_valid(), table["dst"].is_valid()).to_numpy()
+    left = _peeled(a[apart], b[apart], n)
+    inside = left[a] & left[b] & apart
+    first, to = (x.tolist() for x in _after(a[inside], b[inside], n))
+    low, index = [0] * n, [0] * n
+    held, count = [], 0
+    for start in np.flatnonzero(left).tolist():
+        if index[start]:
             continue
-        seen.add(root)
-        stack = [(root, iter(forward.get(root, ())))]
-        while stack:
-            node, rest = stack[-1]
-            following = next((x for x in rest if x not in seen), None)
-            if following is None:
-                order.append(node)
-                stack.pop()
-            else:
-                seen.add(following)
-                stack.append((following, iter(forward.get(following, ()))))
-    out: dict[str, str] = {}
-    for root in reversed(order):
-        if root not in out:
-            members, stack = [root], [root]
-            out[root] = root
-            while stack:
-                for x in back.get(stack.pop(), ()):
-                    if x not in out:
-                        out[x] = root
-                        members.append(x)
-                        stack.append(x)
-            least = min(members)
-            for m in members:
-                out[m] = least
-    return out
+        count += 1
+        low[start] = index[start] = count
+        held.append(start)
+        walk = [(start, first[start])]
+        while walk:
+            v, k = walk.pop()
+            while k < first[v + 1]:
+                x = to[k]
+                k += 1
+                if not index[x]:
+                    count += 1
+                    low[x] = index[x] = count
+                    held.append(x)
+                    walk.append((v, k))
+                    v, k = x, first[x]
+                elif low[x] < low[v]:
+                    low[v] = low[x]
+            if low[v] == index[v]:
+                at = len(held) - 1
+                while held[at] != v:
+                    at -= 1
+                members = held[at:]
+                del held[at:]
+                root[members] = min(members)
+                for m in members:
+                    low[m] = n + 1
+            if walk and low[v] < low[walk[-1][0]]:
+                low[walk[-1][0]] = low[v]
+    return pa.table({"node": names, "component": names.take(pa.array(root))})
 
 
 def strong_components(links: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(node, component): the least node of each strongly connected component.
+    """(node, component): the least node of each strongly connected component; a node with no link but to itself is one.
 
     Up to ``local_edges`` distinct edges one task finds them; beyond, joins do (the same components, see
     ``spread_components``).
     """
-    edges = cut(links.select("src", "dst").filter("src <> dst").distinct())
+    edges = cut(links.select("src", "dst").distinct())
     if edges.count() > local_edges:
         return spread_components(edges)
 
     def run(batches):
-        found = _components_of(pd.concat([pd.DataFrame({"src": [], "dst": []}), *batches]))
-        yield pd.DataFrame({"node": list(found), "component": list(found.values())}, dtype=object)
+        found = _components_of(pa.Table.from_batches(batches, _EDGE))
+        yield from found.to_batches(max_chunksize=65536)
 
-    return edges.repartition(1).mapInPandas(run, "node string, component string")
+    return edges.repartition(1).mapInArrow(run, "node string, component string")
 
 
 @scoped
@@ -179,8 +225,8 @@ def spread_components(links: DataFrame) -> DataFrame:
     root is a component and leaves the graph.  Every round settles at least one component of each
     colour; each step is a join.
     """
+    nodes = cut(links.select(F.col("src").alias("node")).union(links.select(F.col("dst").alias("node"))).distinct())
     edges = cut(links.select("src", "dst").filter("src <> dst").distinct())
-    nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct())
     settled = None
     while True:
         # Nodes without both an inbound and an outbound edge are components of their own: several layers a job.

@@ -73,3 +73,10 @@ def test_rounds_leave_no_tables_behind(spark, fixture):
     found = graph.bfs(links, spark.createDataFrame([("3",)], "node string"), 3)
     left = [n for n in set(os.listdir(folder)) - before if n.startswith("cut-")]
     assert len(left) == 1 and found.count() > 1
+
+
+@pytest.mark.parametrize("most", [graph.LOCAL_EDGES, 0])
+def test_a_node_linked_to_itself_only_is_a_component(spark, most):
+    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c"), ("d", None), ("e", "a")], "src string, dst string")
+    found = {(r.node, r.component) for r in graph.strong_components(links, most).collect()}
+    assert found == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d"), ("e", "e"), (None, None)}
