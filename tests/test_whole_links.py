@@ -80,3 +80,10 @@ def test_a_node_linked_to_itself_only_is_a_component(spark, most):
     links = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c"), ("d", None), ("e", "a")], "src string, dst string")
     found = {(r.node, r.component) for r in graph.strong_components(links, most).collect()}
     assert found == {("a", "a"), ("b", "a"), ("c", "c"), ("d", "d"), ("e", "e"), (None, None)}
+
+
+def test_a_ring_of_more_than_a_million_links_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(graph, "spread_components", lambda links: pytest.fail("by joins, a round for each link"))
+    links = spark.range(1_200_000).selectExpr("cast(id AS string) AS src", "cast((id + 1) % 1200000 AS string) AS dst")
+    found = graph.strong_components(links).groupBy("component").count().collect()
+    assert [tuple(r) for r in found] == [("0", 1_200_000)]
