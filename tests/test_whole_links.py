@@ -87,3 +87,13 @@ def test_a_ring_of_more_than_a_million_links_is_one_component(spark, monkeypatch
     links = spark.range(1_200_000).selectExpr("cast(id AS string) AS src", "cast((id + 1) % 1200000 AS string) AS dst")
     found = graph.strong_components(links).groupBy("component").count().collect()
     assert [tuple(r) for r in found] == [("0", 1_200_000)]
+
+
+def test_a_long_cycle_is_walked_without_copies_of_its_path(spark):
+    import time
+
+    n = 200_000
+    links = spark.range(n).selectExpr("cast(id AS string) AS src", f"cast((id + 1) % {n} AS string) AS dst")
+    began = time.monotonic()
+    found = graph.example_cycle(links, [str(k) for k in range(n)]).first()
+    assert found.hops == n and found.path == [*map(str, range(n)), "0"] and time.monotonic() - began < 40
