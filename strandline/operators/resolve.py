@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions.text import floor_to, note_key, resolve_relative, strip_ext
 from strandline.functions.vector import cosine
 from strandline.params import DEFAULTS, Params
+from strandline.sources.tables import broadcast_if_small
 
 
 def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
@@ -84,11 +85,21 @@ def upgrade(calls: DataFrame, found: DataFrame, conf: str) -> DataFrame:
 
 def typed_methods(calls: DataFrame, methods: DataFrame, distinct_paths: bool = False) -> DataFrame:
     """Calls with a receiver type whose (type, name) has exactly one definition (or one defining path)."""
-    rows = calls.filter("receiver_type IS NOT NULL").select("call_id", "receiver_type", "ref_name").join(
-        methods.withColumnsRenamed({"type": "receiver_type", "name": "ref_name"}), ["receiver_type", "ref_name"])
-    n = F.count_distinct("path") if distinct_paths else F.count("*")
-    single = rows.groupBy("call_id").agg(n.alias("n"), F.min(F.struct("path", "lines")).alias("site")).filter("n = 1")
-    return single.select("call_id", F.col("site.path").alias("to_path"), F.col("site.lines").alias("to_lines"), F.array().cast("array<string>").alias("candidates"))
+    sites = methods.groupBy(F.col("type").alias("receiver_type"), F.col("name").alias("ref_name")).agg(*_bounds())
+    rows = calls.filter("receiver_type IS NOT NULL").select("call_id", "receiver_type", "ref_name")
+    rows = rows.join(broadcast_if_small(sites), ["receiver_type", "ref_name"])
+    return _single(rows, F.col("low") == F.col("high") if distinct_paths else F.col("n") == 1)
+
+
+def _bounds() -> list[Column]:
+    """Of the sites of a method: their number, the first and last path, and the first lines."""
+    return [F.count("*").alias("n"), F.min("path").alias("low"), F.max("path").alias("high"), F.min("lines").alias("lines")]
+
+
+def _single(rows: DataFrame, one: Column) -> DataFrame:
+    """Of calls with the number and bounds of their sites, a row for each family of them, those that have ``one`` site in all."""
+    whole = rows.groupBy("call_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("lines").alias("lines"))
+    return whole.filter(one).select("call_id", F.col("low").alias("to_path"), F.col("lines").alias("to_lines"), F.array().cast("array<string>").alias("candidates"))
 
 
 #: File endings whose calls a language's tiers look at.
