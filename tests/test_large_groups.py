@@ -40,3 +40,8 @@ def test_calls_that_share_an_id_are_counted_together(spark, methods):
     calls = spark.createDataFrame([(1, "T", "one"), (1, "T", "m"), (2, "T", "one"), (3, None, "one")], "call_id long, receiver_type string, ref_name string")
     assert [tuple(r)[:3] for r in resolve.typed_methods(calls, methods).collect()] == [(2, "b.go", "7")]
     assert [tuple(r)[:3] for r in resolve.typed_methods(calls, methods, distinct_paths=True).collect()] == [(2, "b.go", "7")]
+
+
+def test_typed_methods_with_one_path(calls, methods):
+    rows, most = _run(resolve.typed_methods(calls, methods, distinct_paths=True))
+    assert {(r.call_id, r.to_path, r.to_lines) for r in rows} == {(k, *(("b.go", "7") if k % 2 else ("a.go", "00000"))) for k in range(2000)} and most <= 4000
