@@ -130,9 +130,9 @@ def class_files(calls: DataFrame, classes: DataFrame, callables: DataFrame) -> D
     and its methods stand in one file however it is cut.
     """
     typed = calls.filter("receiver_type IS NOT NULL").select("call_id", F.col("receiver_type").alias("type"), F.col("ref_name").alias("name"))
-    both = typed.join(classes.select("type", "path").distinct(), "type").join(callables, ["name", "path"])
-    one = both.groupBy("call_id").agg(F.count_distinct("path").alias("n"), F.min(F.struct("path", "lines")).alias("site")).filter("n = 1")
-    return one.select("call_id", F.col("site.path").alias("to_path"), F.col("site.lines").alias("to_lines"), F.array().cast("array<string>").alias("candidates"))
+    files = callables.groupBy("name", "path").agg(F.min("lines").alias("lines"))
+    sites = classes.select("type", "path").distinct().join(files, "path").groupBy("type", "name").agg(*_bounds())
+    return _single(typed.join(broadcast_if_small(sites), ["type", "name"]), F.col("low") == F.col("high"))
 
 
 def class_dispatch(calls: DataFrame, bases: DataFrame, classes: DataFrame, callables: DataFrame) -> DataFrame:

@@ -45,3 +45,9 @@ def test_calls_that_share_an_id_are_counted_together(spark, methods):
 def test_typed_methods_with_one_path(calls, methods):
     rows, most = _run(resolve.typed_methods(calls, methods, distinct_paths=True))
     assert {(r.call_id, r.to_path, r.to_lines) for r in rows} == {(k, *(("b.go", "7") if k % 2 else ("a.go", "00000"))) for k in range(2000)} and most <= 4000
+
+
+def test_classes_and_methods_of_one_file(calls, methods):
+    classes = methods.select("type", F.lit("a.go").alias("path"))
+    rows, most = _run(resolve.class_files(calls, classes, methods.select("name", "path", "lines")))
+    assert {tuple(r)[:3] for r in rows} == {(k, "a.go", "00000") for k in range(0, 2000, 2)} and most <= 4000
