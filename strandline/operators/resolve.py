@@ -11,27 +11,29 @@ from pyspark.sql import functions as F
 from strandline.functions.text import floor_to, note_key, resolve_relative, strip_ext
 from strandline.functions.vector import cosine
 from strandline.params import DEFAULTS, Params
-from strandline.sources.tables import broadcast_if_small
+from strandline.sources.tables import SMALL_ROWS, broadcast_if_small
 
 
-def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
+def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame, listed: bool = True) -> DataFrame:
     """Add conf, to_path, to_lines, to_symbol and candidates to (call_id, from_path, ref_name, local_target).
 
     Definitions: (name, path, lines).  Imports: (from_path, name, stem).  In order: a local target is
     resolved; no candidate is external; a named import that vouches for exactly its file is resolved; a
-    single candidate is resolved in the same file, else ambiguous; several are ambiguous.
+    single candidate is resolved in the same file, else ambiguous; several are ambiguous.  A call meets the
+    number of its name's sites and the ones that may be its target, not all of them; without ``listed`` the
+    candidates are left to ``with_candidates``.
     """
-    sites = F.struct("path", "lines")
-    defs = definitions.groupBy("name").agg(F.sort_array(F.collect_set(sites)).alias("sites"))
-    rows = calls.join(defs, F.col("ref_name") == F.col("name"), "left").drop("name")
-    stems = imports.groupBy("from_path", "name").agg(F.min("stem").alias("stem"))
-    rows = rows.join(stems.withColumnsRenamed({"name": "ref_name"}), ["from_path", "ref_name"], "left")
-    vouched = F.get(F.filter("sites", lambda s: strip_ext(s["path"]) == F.col("stem")), F.lit(0))
-    n = F.size(F.coalesce("sites", F.array().cast("array<struct<path:string,lines:string>>")))
-    only = F.get("sites", F.lit(0))
-    local = F.col("local_target").isNotNull()
-    own = F.get(F.filter("sites", lambda s: s["path"] == F.col("from_path")), F.lit(0))
-    rows = rows.withColumn("vouched", F.when(F.col("stem").isNotNull(), vouched))
+    site = F.struct("path", "lines")
+    files = definitions.groupBy("name", "path").agg(F.min(F.struct("lines")).alias("first"), F.count_distinct(F.struct("lines")).alias("sites"))
+    files = files.select("name", "path", F.col("first.lines").alias("lines"), "sites")
+    named = files.groupBy(F.col("name").alias("ref_name")).agg(F.sum("sites").alias("n"), F.min(site).alias("only"))
+    stems = imports.groupBy("from_path", F.col("name").alias("ref_name")).agg(F.min("stem").alias("stem"))
+    exact = files.groupBy(F.col("name").alias("ref_name"), strip_ext(F.col("path")).alias("stem")).agg(F.min(site).alias("vouched"))
+    vouched = stems.join(exact, ["ref_name", "stem"]).drop("stem")
+    own = files.select(F.col("name").alias("ref_name"), F.col("path").alias("from_path"), site.alias("own"))
+    rows = calls.join(broadcast_if_small(named), "ref_name", "left")
+    rows = rows.join(broadcast_if_small(vouched), ["from_path", "ref_name"], "left").join(broadcast_if_small(own), ["from_path", "ref_name"], "left")
+    n, only, local = F.coalesce("n", F.lit(0)), F.col("only"), F.col("local_target").isNotNull()
     conf = (
         F.when(local, "resolved")
         .when(n == 0, "external")
@@ -40,17 +42,26 @@ def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame)
         .otherwise("ambiguous")
     )
     target = (
-        F.when(local, F.coalesce(own, F.struct(F.col("from_path").alias("path"), F.lit(None).cast("string").alias("lines"))))
+        F.when(local, F.coalesce("own", F.struct(F.col("from_path").alias("path"), F.lit(None).cast("string").alias("lines"))))
         .when(F.col("vouched").isNotNull(), F.col("vouched"))
         .when((n == 1) & (only["path"] == F.col("from_path")), only)
     )
-    rows = rows.withColumn("conf", conf).withColumn("target", target)
-    paths = F.array_distinct(F.transform("sites", lambda s: s["path"]))
-    return rows.select(
+    rows = rows.withColumn("conf", conf).withColumn("target", target).select(
         *calls.columns, "conf", F.col("target.path").alias("to_path"), F.col("target.lines").alias("to_lines"),
         F.when(F.col("conf") == "resolved", F.coalesce("local_target", "ref_name")).alias("to_symbol"),
-        F.when(F.col("conf") == "ambiguous", paths).otherwise(F.array().cast("array<string>")).alias("candidates"),
+        F.array().cast("array<string>").alias("candidates"),
     )
+    return with_candidates(rows, definitions) if listed else rows
+
+
+def with_candidates(calls: DataFrame, definitions: DataFrame) -> DataFrame:
+    """The calls, those that are ambiguous with the paths of all definitions of their name as candidates."""
+    files = definitions.select("name", "path").distinct()
+    paths = files.groupBy("name").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    paths = F.broadcast(paths) if files.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else paths
+    rows = calls.join(paths, (F.col("conf") == "ambiguous") & (F.col("ref_name") == F.col("name")), "left")
+    listed = F.when(F.col("conf") == "ambiguous", F.coalesce("paths", F.array().cast("array<string>"))).otherwise(F.col("candidates"))
+    return rows.select(*(listed.alias(c) if c == "candidates" else c for c in calls.columns))
 
 
 def resolve_imports(imports: DataFrame) -> DataFrame:

@@ -51,3 +51,14 @@ def test_classes_and_methods_of_one_file(calls, methods):
     classes = methods.select("type", F.lit("a.go").alias("path"))
     rows, most = _run(resolve.class_files(calls, classes, methods.select("name", "path", "lines")))
     assert {tuple(r)[:3] for r in rows} == {(k, "a.go", "00000") for k in range(0, 2000, 2)} and most <= 4000
+
+
+def test_calls_carry_no_sites_but_their_candidates(spark):
+    found = spark.range(400).select(F.col("id").alias("call_id"), F.lit("a.ts").alias("from_path"), F.when(F.col("id") % 2 == 0, "m").otherwise("n").alias("ref_name"), F.lit(None).cast("string").alias("local_target"))
+    defs = spark.range(900).select(F.lit("m").alias("name"), F.when(F.col("id") < 600, "a.ts").otherwise("b.ts").alias("path"), F.lpad(F.col("id").cast("string"), 4, "0").alias("lines"))
+    defs = defs.union(spark.createDataFrame([("n", "a.ts", "7")], defs.schema))
+    df = resolve.resolve_calls(found, defs, spark.createDataFrame([("a.ts", "x", "b")], "from_path string, name string, stem string"))
+    assert "sites" not in [f for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line for f in line.split()]
+    assert {(r.ref_name, r.conf, r.to_path, r.to_lines, tuple(r.candidates)) for r in df.collect()} == {("m", "ambiguous", None, None, ("a.ts", "b.ts")), ("n", "resolved", "a.ts", "7", ())}
+    bare = resolve.resolve_calls(found, defs, spark.createDataFrame([("a.ts", "m", "b")], "from_path string, name string, stem string"), listed=False)
+    assert {(r.ref_name, r.conf, r.to_path, r.to_lines, len(r.candidates)) for r in bare.collect()} == {("m", "resolved", "b.ts", "0600", 0), ("n", "resolved", "a.ts", "7", 0)}
