@@ -32,12 +32,14 @@ def code_links(notes: DataFrame, inventory: DataFrame, files: DataFrame, cap: in
     Symbols join the inventory by name, rank count + length / 100; paths join files by base name and
     then by suffix, rank 0.5.
     """
-    symbols = mentions(notes).join(inventory, "name").select(
-        "note", F.lit("symbol").alias("kind"), F.col("name").alias("symbol"), "path",
-        F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string")).alias("lines"),
-        (F.col("count") + F.length("name") / 100).alias("rank"), _head("text").alias("snippet"),
+    lines = F.concat_ws("-", F.col("line_start").cast("string"), F.col("line_end").cast("string"))
+    sites = inventory.groupBy("name", "path").agg(F.min(F.struct(lines.alias("lines"), _head("text").alias("snippet"))).alias("site"))
+    # All sites of a name have one rank in a note: the best of the note are among the first of each name.
+    sites = sites.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("path"))).filter(F.col("n") <= cap)
+    symbols = mentions(notes).join(sites, "name").select(
+        "note", F.lit("symbol").alias("kind"), F.col("name").alias("symbol"), "path", "site.lines",
+        (F.col("count") + F.length("name") / 100).alias("rank"), "site.snippet",
     )
-    symbols = first_by(symbols, ["note", "path", "symbol"], F.desc("rank"), "lines")
     asked = mentioned_paths(notes).withColumn("base", text.basename("mention"))
     known = files.select("path", text.basename("path").alias("base"), _head("text").alias("snippet"))
     fits = (F.col("path") == F.col("mention")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("mention")))

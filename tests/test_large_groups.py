@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import resolve
+from strandline.operators import crosslinks, graph, resolve
 
 
 def _join_rows(plan) -> int:
@@ -62,3 +62,11 @@ def test_calls_carry_no_sites_but_their_candidates(spark):
     assert {(r.ref_name, r.conf, r.to_path, r.to_lines, tuple(r.candidates)) for r in df.collect()} == {("m", "ambiguous", None, None, ("a.ts", "b.ts")), ("n", "resolved", "a.ts", "7", ())}
     bare = resolve.resolve_calls(found, defs, spark.createDataFrame([("a.ts", "m", "b")], "from_path string, name string, stem string"), listed=False)
     assert {(r.ref_name, r.conf, r.to_path, r.to_lines, len(r.candidates)) for r in bare.collect()} == {("m", "resolved", "b.ts", "0600", 0), ("n", "resolved", "a.ts", "7", 0)}
+
+
+def test_notes_meet_the_best_sites_of_a_name(spark):
+    notes = spark.range(300).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("path"), F.lit("fnName fnName other").alias("text"))
+    sites = spark.range(1000).select(F.lit("fnName").alias("name"), F.concat(F.lit("m"), (F.col("id") % 30 + 10).cast("string")).alias("path"), F.col("id").alias("line_start"), F.col("id").alias("line_end"), F.lit("x").alias("text"))
+    rows, most = _run(crosslinks.code_links(notes, sites, spark.createDataFrame([], "path string, text string"), cap=4))
+    assert {(r.path, r.symbol, r.lines) for r in rows} == {(f"m{k + 10}", "fnName", min(f"{i}-{i}" for i in range(k, 1000, 30))) for k in range(4)}
+    assert len(rows) == 1200 and most <= 1200
