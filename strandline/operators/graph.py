@@ -363,7 +363,11 @@ def context_for(chunks: DataFrame, links: DataFrame, cap: int = 5) -> DataFrame:
     symbols = chunks.select("id", "path", F.explode("symbols").alias("symbol")).withColumn("node", node_key(F.col("path"), F.col("symbol")))
     calls = links.filter("kind = 'calls'")
     def side(mine: str, other: str, name: str) -> DataFrame:
-        pairs = symbols.select("id", F.col("node").alias(mine)).join(calls.select(mine, other), mine).select("id", other).distinct()
+        asked = symbols.select("id", F.col("node").alias(mine)).distinct()
+        near = calls.join(asked.select(mine).distinct(), mine, "left_semi").select(mine, other).distinct()
+        # The first of a chunk are among the first of its symbols.
+        near = near.withColumn("n", F.row_number().over(Window.partitionBy(mine).orderBy(other))).filter(F.col("n") <= cap)
+        pairs = asked.join(near, mine).select("id", other).distinct()
         top = pairs.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy(other))).filter(F.col("n") <= cap)
         return top.groupBy("id").agg(F.sort_array(F.collect_list(other)).alias(name))
     return side("dst", "src", "callers").join(side("src", "dst", "callees"), "id", "full")

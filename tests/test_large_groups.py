@@ -70,3 +70,10 @@ def test_notes_meet_the_best_sites_of_a_name(spark):
     rows, most = _run(crosslinks.code_links(notes, sites, spark.createDataFrame([], "path string, text string"), cap=4))
     assert {(r.path, r.symbol, r.lines) for r in rows} == {(f"m{k + 10}", "fnName", min(f"{i}-{i}" for i in range(k, 1000, 30))) for k in range(4)}
     assert len(rows) == 1200 and most <= 1200
+
+
+def test_chunks_meet_the_first_neighbours_of_a_symbol(spark):
+    chunks = spark.range(300).select(F.col("id").alias("id"), F.lit("a").alias("path"), F.array(F.lit("f"), F.lit("g")).alias("symbols"))
+    links = spark.range(1000).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("src"), F.when(F.col("id") % 2 == 0, "a#f").otherwise("a#g").alias("dst"), F.lit("calls").alias("kind"))
+    rows, most = _run(graph.context_for(chunks, links, 3))
+    assert len(rows) == 300 and all(r.callers == ["s0000", "s0001", "s0002"] and r.callees is None for r in rows) and most <= 2400
