@@ -80,7 +80,7 @@ def resolve_edges(found: DataFrame, facts: DataFrame, chunks: DataFrame, notes:
     defs = tables.cut(definitions(chunks, facts))
     imports = resolve.resolve_imports(found.filter("kind = 'imports'"))
     named = imports.filter("to_path IS NOT NULL").select("from_path", F.coalesce("alias", "ref_name").alias("name"), F.col("to_path").alias("stem"))
-    calls = tables.cut(resolve.resolve_calls(found.filter("kind = 'calls'").dropDuplicates(["call_id"]), defs, named))
+    calls = tables.cut(resolve.resolve_calls(found.filter("kind = 'calls'").dropDuplicates(["call_id"]), defs, named, listed=False))
 
     def of(language: str, fact: str) -> DataFrame:
         wanted = {"go": ["go"], "cpp": ["c", "cpp", "hlsl", "glsl"], "ts": ["typescript", "tsx", "javascript"]}[language]
@@ -113,7 +113,7 @@ def resolve_edges(found: DataFrame, facts: DataFrame, chunks: DataFrame, notes:
     calls = resolve.upgrade(calls, resolve.class_dispatch(resolve.of_language(calls, "ts"), bases, concrete, callables), "dispatch")
     calls = tables.cut(resolve.upgrade(calls, resolve.class_files(resolve.of_language(calls, "ts"), concrete, callables), "resolved"))
 
-    calls = calls.join(resolve.covering_chunk(calls, chunks), "call_id", "left")
+    calls = resolve.with_candidates(calls.join(resolve.covering_chunk(calls, chunks), "call_id", "left"), defs)
     links = resolve.resolve_wikilinks(extract.wikilinks(notes), notes.select("path"))
     none, empty = F.lit(None).cast("string"), F.array().cast("array<string>")
     columns = ["kind", "conf", "from_path", "line", "from_symbol", "to_path", "to_lines", "to_symbol", "ref_name", "candidates", "content_hash", "is_method"]

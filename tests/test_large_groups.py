@@ -77,3 +77,21 @@ def test_chunks_meet_the_first_neighbours_of_a_symbol(spark):
     links = spark.range(1000).select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("src"), F.when(F.col("id") % 2 == 0, "a#f").otherwise("a#g").alias("dst"), F.lit("calls").alias("kind"))
     rows, most = _run(graph.context_for(chunks, links, 3))
     assert len(rows) == 300 and all(r.callers == ["s0000", "s0001", "s0002"] and r.callees is None for r in rows) and most <= 2400
+
+
+def test_an_index_build_lists_candidates_last(spark, monkeypatch):
+    from strandline.params import Params
+    from strandline.plans import index
+
+    held, resolve_calls = [], resolve.resolve_calls
+
+    def spy(*args, **options):
+        found = resolve_calls(*args, **options)
+        held.append(found.agg(F.sum(F.size("candidates"))).first()[0])
+        return found
+
+    monkeypatch.setattr(resolve, "resolve_calls", spy)
+    go = "package io\n\nfunc Read(p int) int {\n\treturn p\n}\n\nfunc use(x any) {\n\tx.Read(1)\n}\n"
+    files = spark.createDataFrame([(f"io/f{k}.go", 1, go) for k in range(3)], "path string, mtime_ms long, content string")
+    edges = index.build(files, params=Params(disambiguate=False)).edges.filter("ref_name = 'Read' AND conf = 'ambiguous'").collect()
+    assert held == [0] and edges and all(r.candidates == [f"io/f{k}.go" for k in range(3)] for r in edges)
