@@ -41,6 +41,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 6
 STAR_ROUNDS = 2
 HOT = 8
+HEAD = 16
 #: A fingerprint with more rows than both HOT_ROWS and a HOT_SHARE-th of all is hot.
 HOT_ROWS, HOT_SHARE = 1000, 256
 _U64 = np.uint64
@@ -213,7 +214,7 @@ def components(scratch: Scratch, edges: DataFrame, known: DataFrame | None, name
 
 
 def rare_prefixes(bags: DataFrame, placed: DataFrame, threshold: float) -> DataFrame:
-    """(token, fp, n, root, hot, core): the tokens by which a link to another component must be found.
+    """(token, fp, n, root, hot, core, nth, head): the tokens by which a link to another component must be found.
 
     Two sets of at least ``threshold`` Jaccard similarity share a token among the n - ceil(threshold
     * n) + 1 rarest of each, whatever order of tokens is common to both; here the order is by how many
@@ -221,7 +222,9 @@ def rare_prefixes(bags: DataFrame, placed: DataFrame, threshold: float) -> DataF
 
     ``hot`` tokens, held by more than ``HOT`` sets, are last in the order: a set with one among its
     rarest has all its other tokens there too.  So two sets that meet by hot tokens alone share nothing
-    else, and the lesser of their numbers of hot tokens (``core``) bounds what they have in common.
+    else, and the lesser of their numbers of hot tokens (``core``) bounds what they have in common: a set
+    with less than ``threshold`` of its tokens hot finds no link by them.  ``nth`` counts a set's tokens
+    that are left, ``head`` holds the first ``HEAD`` of them.
     """
     each = placed.join(bags, "fp").select("fp", "n", "root", F.explode("bag").alias("token"))
     held = each.groupBy("token").agg(
@@ -231,9 +234,29 @@ def rare_prefixes(bags: DataFrame, placed: DataFrame, threshold: float) -> DataF
     ranked = each.join(held, "token").withColumn("place", F.row_number().over(order)).withColumn("hot", F.col("held") > HOT)
     ranked = ranked.withColumn("core", F.sum(F.col("hot").cast("int")).over(Window.partitionBy("fp")))
     room = F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1
-    return ranked.filter((F.col("place") <= room) & (F.col("low") != F.col("high"))).select(
-        "token", "fp", "n", "root", "hot", "core"
-    )
+    may = ~F.col("hot") | (F.col("core") >= threshold * F.col("n") - 1e-6)
+    mine = Window.partitionBy("fp").orderBy("place")
+    rows = ranked.filter((F.col("place") <= room) & (F.col("low") != F.col("high")) & may).withColumn("nth", F.row_number().over(mine))
+    every = mine.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    head = F.collect_list(F.when(F.col("nth") <= HEAD, F.col("token"))).over(every)
+    return rows.select("token", "fp", "n", "root", "hot", "core", "nth", head.alias("head"))
+
+
+def met_pairs(tokens: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): sets of several components and like sizes that meet in ``rare_prefixes``.
+
+    Two sets meet at the first token that both have in their heads, and not again at those behind it, so
+    a large group of sets gives about one row a pair.
+    """
+    left = tokens.withColumnsRenamed({"fp": "a", "n": "a_n", "root": "a_root", "core": "a_core", "head": "a_head"})
+    right = tokens.drop("hot", "nth").withColumnsRenamed({"fp": "b", "n": "b_n", "root": "b_root", "core": "b_core", "head": "b_head"})
+    close = F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n")
+    most = F.least("a_core", "b_core")
+    may = ~F.col("hot") | (most >= threshold * (F.col("a_n") + F.col("b_n") - most))
+    before = F.slice("a_head", F.lit(1), F.least(F.col("nth") - 1, F.lit(HEAD)))
+    apart = F.col("a_root") != F.col("b_root")
+    pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & apart & close & may & ~F.arrays_overlap(before, "b_head"))
+    return pairs.select("a", "b")
 
 
 def near_duplicates(
@@ -317,11 +340,7 @@ def near_duplicates(
         else:
             lonely = placed.select("fp", "n", "root").distinct()
             tokens = scratch.save(rare_prefixes(bags, lonely, threshold), "tokens")
-            left = tokens.withColumnsRenamed({"fp": "a", "n": "a_n", "root": "a_root", "core": "a_core"})
-            right = tokens.drop("hot").withColumnsRenamed({"fp": "b", "n": "b_n", "root": "b_root", "core": "b_core"})
-            most = F.least("a_core", "b_core")
-            may = ~F.col("hot") | (most >= threshold * (F.col("a_n") + F.col("b_n") - most))
-            pairs = left.join(right, "token").filter((F.col("a") < F.col("b")) & apart & close & may)
+            pairs = met_pairs(tokens, threshold)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = linked(pairs, f"round-{step}")
         if found.limit(1).count():

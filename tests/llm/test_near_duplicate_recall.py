@@ -68,3 +68,13 @@ def test_recall_against_all_pairs(spark):
         least.setdefault(got[k], set()).add(find(k))
     assert all(len(s) == 1 for s in least.values())
     assert len(least) <= len({find(k) for k in range(len(texts))}) * 1.01
+
+
+def test_sets_of_a_large_group_meet_once(spark):
+    rng = np.random.default_rng(8)
+    sets = {k + 1: [*map(int, np.flatnonzero(rng.random(100) < 0.95))] for k in range(60)}
+    bags = spark.createDataFrame(list(sets.items()), "fp long, bag array<long>")
+    placed = spark.createDataFrame([(k, len(v), k) for k, v in sets.items()], "fp long, n long, root long")
+    met = [(r.a, r.b) for r in dedup.met_pairs(dedup.rare_prefixes(bags, placed, 0.8), 0.8).collect()]
+    near = {(a, b) for a in sets for b in sets if a < b and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    assert near and near <= set(met) and len(met) <= 1.1 * len(set(met))
