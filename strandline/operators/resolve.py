@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strandline.functions.text import floor_to, note_key, resolve_relative, strip_ext
 from strandline.functions.vector import cosine
 from strandline.params import DEFAULTS, Params
-from strandline.sources.tables import SMALL_ROWS, broadcast_if_small
+from strandline.sources.tables import SMALL_ROWS, broadcast_if_small, cut, stored
 
 
 def resolve_calls(calls: DataFrame, definitions: DataFrame, imports: DataFrame, listed: bool = True) -> DataFrame:
@@ -71,17 +71,32 @@ def resolve_imports(imports: DataFrame) -> DataFrame:
     return imports.withColumn("conf", F.when(relative, "resolved").otherwise("external")).withColumn("to_path", F.when(relative, stem))
 
 
-def resolve_wikilinks(links: DataFrame, notes: DataFrame) -> DataFrame:
-    """(from_path, target) to conf, to_path and candidates by note key: none external, one resolved, several ambiguous."""
-    index = notes.groupBy(note_key("path").alias("key")).agg(F.sort_array(F.collect_set("path")).alias("paths"))
-    rows = links.join(index, note_key("target") == F.col("key"), "left").drop("key")
-    n = F.coalesce(F.size("paths"), F.lit(0))
-    n = F.when(F.col("paths").isNull(), 0).otherwise(n)
+#: Bytes of written-out candidates that one task gives.
+LISTED_BYTES = 256_000_000
+
+
+def resolve_wikilinks(links: DataFrame, notes: DataFrame, joined: str | None = None) -> DataFrame:
+    """(from_path, target) to conf, to_path and candidates by note key: none external, one resolved, several ambiguous.
+
+    With ``joined`` the candidates are one text, put together once a key.  Where the lists of all rows are
+    large, links of a key stand in the same tasks, so that a table of the result stores a list once a task.
+    """
+    asked = stored(links).withColumn("key", note_key("target"))
+    counts = cut(asked.groupBy("key").agg(F.count("*").alias("rows")))
+    files = notes.select(note_key("path").alias("key"), "path").join(broadcast_if_small(counts.select("key")), "key", "left_semi")
+    index = files.groupBy("key").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    none = F.array().cast("array<string>") if joined is None else F.lit("")
+    listed = F.when(F.size("paths") > 1, F.col("paths") if joined is None else F.array_join("paths", joined)).otherwise(none)
+    size = F.aggregate("paths", F.lit(0).cast("long"), lambda total, x: total + F.octet_length(x) + 1)
+    index = cut(index.select("key", F.size("paths").alias("n"), size.alias("size"), F.get("paths", F.lit(0)).alias("only"), listed.alias("listed")))
+    written = counts.join(index.filter("n > 1").select("key", "size"), "key").agg(F.sum(F.col("rows") * F.col("size"))).first()[0] or 0
+    if written > LISTED_BYTES:
+        asked = asked.repartitionByRange(written // LISTED_BYTES + asked.sparkSession.sparkContext.defaultParallelism, "key", "from_path")
+    few = (index.agg(F.sum("n")).first()[0] or 0) <= SMALL_ROWS
+    rows = asked.join(F.broadcast(index) if few else index, "key", "left")
+    n = F.coalesce("n", F.lit(0))
     conf = F.when(n == 0, "external").when(n == 1, "resolved").otherwise("ambiguous")
-    return rows.select(
-        *links.columns, conf.alias("conf"), F.when(n == 1, F.get("paths", F.lit(0))).alias("to_path"),
-        F.when(n > 1, F.col("paths")).otherwise(F.array().cast("array<string>")).alias("candidates"),
-    )
+    return rows.select(*links.columns, conf.alias("conf"), F.when(n == 1, F.col("only")).alias("to_path"), F.coalesce("listed", none).alias("candidates"))
 
 
 def upgrade(calls: DataFrame, found: DataFrame, conf: str) -> DataFrame:

@@ -862,8 +862,8 @@ def note_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, size = F.col("p_partkey"), F.col("p_size")
     content = F.concat(F.lit("see [["), _named("N", size * 4), F.lit("#part|shown]]\n```\n[[Nope]]\n```\n![["), _named("n", key % 7 + 145), F.lit("]]"))
     notes = _t(spark, sf_dir, "part").select(F.concat(_named("d", key), F.lit("/"), _named("N", key % 150), F.lit(".md")).alias("path"), content.alias("content"))
-    done = resolve.resolve_wikilinks(extract.wikilinks(notes), notes.select("path"))
-    return done.select("kind", "from_path", "line", "target", "conf", "to_path", F.array_join("candidates", ",").alias("candidates"))
+    done = resolve.resolve_wikilinks(extract.wikilinks(notes), notes.select("path"), joined=",")
+    return done.select("kind", "from_path", "line", "target", "conf", "to_path", "candidates")
 
 
 @query("""

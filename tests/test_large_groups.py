@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import crosslinks, graph, resolve
+from strandline.operators import crosslinks, extract, graph, resolve
 
 
 def _join_rows(plan) -> int:
@@ -95,3 +95,27 @@ def test_an_index_build_lists_candidates_last(spark, monkeypatch):
     files = spark.createDataFrame([(f"io/f{k}.go", 1, go) for k in range(3)], "path string, mtime_ms long, content string")
     edges = index.build(files, params=Params(disambiguate=False)).edges.filter("ref_name = 'Read' AND conf = 'ambiguous'").collect()
     assert held == [0] and edges and all(r.candidates == [f"io/f{k}.go" for k in range(3)] for r in edges)
+
+
+def test_links_outside_fences_without_a_shuffle(spark):
+    text = "[[a]]\n \t~~~ x\n[[no]]\n\n```\r\n![[b|B]] and [[c#h]]\n~ ~~~\n```\n[[no]]\u2028```\n[[no]]"
+    notes = spark.createDataFrame([("p", text), ("p", "```\n```\n[[d]]"), ("q", None)], "path string, content string")
+    found = extract.wikilinks(notes)
+    assert sorted(tuple(r) for r in found.collect()) == [("embeds", "p", 6, "b"), ("links", "p", 1, "a"), ("links", "p", 3, "d"), ("links", "p", 6, "c")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_list_of_candidates_is_stored_once_a_task(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(resolve, "LISTED_BYTES", 4_000_000, raising=False)
+    name = F.concat(F.lit("d"), F.sha1(F.col("id").cast("string")), F.lit("/N"), (F.col("id") % 20).cast("string"), F.lit(".md"))
+    notes = spark.range(40_000).select(name.alias("path"))
+    links = spark.range(800).select(F.col("id").cast("string").alias("from_path"), F.concat(F.lit("n"), (F.col("id") % 21).cast("string")).alias("target"))
+    done = resolve.resolve_wikilinks(links, notes, joined=",")
+    done.write.parquet(f"{tmp_path}/out")
+    kept = spark.read.parquet(f"{tmp_path}/out")
+    paths = {f"n{k}": ",".join(sorted(r.path for r in notes.filter(F.col("path").endswith(f"/N{k}.md")).collect())) for k in (0, 19)}
+    rows = {r.from_path: r for r in kept.filter("target IN ('n0', 'n19', 'n20')").collect()}
+    assert kept.count() == 800 and all(r.candidates == paths.get(r.target, "") and r.conf == ("external" if r.target == "n20" else "ambiguous") for r in rows.values())
+    assert kept.agg(F.sum(F.length("candidates"))).first()[0] > 70_000_000 > 5 * sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    listed = resolve.resolve_wikilinks(links.limit(3), notes).collect()
+    assert all(",".join(r.candidates) == rows[r.from_path].candidates for r in listed if r.target in paths)
