@@ -123,7 +123,13 @@ def _bounds() -> list[Column]:
 
 
 def _single(rows: DataFrame, one: Column) -> DataFrame:
-    """Of calls with the number and bounds of their sites, a row for each family of them, those that have ``one`` site in all."""
+    """Of calls with the number and bounds of their sites, a row for each family of them, those that have ``one`` site in all.
+
+    A call of which no row has ``one`` has not in all; where few are left, the others are not grouped.
+    """
+    left = rows.filter(one).select(F.col("call_id").alias("maybe"))
+    if left.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        rows = rows.join(F.broadcast(left), F.col("call_id").eqNullSafe(F.col("maybe")), "left_semi")
     whole = rows.groupBy("call_id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("lines").alias("lines"))
     return whole.filter(one).select("call_id", F.col("low").alias("to_path"), F.col("lines").alias("to_lines"), F.array().cast("array<string>").alias("candidates"))
 

@@ -119,3 +119,21 @@ def test_a_list_of_candidates_is_stored_once_a_task(spark, monkeypatch, tmp_path
     assert kept.agg(F.sum(F.length("candidates"))).first()[0] > 70_000_000 > 5 * sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
     listed = resolve.resolve_wikilinks(links.limit(3), notes).collect()
     assert all(",".join(r.candidates) == rows[r.from_path].candidates for r in listed if r.target in paths)
+
+
+def _shuffled(plan) -> int:
+    """The most rows that a shuffle of a plan that has run wrote."""
+    name = plan.nodeName()
+    inner = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if name.endswith("QueryStage") else []
+    below = max((_shuffled(p) for p in [*inner, *(plan.children().apply(k) for k in range(plan.children().size()))]), default=0)
+    made = plan.metrics().get("shuffleRecordsWritten")
+    return max(below, made.get().value() if made.isDefined() else 0)
+
+
+@pytest.mark.parametrize("distinct_paths", [False, True])
+def test_calls_of_many_paths_are_not_shuffled(spark, calls, distinct_paths):
+    methods = spark.createDataFrame([("T", "m", "a.go", "1"), ("T", "m", "b.go", "2"), ("T", "one", "b.go", "7")], "type string, name string, path string, lines string")
+    few = calls.filter("ref_name = 'm'").union(spark.createDataFrame([(1, "T", "one"), (2, "T", "one"), (None, "T", "one")], "call_id long, receiver_type string, ref_name string"))
+    found = resolve.typed_methods(few, methods, distinct_paths=distinct_paths)
+    assert {(r.call_id, r.to_path, r.to_lines) for r in found.collect()} == {(1, "b.go", "7"), (None, "b.go", "7")}
+    assert _shuffled(found._jdf.queryExecution().executedPlan()) <= 10
