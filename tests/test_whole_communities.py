@@ -63,3 +63,17 @@ def test_query_covers_all_customers_and_suppliers(spark):
     sold = f"'{SF}/lineitem.parquet' JOIN '{SF}/orders.parquet' ON l_orderkey = o_orderkey"
     want = con.execute(f"SELECT 'c' || o_custkey FROM {sold} UNION SELECT 's' || l_suppkey FROM {sold}").fetchall()
     assert nodes == {n for (n,) in want}
+
+
+def test_leiden_by_components_is_that_of_the_whole(spark):
+    rng = np.random.default_rng(7)
+    edges = []
+    for part, size in enumerate((3, 40, 30, 60, 2, 1, 25)):
+        pairs = {tuple(sorted(map(int, rng.integers(0, size, 2)))) for _ in range(3 * size)}
+        edges += [(f"n{a:02}.{part}", f"n{b:02}.{part}", 1.0 + (a * b) % 3) for a, b in sorted(pairs)]
+    df = spark.createDataFrame(edges, "a string, b string, w double").repartition(3)
+    want = communities.leiden(edges)
+    for sizes in ({"part_edges": 1}, {"part_edges": 70}, {"part_edges": 70, "local_edges": 20}):
+        assert {r.node: r.community for r in communities.leiden_by_parts(df, **sizes).collect()} == want
+    assert communities.detect(df.limit(0)).count() == 0
+
