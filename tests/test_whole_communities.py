@@ -1,9 +1,11 @@
 """Communities: one algorithm at every size, over a graph that grows with the tables."""
 
 import os
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pytest
 
 from strandline.operators import communities
 from strandline.plans import queries as q
@@ -77,3 +79,65 @@ def test_leiden_by_components_is_that_of_the_whole(spark):
         assert {r.node: r.community for r in communities.leiden_by_parts(df, **sizes).collect()} == want
     assert communities.detect(df.limit(0)).count() == 0
 
+
+
+def _bipartite(rng, left, right, m):
+    pair = np.unique(rng.integers(0, left, m) * right + rng.integers(0, right, m))
+    return pair // right, left + pair % right, rng.integers(1, 4, len(pair)).astype(float)
+
+
+def _plain_move(a, b, w, n, label, part, mass):
+    """The moves of a level as the reference has them, a dictionary for each node."""
+    near = [{} for _ in range(n)]
+    for x, y, z in zip(a.tolist(), b.tolist(), w.tolist(), strict=True):
+        near[x][y] = near[y][x] = z
+    degree = [sum(x.values()) for x in near]
+    label, moved = list(label), True
+    total = [0.0] * n
+    for v in range(n):
+        total[label[v]] += degree[v]
+    while moved:
+        moved = False
+        for v in range(n):
+            to = {}
+            for u, z in near[v].items():
+                if part is None or part[u] == part[v]:
+                    to[label[u]] = to.get(label[u], 0.0) + z
+            own = label[v]
+            total[own] -= degree[v]
+            best, gain = own, to.get(own, 0.0) - total[own] * degree[v] / mass
+            for c in sorted(to):
+                g = to[c] - total[c] * degree[v] / mass
+                if g > gain + 1e-12 or (abs(g - gain) <= 1e-12 and c < best):
+                    best, gain = c, g
+            total[best] += degree[v]
+            moved, label[v] = moved or best != own, best
+    return label
+
+
+@pytest.mark.parametrize(("piece", "many"), [(1 << 22, 128), (100, 1), (1, 10**9)])
+def test_moves_over_arrays_are_those_of_the_reference(monkeypatch, piece, many):
+    monkeypatch.setattr(communities, "PIECE", piece)
+    monkeypatch.setattr(communities, "MANY", many)
+    rng = np.random.default_rng(11)
+    a, b, w = _bipartite(rng, 120, 30, 900)
+    level = communities._Level([(a[:300], b[:300], w[:300]), (b[300:], a[300:], w[300:])], 150)
+    mass = 2 * w.sum()
+    label = np.arange(150)
+    communities._move(level, label, None, mass)
+    assert label.tolist() == _plain_move(a, b, w, 150, range(150), None, mass)
+    fine = np.arange(150)
+    communities._move(level, fine, label, mass)
+    assert fine.tolist() == _plain_move(a, b, w, 150, range(150), label, mass)
+
+
+def test_a_component_takes_few_bytes_an_edge(monkeypatch):
+    monkeypatch.setattr(communities, "PIECE", 1 << 14)
+    a, b, w = _bipartite(np.random.default_rng(13), 4000, 100, 150_000)
+    assert len(a) > 120_000
+    blocks = [(a[k : k + 8192].astype(np.int32), b[k : k + 8192].astype(np.int32), w[k : k + 8192].astype(np.uint8)) for k in range(0, len(a), 8192)]
+    tracemalloc.start()
+    list(communities._levels(blocks, 4100))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(a), peak / len(a)
